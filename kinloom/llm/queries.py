@@ -5,8 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import fair_mix, multiset_hash, risk_rules, rotation
-from kinloom.llm.common import cut, table
+from kinloom.llm import fair_mix, multiset_hash, packing, parity_join, risk_rules, rotation, warc
+from kinloom.llm.common import cut, new_path, parts, table
+
+CAPACITY = 1024
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = cut(warc.write(table(spark, sf_dir, "pages"), new_path(spark, "warc")), "archives")
+    return warc.read(written, parts(spark), payloads=False).drop("url")
+
+
+def op2_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.groups(table(spark, sf_dir, "documents"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def pack_documents(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    made = packing.pieces(docs, CAPACITY, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(cut(made, "pieces"), CAPACITY)
 
 
 def op4_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,5 +49,5 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.mix_counts(table(spark, sf_dir, "documents"), lambda df: cut(df, "mix"))
 
 
-QUERIES = {f.__name__: f for f in (op4_rotation, op6_multiset_hash, op9_risk_rules, op10_fair_mix)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_parity_join, op3_packing, op4_rotation, op6_multiset_hash, op9_risk_rules, op10_fair_mix)}
 ORACLE_SQL: dict[str, str] = {}
