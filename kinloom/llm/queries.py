@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import fair_mix, multiset_hash, packing, parity_join, risk_rules, rotation, warc
+from kinloom.llm import crf_langid, fair_mix, multiset_hash, packing, parity_join, pseudo_likelihood, risk_rules, rotation, unigram_count, warc
 from kinloom.llm.common import cut, new_path, parts, table
 
 CAPACITY = 1024
@@ -35,10 +35,24 @@ def op4_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotation.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.score(table(spark, sf_dir, "documents"))
+
+
 def op6_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op7_crf_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_unigram_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return unigram_count.count(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk_rules.judge(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), hold=lambda df: cut(df, "measures")
@@ -49,5 +63,5 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.mix_counts(table(spark, sf_dir, "documents"), lambda df: cut(df, "mix"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_parity_join, op3_packing, op4_rotation, op6_multiset_hash, op9_risk_rules, op10_fair_mix)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_parity_join, op3_packing, op4_rotation, op5_pseudo_likelihood, op6_multiset_hash, op7_crf_langid, op8_unigram_count, op9_risk_rules, op10_fair_mix)}
 ORACLE_SQL: dict[str, str] = {}
