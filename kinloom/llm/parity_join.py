@@ -23,7 +23,6 @@ count as linked; a row without doc_id has no component; an empty table gives an
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import WORD, cut, drop_cut, parts
+from kinloom.llm.common import cut, drop_cut, parts
 from kinloom.llm.components import components
 from kinloom.shipping import ship
 
@@ -39,9 +38,21 @@ WIDTH = 5
 SMALL = 64
 HOT_IN_BATCH, HOT_LEAST, HOT_MOST = 8, 32, 1 << 16
 BLOCK = 1024
-_words = re.compile(WORD)
-_UPPER = {c: c + 32 for c in range(65, 91)}
-_known: dict[str, int] = {}
+
+
+class _Known(dict):
+    """Hashes of words seen lately."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[word] = int.from_bytes(xxhash.xxh3_64_digest(word), "big", signed=True)
+        return h
+
+
+_known = _Known()
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], "u8")
 
 
@@ -51,28 +62,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _hashes(words: list[str]) -> np.ndarray:
-    """64-bit hashes of words; the words seen lately are remembered."""
-    try:
-        return np.array([_known[w] for w in words], "u8")
-    except KeyError:
-        import xxhash
-
-        if len(_known) > 1_000_000:
-            _known.clear()
-        for w in words:
-            if w not in _known:
-                _known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        return np.array([_known[w] for w in words], "u8")
-
-
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of the text's 5-word shingles, or of its whole sequence of fewer words."""
-    words = _words.findall(text.translate(_UPPER)) if text else []
+    # on bytes, lower() changes A-Z only and split() parts at 0x20 and 0x09-0x0D
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     n = len(words)
     if not n:
         return np.empty(0, "u8")
-    h = _hashes(words)
+    h = np.fromiter(map(_known.__getitem__, words), "i8", n).view("u8")
     k = min(n, WIDTH)
     s = h[: n - k + 1] * _C[0]
     for i in range(1, k):
