@@ -16,21 +16,16 @@ def components(links: DataFrame) -> DataFrame:
     shuffles; each round's labels are written to the shared folder.
     """
     both = cut(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-    labels = cut(labels, "labels")
+    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
-        seen = both.join(labels.select(F.col("id").alias("a"), "label"), "a")
-        near = seen.select(F.col("b").alias("id"), "label")
+        near = both.join(labels.select(F.col("id").alias("a"), "label"), "a").select(F.col("b").alias("id"), "label")
         got = near.union(labels.select("id", "label")).groupBy("id").agg(F.min("label").alias("got"))
-        step = labels.join(got, "id")
-        up = step.select(F.col("label").alias("id"), "got").union(step.select("id", "got")).groupBy("id").agg(F.min("got").alias("got"))
-        up = cut(up, "labels")
+        step = labels.select("id", F.col("label").alias("old")).join(got, "id")
+        up = step.select(F.col("old").alias("id"), "got").union(step.select("id", "got")).groupBy("id").agg(F.min("got").alias("got"))
         far = up.select(F.col("id").alias("got"), F.col("got").alias("far"))
         new = up.join(far, "got", "left").select("id", F.least("got", F.coalesce("far", "got")).alias("label"))
-        new = cut(new, "labels")
-        changed = new.join(labels.select("id", F.col("label").alias("old")), "id").where(F.col("old") != F.col("label"))
-        done = changed.isEmpty()
-        drop_cut(up)
+        new = cut(new.join(labels.select("id", F.col("label").alias("old")), "id"), "labels")
+        done = new.where(F.col("old") != F.col("label")).isEmpty()
         drop_cut(labels)
         labels = new
         if done:

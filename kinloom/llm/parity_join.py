@@ -12,8 +12,9 @@ rarer shingle come first, parts of very frequent shingles last, then by hash. (S
 hash.) A document with too few occupied parts for that is compared with all of its size band.
 
 The join never lists all pairs of a bucket: first each member meets the smallest id of its bucket; pairs are filtered by size and by
-a narrow sketch's Hamming distance, then verified on the whole sets; components follow. Then only buckets whose members
-are still in several components are expanded, in blocks of bounded size, and only across components. Every linked pair
+a narrow sketch's Hamming distance, then verified on the whole sets; components follow. Then buckets whose members are still
+in several components are compared by sketch, in blocks of bounded size: in two rounds each component is verified against
+its nearest neighbour only, and a last round verifies all pairs that are then still near and in different components. Every linked pair
 of different texts meets in some bucket, so none is lost; documents of equal sets are one class from the start.
 
 Edge cases: a null text or one without words has an empty set and is linked with nothing; fewer than five words are one
@@ -78,8 +79,8 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def sketch_bits(n: int) -> int:
-    """Width of the narrow sketch: four times the octave of the set's size."""
-    return max(256, 4 << (max(n, 1).bit_length() - 1))
+    """Width of the narrow sketch: eight times the octave of the set's size."""
+    return max(512, 8 << (max(n, 1).bit_length() - 1))
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -223,72 +224,114 @@ def _verified(num: int, den: int):
     return run
 
 
-def _across(num: int, den: int):
-    """Rows sorted by bucket block (sig, i, j): pairs across components whose sketches are near enough."""
-
-    def pairs(g: dict[str, np.ndarray]) -> pd.DataFrame | None:
-        n, w = g["n"], min(map(len, g["bits"]))
-        bits = np.stack([fold(x, w) for x in g["bits"]])
-        bits = bits.view("u8") if w % 8 == 0 else bits
-        left = np.flatnonzero(g["block"] == g["i"][0])
-        right = np.flatnonzero(g["block"] == g["j"][0])
-        a, b = [], []
-        for x in left:
-            ok = right[(g["id"][right] > g["id"][x]) if g["i"][0] == g["j"][0] else (g["id"][right] != g["id"][x])]
-            ok = ok[(g["component"][ok] != g["component"][x])]
-            lo, hi = np.minimum(n[ok], n[x]), np.maximum(n[ok], n[x])
-            ok = ok[den * lo >= num * hi]
-            if len(ok):
-                far = np.bitwise_count(bits[ok] ^ bits[x]).sum(axis=1, dtype="int64")
-                ok = ok[far <= (n[ok] + n[x]) * (den - num) // (den + num)]
-            a.append(np.minimum(g["id"][ok], g["id"][x]))
-            b.append(np.maximum(g["id"][ok], g["id"][x]))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates() if a else None
+def _far(bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of the sketches of rows a and b, each pair at the smaller width of the two."""
+    width = np.array([len(x) for x in bits])
+    at, out = np.minimum(width[a], width[b]), np.empty(len(a), "int64")
+    for w in np.unique(at):
+        mine = np.flatnonzero(at == w)
+        rows, place = np.unique(np.concatenate([a[mine], b[mine]]), return_inverse=True)
+        table = np.stack([fold(x, w) for x in bits[rows]]).view("u8")
+        x, y = np.split(place, 2)
+        for i in range(0, len(mine), 20_000):
+            out[mine[i : i + 20_000]] = np.bitwise_count(table[x[i : i + 20_000]] ^ table[y[i : i + 20_000]]).sum(axis=1)
+    return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
 
-        def close():
-            g = pd.concat(held)
-            return pairs({c: g[c].to_numpy() for c in g.columns})
+def near_across(g: pd.DataFrame, num: int, den: int, forest: bool) -> pd.DataFrame:
+    """Pairs (a < b) of rows of one bucket block, across components, whose sizes and sketches are near enough.
 
+    ``g``: whole bucket blocks, sorted by (sig, i, j). ``forest``: of the pairs only the nearest one of each component.
+    """
+    none = pd.DataFrame({"a": np.empty(0, "int64"), "b": np.empty(0, "int64")})
+    if not len(g):
+        return none
+    ids, n, component, block = (g[c].to_numpy() for c in ("id", "n", "component", "block"))
+    i, j = g["i"].to_numpy(), g["j"].to_numpy()
+    key = g[["sig", "i", "j"]].to_numpy()
+    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+    end = np.repeat(np.r_[first[1:], len(g)], np.diff(np.r_[first, len(g)]))
+    found_a, found_b = [], []
+    rows, k = np.arange(len(g)), 1
+    while len(rows := rows[rows + k < end[rows]]):
+        a, b = rows, rows + k
+        lo, hi = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        ok = (component[a] != component[b]) & (den * lo >= num * hi) & ((i[a] == j[a]) | (block[a] != block[b]))
+        found_a.append(a[ok])
+        found_b.append(b[ok])
+        k += 1
+    if not found_a:
+        return none
+    a, b = np.concatenate(found_a), np.concatenate(found_b)
+    lo, hi = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+    order = np.lexsort((hi, lo))  # a pair that meets in several buckets is compared once
+    order = order[np.r_[True, (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])]] if len(order) else order
+    a, b, lo, hi = a[order], b[order], lo[order], hi[order]
+    if not len(a):
+        return none
+    far = _far(g["bits"].to_numpy(), a, b)
+    near = far <= (n[a] + n[b]) * (den - num) // (den + num)
+    a, b, lo, hi, far = a[near], b[near], lo[near], hi[near], far[near]
+    if forest and len(a):
+        rank = np.empty(len(a), "int64")
+        rank[np.lexsort((hi, lo, far / (n[a] + n[b])))] = np.arange(len(a))
+        both, place = np.concatenate([component[a], component[b]]), np.concatenate([rank, rank])
+        order = np.lexsort((place, both))
+        best = place[order][np.r_[True, both[order][1:] != both[order][:-1]]]
+        keep = np.isin(rank, best)
+        lo, hi = lo[keep], hi[keep]
+    return pd.DataFrame({"a": lo, "b": hi})
+
+
+def _across(num: int, den: int, forest: bool):
+    """Applies ``near_across`` to whole bucket blocks of rows sorted by (sig, i, j)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
         for b in batches:
             if not len(b):
                 continue
             key = b[["sig", "i", "j"]].to_numpy()
-            edges = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            for k, piece in enumerate(np.split(np.arange(len(b)), edges)):
-                part = b.iloc[piece]
-                if held and (k or (key[0] != held[0][["sig", "i", "j"]].iloc[0].to_numpy()).any()):
-                    out = close()
-                    held = []
-                    if out is not None and len(out):
-                        yield out
-                held.append(part)
+            begun = int(np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])[-1])  # the last block may go on
+            goes_on = bool(held) and begun == 0 and (held[-1][["sig", "i", "j"]].iloc[-1].to_numpy() == key[0]).all()
+            if goes_on:
+                held.append(b)
+                continue
+            if begun == 0:
+                yield near_across(pd.concat(held), num, den, forest) if held else near_across(b.iloc[:0], num, den, forest)
+                held = [b]
+            else:
+                yield near_across(pd.concat([*held, b.iloc[:begun]]), num, den, forest)
+                held = [b.iloc[begun:]]
         if held:
-            out = close()
-            if out is not None and len(out):
-                yield out
+            yield near_across(pd.concat(held), num, den, forest)
 
     return run
 
 
-def _check(pairs: DataFrame, profile: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
-    """The linked ones of distinct pairs (a < b)."""
+MOST_BROADCAST = 1_000_000
+
+
+def _ids(df: DataFrame, name: str) -> DataFrame:
+    """Distinct ids of ``df`` as column ``name``, marked for broadcast if they are at most a million (8 MB)."""
+    ids = cut(df.toDF(name).distinct(), "ids")
+    return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+
+
+def _check(pairs: DataFrame, profile: DataFrame, texts: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The linked ones of distinct pairs (a < b), and those that had to be verified."""
     side = lambda c: profile.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b")
     sized = sized.where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
     near = cut(sized.mapInPandas(_near_pairs(num, den), "a long, b long"), "near")
-    used = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
+    used = _ids(near.select("a").union(near.select("b")), "doc_id")
     some = texts.join(used, "doc_id", "left_semi")
     text = lambda c: some.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
     full = near.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
-    links = cut(full.mapInPandas(_verified(num, den), "a long, b long").distinct(), "links")
-    drop_cut(near)
-    return links
+    return cut(full.mapInPandas(_verified(num, den), "a long, b long").distinct(), "links"), near
 
 
-def link(docs: DataFrame, num: int = 75, den: int = 100) -> tuple[DataFrame, DataFrame]:
+def link(docs: DataFrame, num: int = 75, den: int = 100, forests: int = 2) -> tuple[DataFrame, DataFrame]:
     """Profiles (id, n, rep) of all documents and links (a, b) between representatives that connect what is similar.
 
     Two sets are linked when ``den * intersection >= num * union``. Not every link within a component is listed, but
@@ -303,38 +346,47 @@ def link(docs: DataFrame, num: int = 75, den: int = 100) -> tuple[DataFrame, Dat
     hot = np.sort(np.array([r.h1 for r in hot.orderBy(F.col("c").desc(), "h1").limit(HOT_MOST).collect()], "i8").view("u8"))
     hot = spark.sparkContext.broadcast(hot)
     full = profile.where((F.col("n") > 0) & F.col("id").isNotNull())
-    classes = full.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.first("bits").alias("bits"))
-    reps = cut(classes.select(F.col("rep").alias("id"), "n", "bits", "h1", "h2"), "reps")
-    texts = given.join(reps.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    rows = texts.mapInPandas(_joined_on(hot, num, den), "sig long, id long")
+    classes = cut(full.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")), "classes")
+    chosen = classes.select(F.col("rep").alias("id")).distinct()
+    one = cut(full.join(chosen, "id", "left_semi").select("id", "n", "bits").dropDuplicates(["id"]), "reps")
+    others = _ids(profile.where(F.col("id").isNotNull()).select("id").distinct().join(one, "id", "left_anti").select("id"), "doc_id")
+    texts = given.where(F.col("doc_id").isNotNull())
+    rows = texts.join(others, "doc_id", "left_anti").mapInPandas(_joined_on(hot, num, den), "sig long, id long")
     near = rows.repartition(parts(spark), "sig").sortWithinPartitions("sig", "id").mapInPandas(_stars, "sig long, hub long, id long")
     stars = cut(near, "stars")
     spark.sparkContext._jvm.System.gc()  # shuffle files of finished steps go
-    one = reps.dropDuplicates(["id"])
-    loose = stars.where(F.col("sig") == 0).select("id").union(stars.where(F.col("sig") == 0).select("hub")).distinct()
-    stars_ = stars.where(F.col("sig") != 0)
-    pairs = stars_.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+    loose = _ids(stars.where(F.col("sig") == 0).select("id").union(stars.where(F.col("sig") == 0).select("hub")), "id")
+    stars = stars.where(F.col("sig") != 0)
+    pairs = stars.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
     octave = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
-    wide = loose.join(one, "id").select(F.col("id").alias("x"), F.explode(F.array(octave - 1, octave, octave + 1)).alias("o"))
+    wide = one.join(loose, "id").select(F.col("id").alias("x"), F.explode(F.array(octave - 1, octave, octave + 1)).alias("o"))
     wide = wide.join(one.select(F.col("id").alias("y"), octave.alias("o")), "o").where(F.col("x") != F.col("y"))
     pairs = pairs.union(wide.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
-    first = _check(pairs, one, texts, num, den)
-    known = components(first)
-    members = stars_.select("sig", "id").union(stars_.select("sig", F.col("hub").alias("id"))).distinct()
-    members = members.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = members.groupBy("sig").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    open_ = open_.where((F.col("c") > 2) & (F.col("lo") != F.col("hi"))).select("sig", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    rest = members.join(open_, "sig").join(one.select("id", "n", "bits"), "id")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    spots = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")),
-    )
-    rest = rest.select("sig", "id", "component", "n", "bits", "block", F.inline(spots))
-    again = rest.repartition(parts(spark), "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    again = again.mapInPandas(_across(num, den), "a long, b long").distinct()
-    second = _check(again, one, texts, num, den)
-    return profile.join(classes.drop("bits"), ["n", "h1", "h2"], "left").select("id", "n", "rep"), first.union(second)
+    links, tried = _check(pairs, one, texts, num, den)
+    members = cut(stars.select("sig", "id").union(stars.select("sig", F.col("hub").alias("id"))).distinct(), "members")
+    known, turn = components(links), 0
+    while turn <= forests:
+        named = members.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        open_ = named.groupBy("sig").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        open_ = open_.where((F.col("c") > 2) & (F.col("lo") != F.col("hi")))
+        rest = named.join(open_.select("sig", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "sig")
+        rest = rest.join(one, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        spots = F.transform(
+            F.sequence(F.lit(0), F.col("blocks") - 1),
+            lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")),
+        )
+        rest = rest.select("sig", "id", "component", "n", "bits", "block", F.inline(spots))
+        rest = rest.repartition(parts(spark), "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "id")
+        again = cut(rest.mapInPandas(_across(num, den, turn < forests), "a long, b long").distinct(), "across")
+        if again.isEmpty():  # no near pair is left, tried or not
+            break
+        more, had = _check(again.join(tried, ["a", "b"], "left_anti"), one, texts, num, den)
+        links, tried = links.union(more), tried.union(had)
+        fresh = not more.isEmpty()
+        if fresh and turn < forests:
+            known = components(links)
+        turn = turn + 1 if fresh else max(turn + 1, forests)  # where nothing changed, all near pairs are next
+    return profile.join(classes, ["n", "h1", "h2"], "left").select("id", "n", "rep"), links
 
 
 def groups(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
