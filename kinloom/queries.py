@@ -1,4 +1,585 @@
-"""Registered queries of the linkage engine and their DuckDB SQL."""
+"""Registered queries of the linkage engine and their DuckDB SQL.
 
-QUERIES: dict = {}
+Parts (name, brand, type) are the main relation: every part is a query that sees the parts before it. Suppliers serve single-field
+indexes, events the order of arrival, documents (gold: equal text) and labels the evaluation. Doubles are rounded
+once, at the end, to 6 digits.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinloom.config import Scheme
+from kinloom.functions.encoders import ENCODERS
+from kinloom.functions.measures import measure
+from kinloom.functions.text import normalise
+from kinloom.operators import blocking, evaluate, lsh, match
+from kinloom.plans import choice, labels, schemes
+from kinloom.shipping import ship
+from kinloom.sources.readers import both_ways, long_form, records
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+SCHEME = Scheme.of([(0, "tokens"), (1, "term_id")], [(2, "term_id"), (0, "term_id")])
+SUPPLIERS = Scheme.of([(0, "suffixes")], [(1, "term_id")])
+COPIES = Scheme.of([(0, "term_id"), (2, "term_id")])
+LEV3 = ["levenshtein"] * 3
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = " ".join(sql.split())
+        return f
+
+    return keep
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _r6(*names: str):
+    return [F.round(c, 6).alias(c) for c in names]
+
+
+def _long(*names: str):
+    return [F.col(c).cast("long").alias(c) for c in names]
+
+
+# --- relations, in Spark and in SQL
+
+
+def _parts(spark, d):
+    p = _table(spark, d, "part").withColumn("seq", F.col("p_partkey") + 1)
+    return records(p, "p_partkey", ["p_name", "p_brand", "p_type"], "seq")
+
+
+def _suppliers(spark, d):
+    s = _table(spark, d, "supplier").withColumn("seq", F.col("s_suppkey") + 1)
+    return records(s, "s_suppkey", ["s_name", "s_nationkey"], "seq")
+
+
+def _documents(spark, d):
+    t = _table(spark, d, "documents").withColumn("seq", F.col("doc_id") + 1)
+    return records(t, "doc_id", ["text", "lang", "source"], "seq", normalised=False)
+
+
+def _gold(spark, d):
+    """Pairs of documents with equal text."""
+    t = _table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"), F.length("text").alias("n"))
+    x, y = t.select(F.col("doc_id").alias("id_1"), "h", "n"), t.select(F.col("doc_id").alias("id_2"), "h", "n")
+    return x.join(y, ["h", "n"]).where(F.col("id_1") < F.col("id_2")).select("id_1", "id_2")
+
+
+def _norm(c: str) -> str:
+    stop = "'for','a','of','the','and','to','in',''"
+    return f"array_to_string(list_filter(string_split_regex(lower(coalesce({c},'')),'\\s+'), lambda x: x not in ({stop})),' ')"
+
+
+_PARTS = f"""r as (select p_partkey rec_id, p_partkey + 1 seq, {_norm('p_name')} a0, {_norm('p_brand')} a1, {_norm('p_type')} a2 from part),
+l as (select rec_id, seq, 0 field, a0 val from r union all select rec_id, seq, 1, a1 from r union all select rec_id, seq, 2, a2 from r),
+b as (select distinct rec_id, seq, 0 term, t || a1 bkv from (select *, unnest(string_split(a0, ' ')) t from r)
+      union all select rec_id, seq, 1, a2 || a0 from r),
+k as (select b.rec_id, b.seq, b.term, l.field, b.bkv, l.val from b join l on b.rec_id = l.rec_id
+      and ((b.term = 0 and l.field in (0, 1)) or (b.term = 1 and l.field in (0, 2))))"""
+_CAND = """cand as (select distinct q.rec_id q_id, c.rec_id c_id, q.field, q.val qv, c.val cv
+      from k q join k c on q.term = c.term and q.field = c.field and q.bkv = c.bkv and c.seq < q.seq)"""
+_LEV = "case when {a} = {b} then 1.0 else 1 - levenshtein({a}, {b}) / greatest(length({a}), length({b}))::double end"
+_SIM = f"s as (select *, {_LEV.format(a='qv', b='cv')} sim from cand)"
+_VEC = """v as (select q_id, c_id, coalesce(max(case when field = 0 then sim end), 0) s0, coalesce(max(case when field = 1 then sim end), 0) s1,
+      coalesce(max(case when field = 2 then sim end), 0) s2 from s group by all)"""
+_SUPP = f"""r as (select s_suppkey rec_id, s_suppkey + 1 seq, {_norm('s_name')} a0, s_nationkey::varchar a1 from supplier),
+k as (select distinct rec_id, seq, 0 term, 0 field, unnest([right(a0, 2), right(a0, 3), right(a0, 4)]) bkv, a0 val from r
+      union all select rec_id, seq, 1, 1, a1, a1 from r)"""
+_TOTAL = f"""with {_SUPP}, {_CAND}, {_SIM}, t as (select q_id, c_id, sum(sim) score from s group by all)"""
+_GOLD = "g as (select x.doc_id id_1, y.doc_id id_2 from documents x join documents y on x.text = y.text and x.doc_id < y.doc_id)"
+_BOTH = f"{_GOLD}, g2 as (select id_1 q_id, id_2 c_id from g union all select id_2, id_1 from g)"
+_RES = """res as (select x.doc_id q_id, y.doc_id c_id from documents x join documents y
+      on x.text = y.text and x.source = y.source and y.doc_id < x.doc_id)"""
+
+# --- projections and encoders
+
+
+@query(f"select item_id, {_norm('text')} as text from benchmark")
+def normalise_text(spark, d):
+    return _table(spark, d, "benchmark").select("item_id", normalise("text").alias("text"))
+
+
+def _encoder(name: str, table: str, key: str, column: str, sql: str | None) -> None:
+    def run(spark, d):
+        t = _table(spark, d, table).select(F.col(key).alias("rec_id"), normalise(column).alias("v"))
+        return t.select("rec_id", F.explode(ENCODERS[name](F.col("v"))).alias("bkv"))
+
+    run.__name__ = f"key_{name}"
+    source = f"(select {key} rec_id, {_norm(column)} v from {table})"
+    query(None if sql is None else f"select distinct rec_id, {sql} as bkv from {source}")(run)
+
+
+_encoder("term_id", "part", "p_partkey", "p_brand", "v")
+_encoder("tokens", "part", "p_partkey", "p_name", "unnest(string_split(v, ' '))")
+_encoder("bigrams", "part", "p_partkey", "p_name", "unnest(list_transform(range(1, length(v)), lambda i: substr(v, i, 2)))")
+_encoder("trigrams", "part", "p_partkey", "p_name", "unnest(list_transform(range(1, length(v) - 1), lambda i: substr(v, i, 3)))")
+_encoder("prefixes", "supplier", "s_suppkey", "s_name", "unnest([left(v, 2), left(v, 3), left(v, 4)])")
+_encoder("suffixes", "supplier", "s_suppkey", "s_name", "unnest([right(v, 2), right(v, 3), right(v, 4)])")
+_encoder("first3", "part", "p_partkey", "p_name", "left(trim(v), 3)")
+_encoder("first1", "part", "p_partkey", "p_name", "left(v, 1)")
+_encoder("soundex", "part", "p_partkey", "p_name", None)
+_encoder("metaphone", "part", "p_partkey", "p_name", None)
+
+
+@query(f"with {_PARTS} select rec_id, seq, term::bigint term, field::bigint field, bkv, val as value from k")
+def key_conjunction(spark, d):
+    return blocking.key_table(_parts(spark, d), SCHEME).select("rec_id", "seq", *_long("term", "field"), "bkv", "value")
+
+
+# --- blocks
+
+
+def _joined(c: str):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+
+
+@query(f"with {_PARTS} select field::bigint field, val as value, string_agg(rec_id::varchar, ',' order by rec_id) ids from l group by all")
+def record_index(spark, d):
+    return blocking.record_index(long_form(_parts(spark, d))).select(*_long("field"), "value", _joined("ids"))
+
+
+@query(f"""with {_PARTS}, u as (select distinct term, field, bkv, val from k)
+select term::bigint term, field::bigint field, bkv, string_agg(val, ',' order by val) vals from u group by all""")
+def block_index(spark, d):
+    return blocking.block_index(blocking.key_table(_parts(spark, d), SCHEME)).select(*_long("term", "field"), "bkv", _joined("vals"))
+
+
+_SIZES = "z as (select term, field, bkv, count(*) n from k group by all)"
+
+
+@query(f"with {_PARTS}, {_SIZES} select term::bigint term, n::bigint n, count(*)::bigint blocks from z group by all")
+def block_size_histogram(spark, d):
+    sizes = blocking.block_sizes(blocking.key_table(_parts(spark, d), SCHEME))
+    return blocking.size_histogram(sizes).select(*_long("term", "n", "blocks"))
+
+
+@query(f"with {_PARTS}, {_SIZES} select distinct term::bigint term, bkv from z where n > 5")
+def illegal_keys(spark, d):
+    sizes = blocking.block_sizes(blocking.key_table(_parts(spark, d), SCHEME))
+    return blocking.oversized(sizes, 5).select(*_long("term"), "bkv")
+
+
+@query(f"""with {_PARTS}, {_SIZES} select rec_id, term::bigint term, field::bigint field, bkv from k
+where (term, bkv) not in (select (term, bkv) from z where n > 5)""")
+def keys_without_illegal(spark, d):
+    keys = blocking.key_table(_parts(spark, d), SCHEME)
+    return blocking.without(keys, blocking.oversized(blocking.block_sizes(keys), 5)).select("rec_id", *_long("term", "field"), "bkv")
+
+
+@query(f"""with {_PARTS}, {_SIZES}, y as (select term, sum(case when n > 1 and n <= 100 then n else 0 end)::bigint good,
+sum(case when n > 100 then n else 0 end)::bigint bad from z group by all)
+select term::bigint term, good, bad, case when good = 0 then false else good / (good + bad) >= 0.9 end as passes from y""")
+def good_ratio(spark, d):
+    return blocking.good_ratio(blocking.block_sizes(blocking.key_table(_parts(spark, d), SCHEME))).select(*_long("term", "good", "bad"), "passes")
+
+
+@query(f"""with {_PARTS}, t as (select distinct field, unnest(string_split(val, ' ')) bkv, rec_id from l),
+z as (select field, bkv from t group by all having count(*) < 100) select t.field::bigint field, t.bkv, rec_id from t join z on t.field = z.field and t.bkv = z.bkv""")
+def small_token_blocks(spark, d):
+    own = long_form(_parts(spark, d)).select("field", F.explode(ENCODERS["tokens"](F.col("value"))).alias("bkv"), "rec_id")
+    return blocking.small_blocks(own).select(*_long("field"), "bkv", "rec_id")
+
+
+@query(f"""with {_PARTS}, u as (select distinct field, bkv, val from k),
+p as (select distinct x.field, x.val v1, y.val v2 from u x join u y on x.field = y.field and x.bkv = y.bkv and x.val < y.val)
+select field::bigint field, v1, v2, round({_LEV.format(a='v1', b='v2')}, 6) sim from p""")
+def similarity_index(spark, d):
+    got = match.similarity_index(blocking.key_table(_parts(spark, d), SCHEME), LEV3)
+    return got.select(*_long("field"), "v1", "v2", *_r6("sim"))
+
+
+# --- measures, on all pairs of distinct names
+
+
+def _measure(name: str, sql: str | None) -> None:
+    def run(spark, d):
+        names = _table(spark, d, "part").select("p_name").distinct()
+        both = names.select(F.col("p_name").alias("v1")).join(names.select(F.col("p_name").alias("v2")), F.col("v1") < F.col("v2"))
+        return both.select("v1", "v2", F.round(measure(name)(F.col("v1"), F.col("v2")), 6).alias("sim"))
+
+    run.__name__ = f"measure_{name}"
+    pairs = "(select distinct x.p_name v1, y.p_name v2 from part x join part y on x.p_name < y.p_name)"
+    query(None if sql is None else f"select v1, v2, round({sql}, 6) as sim from {pairs}")(run)
+
+
+_LEN = "greatest(length(v1), length(v2))::double"
+_CHARS = "list_distinct(string_split({}, ''))"
+_MORE = "list_sum(list_transform(list_distinct(string_split({a}, '')), lambda c: greatest(0, len(list_filter(string_split({a}, ''), lambda x: x = c)) - len(list_filter(string_split({b}, ''), lambda x: x = c)))))"
+_measure("levenshtein", f"1 - levenshtein(v1, v2) / {_LEN}")
+_measure("damerau", f"1 - damerau_levenshtein(v1, v2) / {_LEN}")
+_measure("jaro", "jaro_similarity(v1, v2)")
+_measure("jaro_winkler", "jaro_winkler_similarity(v1, v2)")
+_measure(
+    "jaccard",
+    f"len(list_intersect({_CHARS.format('v1')}, {_CHARS.format('v2')}))::double / len(list_distinct(list_concat({_CHARS.format('v1')}, {_CHARS.format('v2')})))",
+)
+_measure("hamming", f"1 - len(list_filter(range(1, {_LEN}::bigint + 1), lambda i: substr(v1, i, 1) <> substr(v2, i, 1))) / {_LEN}")
+_measure("bag", f"1 - greatest({_MORE.format(a='v1', b='v2')}, {_MORE.format(a='v2', b='v1')}) / {_LEN}")
+for _name in ("ratio", "compression", "weighted_degree"):
+    _measure(_name, None)
+
+
+# --- queries against the index
+
+
+def _totals(spark, d, **options):
+    got = match.candidates(blocking.key_table(_suppliers(spark, d), SUPPLIERS))
+    return match.totals(match.scored(got, ["levenshtein"] * 2), 2, **options)
+
+
+@query(f"{_TOTAL} select q_id, c_id, round(score, 6) score from t")
+def query_single_field(spark, d):
+    return _totals(spark, d).select("q_id", "c_id", *_r6("score"))
+
+
+@query(f"{_TOTAL} select q_id, c_id, round(score, 6) score from t where score >= 0.97")
+def query_threshold(spark, d):
+    return _totals(spark, d, threshold=0.97).select("q_id", "c_id", *_r6("score"))
+
+
+@query(f"{_TOTAL} select q_id, c_id, round(score / 2, 6) score from t where score / 2 >= 0.485")
+def query_normalised(spark, d):
+    return _totals(spark, d, threshold=0.485, normalise=True).select("q_id", "c_id", *_r6("score"))
+
+
+@query(f"""{_TOTAL}, o as (select *, row_number() over (partition by q_id order by round(score, 9) desc, c_id) rank from t)
+select q_id, c_id, round(score, 6) score, rank::bigint rank from o where rank <= 3""")
+def query_topn(spark, d):
+    got = _totals(spark, d).withColumn("score", F.round("score", 9))
+    return match.top(got, 3).select("q_id", "c_id", *_r6("score"), *_long("rank"))
+
+
+def _vector(spark, d, mode: str):
+    r = _parts(spark, d)
+    got = match.vectors(match.scored(match.candidates(blocking.key_table(r, SCHEME)), LEV3), 3)
+    got = match.completed(got, r, LEV3, mode, SCHEME.fields())
+    return got.select("q_id", "c_id", *[F.round(F.col("simvec")[i], 6).alias(f"s{i}") for i in range(3)])
+
+
+@query(f"with {_PARTS}, {_CAND}, {_SIM}, {_VEC} select q_id, c_id, round(s0, 6) s0, round(s1, 6) s1, round(s2, 6) s2 from v")
+def query_dnf_vector(spark, d):
+    return _vector(spark, d, "block")
+
+
+_FULL = ", ".join(f"round({_LEV.format(a=f'x.a{i}', b=f'y.a{i}')}, 6) s{i}" for i in range(3))
+
+
+@query(f"with {_PARTS}, {_CAND} select q_id, c_id, {_FULL} from (select distinct q_id, c_id from cand) p join r x on x.rec_id = q_id join r y on y.rec_id = c_id")
+def query_full(spark, d):
+    return _vector(spark, d, "full")
+
+
+@query(f"""with {_PARTS.replace("unnest(string_split(a0, ' ')) t from r)", "unnest(string_split(a0, ' ')) t from r) where false")}, {_CAND}, {_SIM}, {_VEC},
+w as (select v.*, x.a2 xa, y.a2 ya, x.a0 xb, y.a0 yb from v join r x on x.rec_id = q_id join r y on y.rec_id = c_id)
+select q_id, c_id, round(case when s0 = 0 then {_LEV.format(a='xb', b='yb')} else s0 end, 6) s0, round(s1, 6) s1,
+round(case when s2 = 0 then {_LEV.format(a='xa', b='ya')} else s2 end, 6) s2 from w""")
+def query_parfull(spark, d):
+    r, scheme = _parts(spark, d), Scheme(SCHEME.terms[1:])
+    got = match.vectors(match.scored(match.candidates(blocking.key_table(r, scheme)), LEV3), 3)
+    got = match.completed(got, r, LEV3, "parfull", scheme.fields())
+    return got.select("q_id", "c_id", *[F.round(F.col("simvec")[i], 6).alias(f"s{i}") for i in range(3)])
+
+
+@query(f"""with {_SUPP}, u as (select distinct field, bkv, val from k), l as (select distinct rec_id, seq, field, val from k),
+n as (select distinct x.field, x.val qv, y.val cv from u x join u y on x.field = y.field and x.bkv = y.bkv),
+cand as (select distinct q.rec_id q_id, c.rec_id c_id, n.field, n.qv, n.cv from l q join n on q.field = n.field and q.val = n.qv
+join l c on c.field = n.field and c.val = n.cv and c.seq < q.seq), {_SIM}
+select q_id, c_id, field::bigint field, round(sim, 6) sim from s""")
+def query_value_index(spark, d):
+    r = _suppliers(spark, d)
+    got = match.value_candidates(long_form(r), blocking.key_table(r, SUPPLIERS))
+    return match.scored(got, ["levenshtein"] * 2).select("q_id", "c_id", *_long("field"), *_r6("sim"))
+
+
+@query("""with e as (select event_id, user_id, event_type, row_number() over (order by ts, event_id) seq from events)
+select q.event_id q_id, count(*)::bigint n, min(c.event_id) first_id from e q join e c on q.user_id = c.user_id and q.event_type = c.event_type and c.seq < q.seq group by all""")
+def dynamic_visibility(spark, d):
+    e = _table(spark, d, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.pmod("event_id", F.lit(1000))
+    first = e.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0] or 0
+    e = e.withColumn("seq", micros - first * 1000 + 1)
+    keys = blocking.key_table(records(e, "event_id", ["user_id", "event_type"], "seq"), Scheme.of([(0, "term_id"), (1, "term_id")]))
+    met = match.candidates(keys.where("field = 0")).select("q_id", "c_id")
+    return met.groupBy("q_id").agg(F.count("*").alias("n"), F.min("c_id").alias("first_id"))
+
+
+# --- MinHash bands and clusters
+
+_B, _R = lsh.banding(0.8, 60)
+_BANDS = f"""h as (select rec_id, seq, i, min(substr(md5(i::varchar || '|' || val), 1, 16)) h from l, range({_B * _R}) x(i) group by all),
+z as (select rec_id, seq, i // {_R} band, string_agg(h, '' order by i) sig from h group by all)"""
+
+
+@query(f"with {_PARTS}, {_BANDS} select rec_id, band::bigint band, sig from z")
+def lsh_bands(spark, d):
+    return lsh.bands(_parts(spark, d), 0.8, 60).select("rec_id", *_long("band"), "sig")
+
+
+_MEET = "m as (select distinct q.rec_id q_id, c.rec_id c_id from z q join z c on q.band = c.band and q.sig = c.sig and c.seq < q.seq)"
+
+
+@query(f"with {_PARTS}, {_BANDS}, {_MEET} select q_id, c_id from m")
+def lsh_candidates(spark, d):
+    return lsh.meeting(lsh.bands(_parts(spark, d), 0.8, 60), ["band", "sig"])
+
+
+@query(f"""with {_PARTS}, {_BANDS}, {_MEET}, s as (select q_id, c_id, {_LEV.format(a='x.val', b='y.val')} sim
+from m join l x on x.rec_id = q_id join l y on y.rec_id = c_id and x.field = y.field)
+select q_id, c_id, round(sum(sim), 6) score from s group by all having sum(sim) > 1.5""")
+def lsh_scores(spark, d):
+    r = _parts(spark, d)
+    met = lsh.meeting(lsh.bands(r, 0.8, 60), ["band", "sig"])
+    return match.totals(match.rescored(met, r, LEV3), 3, 1.5, strict=True).select("q_id", "c_id", *_r6("score"))
+
+
+@query()
+def cluster_candidates(spark, d):
+    s = _table(spark, d, "part").select(F.col("p_partkey").alias("rec_id"), F.lit(0).cast("long").alias("seq"), normalise("p_name").alias("a_0"), normalise("p_type").alias("a_1"))
+    placed = lsh.clusters(lsh.fit_clusters(s, 16), s)
+    return placed.groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.avg("dist"), 6).alias("dist"))
+
+
+# --- labels and learning
+
+_NEAR = f"""{_PARTS}, t as (select distinct field, unnest(string_split(val, ' ')) tok, rec_id from l),
+t2 as (select * from t where (field, tok) in (select (field, tok) from t group by field, tok having count(*) < 100)),
+ld as (select rec_id t1, lead(rec_id) over (partition by field, tok order by rec_id) t2 from t2),
+near as (select distinct t1, t2 from ld where t2 is not null)"""
+_COS = """tok as (select rec_id, field, unnest(string_split(val, ' ')) tok from l), dfs as (select tok, count(*) df from (select distinct rec_id, field, tok from tok) group by tok),
+w as (select rec_id, tok.tok, ln(1 + count(*)) * ln(1 + (select count(*) * 3 from r)::double / any_value(df)) w from tok join dfs on tok.tok = dfs.tok group by rec_id, tok.tok),
+nm as (select rec_id, sqrt(sum(w * w)) norm from w group by rec_id),
+cs as (select near.t1, near.t2, coalesce(sum(x.w * y.w) / any_value(nx.norm * ny.norm), 0) sim from near join nm nx on nx.rec_id = t1 join nm ny on ny.rec_id = t2
+join w x on x.rec_id = t1 left join w y on y.rec_id = t2 and y.tok = x.tok group by near.t1, near.t2)"""
+
+
+def _pairs(spark, d):
+    r = _parts(spark, d)
+    return labels.cosine(labels.neighbours(r), labels.token_weights(r)).withColumn("sim", F.round("sim", 9))
+
+
+@query(f"with {_NEAR} select t1, t2 from near")
+def sorted_neighbourhood(spark, d):
+    return labels.neighbours(_parts(spark, d))
+
+
+@query(f"with {_NEAR}, {_COS} select t1, t2, round(sim, 6) sim from cs")
+def tfidf_pairs(spark, d):
+    return _pairs(spark, d).select("t1", "t2", *_r6("sim"))
+
+
+@query(f"with {_NEAR}, {_COS} select t1, t2, round(sim, 6) sim from cs where round(sim, 9) >= 0.6 order by round(sim, 9) desc, t1, t2 limit 100")
+def weak_positive(spark, d):
+    return _pairs(spark, d).where("sim >= 0.6").orderBy(F.col("sim").desc(), "t1", "t2").limit(100).select("t1", "t2", *_r6("sim"))
+
+
+@query(f"with {_NEAR}, {_COS} select t1, t2, round(sim, 6) sim from cs where round(sim, 9) < 0.45 order by round(sim, 9) desc, t1, t2 limit 100")
+def weak_negative(spark, d):
+    return _pairs(spark, d).where("sim < 0.45").orderBy(F.col("sim").desc(), "t1", "t2").limit(100).select("t1", "t2", *_r6("sim"))
+
+
+@query(f"""with {_NEAR}, {_COS}, z as (select least(floor(round(sim, 9) * 20), 19)::bigint bin, count(*)::bigint n from cs group by all)
+select bin, n, round(n / sum(n) over (), 6) share from z""")
+def label_bins(spark, d):
+    return labels.histogram(_pairs(spark, d)).select(*_long("bin", "n"), *_r6("share"))
+
+
+_SHARED = "sh as (select distinct near.t1, near.t2 from near join b x on x.rec_id = t1 join b y on y.rec_id = t2 and x.term = y.term and x.bkv = y.bkv)"
+
+
+@query(f"with {_NEAR}, {_SHARED} select near.t1, near.t2, sh.t1 is not null as shared from near left join sh on near.t1 = sh.t1 and near.t2 = sh.t2")
+def label_filter(spark, d):
+    r = _parts(spark, d)
+    return blocking.has_common_block(labels.neighbours(r), r, SCHEME)
+
+
+# the learner's key sets: whole brand; brand and name tokens; brand and whole name
+TERMS = Scheme.of([(1, "term_id")], [(1, "term_id"), (0, "tokens")], [(0, "term_id"), (1, "term_id")])
+_TRUTH = "tr as (select x.rec_id t1, y.rec_id t2 from r x join r y on x.a0 = y.a0 and x.a2 = y.a2 and x.a1 = y.a1 and x.rec_id < y.rec_id)"
+_FKEYS = """fb as (select distinct rec_id, 0 term, a1 bkv from r union all select distinct rec_id, 1, a1 || t from (select *, unnest(string_split(a0, ' ')) t from r)
+union all select rec_id, 2, a0 || a1 from r), fk as (select fb.rec_id, term, field, bkv from fb join l on fb.rec_id = l.rec_id and ((term = 0 and field = 1) or (term > 0 and field in (0, 1)))),
+fz as (select term, field, bkv, count(*) n from fk group by all),
+fg as (select term, sum(case when n > 1 and n <= 100 then n else 0 end) good, sum(case when n > 100 then n else 0 end) bad from fz group by all),
+fi as (select fk.* from fk join fz on fk.term = fz.term and fk.field = fz.field and fk.bkv = fz.bkv and n > 1 and n <= 100
+  join fg on fg.term = fk.term and good > 0 and good / (good + bad) >= 0.9),
+fp as (select x.term, x.field, x.bkv, x.rec_id t1, y.rec_id t2 from fi x join fi y on x.term = y.term and x.field = y.field and x.bkv = y.bkv and x.rec_id < y.rec_id),
+fm as (select fp.*, tr.t1 is not null hit from fp left join tr on fp.t1 = tr.t1 and fp.t2 = tr.t2),
+fc as (select term, count(*) filter (hit) tp, count(*) filter (not hit) fp from fm group by term),
+fx as (select distinct term, field, bkv, unnest([t1, t2]) rec_id from fm where not hit),
+fn as (select term, count(*) fn from fx where rec_id in (select t1 from tr union select t2 from tr) group by term)"""
+
+
+def _truth(r):
+    own = r.select(F.col("rec_id"), F.struct("a_0", "a_1", "a_2").alias("v"))
+    x, y = own.select(F.col("rec_id").alias("t1"), "v"), own.select(F.col("rec_id").alias("t2"), "v")
+    return x.join(y, "v").where("t1 < t2").select("t1", "t2")
+
+
+@query(f"""with {_PARTS}, {_TRUTH}, {_FKEYS} select fg.term::bigint term, good::bigint good, bad::bigint bad, coalesce(tp, 0)::bigint tp, coalesce(fp, 0)::bigint fp, coalesce(fn, 0)::bigint fn,
+round(case when coalesce(tp, 0) = 0 then 0 else 2 * tp / (2 * tp + fp + coalesce(fn, 0)) end, 6) fsc from fg left join fc on fg.term = fc.term left join fn on fg.term = fn.term""")
+def feature_scores(spark, d):
+    r = _parts(spark, d)
+    got = schemes.feature_scores(blocking.key_table(r, TERMS), _truth(r))
+    return got.select(*_long("term", "good", "bad", "tp", "fp", "fn"), *_r6("fsc"))
+
+
+@query(f"""with {_NEAR}, {_TRUTH}, la as (select t1, t2, 1 label from tr union all select t1, t2, 0 from near where (t1, t2) not in (select (t1, t2) from tr)),
+{_FKEYS.split('fg as')[0]} fo as (select fk.* from fk join fz on fk.term = fz.term and fk.field = fz.field and fk.bkv = fz.bkv and n > 1 and n <= 100),
+cv as (select distinct la.t1, la.t2, label from la join fo x on x.rec_id = t1 join fo y on y.rec_id = t2 and x.term = y.term and x.field = y.field and x.bkv = y.bkv where x.term in (1, 2)),
+c as (select count(*) filter (label = 1) tp, count(*) filter (label = 0) fp from cv)
+select tp::bigint tp, fp::bigint fp, round(case when tp = 0 then 0 else 2 * tp / (tp + fp + (select count(*) from tr)) end, 6) f1 from c""")
+def scheme_f1(spark, d):
+    r = _parts(spark, d)
+    pos = _truth(r)
+    neg = labels.neighbours(r).join(pos, ["t1", "t2"], "left_anti")
+    both = pos.withColumn("label", F.lit(1)).union(neg.withColumn("label", F.lit(0)))
+    covers = schemes.coverage(blocking.key_table(r, TERMS), both)
+    return schemes.scheme_f1(covers, pos.count(), [1, 2]).select(*_long("tp", "fp"), *_r6("f1"))
+
+
+_MEAS = f"""la as (select t1, t2, case when x.a0 = y.a0 then 1 else 0 end label, x.a0 a, y.a0 b from near join r x on x.rec_id = t1 join r y on y.rec_id = t2),
+me as (select label, 0 place, 'jaccard' measure, round(len(list_intersect({_CHARS.format('a')}, {_CHARS.format('b')}))::double / len(list_distinct(list_concat({_CHARS.format('a')}, {_CHARS.format('b')}))), 9) score from la
+union all select label, 1, 'levenshtein', round(1 - levenshtein(a, b) / greatest(length(a), length(b))::double, 9) from la)"""
+
+
+def _measured(spark, d):
+    r = _parts(spark, d)
+    v = choice.pair_values(labels.neighbours(r).withColumn("label", F.lit(0)), r).where("field = 0")
+    v = v.withColumn("label", (F.col("a") == F.col("b")).cast("int"))
+    return choice.measured(v, ("jaccard", "levenshtein")).withColumn("score", F.round("score", 9))
+
+
+@query(f"""with {_NEAR}, {_MEAS}, z as (select place, measure, round(1 - coalesce(avg(score) filter (label = 1), 0) + coalesce(avg(score) filter (label = 0), 0), 5) loss from me group by all)
+select 0::bigint field, measure, loss from z order by loss, place limit 1""")
+def measure_min_max(spark, d):
+    return choice.min_max(_measured(spark, d)).select(*_long("field"), "measure", "loss")
+
+
+@query(f"""with {_NEAR}, {_MEAS}, z as (select place, measure, score, sum(label) pos, count(*) n from me group by all),
+c as (select *, sum(pos) over w tp, sum(n) over w seen, sum(pos) over (partition by place) p from z window w as (partition by place order by score desc)),
+g as (select place, measure, score, case when p = 0 then 0 else tp / p end rec, tp / seen prec from c),
+a as (select place, measure, rec - lag(rec, 1, 0) over (partition by place order by score desc) gain, prec from g),
+y as (select place, measure, sum(gain * prec) ap from a group by all)
+select 0::bigint field, measure, round(ap, 6) average_precision from y order by round(ap, 9) desc, place limit 1""")
+def measure_avg_precision(spark, d):
+    return choice.by_average_precision(_measured(spark, d)).select(*_long("field"), "measure", *_r6("average_precision"))
+
+
+_LAB = "x as (select quality label, ln(1 + n_chars) x from documents join labels on documents.doc_id = labels.doc_id)"
+
+
+def _labelled(spark, d):
+    t = _table(spark, d, "documents").join(_table(spark, d, "labels"), "doc_id")
+    return t.select(F.col("quality").alias("label"), F.log1p("n_chars").alias("x"), "n_chars")
+
+
+@query(f"""with {_LAB}, s as (select avg(x) filter (label = 1) m1, avg(x) filter (label = 0) m0, var_pop(x) filter (label = 1) v1, var_pop(x) filter (label = 0) v0 from x)
+select round(case when m1 = 0 then 0 else (m1 - m0) ** 2 / (case when v1 = 0 and v0 = 0 then 0.01 else v1 * v1 + v0 * v0 end) end, 6) fisher, round(m1 - m0, 6) mean_diff from s""")
+def fisher_score(spark, d):
+    return schemes.fisher(_labelled(spark, d)).select(*_r6("fisher", "mean_diff"))
+
+
+# --- evaluation
+
+_CURVE = """z as (select n_chars score, sum(quality) pos, count(*) n from documents join labels on documents.doc_id = labels.doc_id group by all),
+c as (select score, sum(pos) over w tp, sum(n - pos) over w fp, sum(pos) over () p, sum(n - pos) over () q from z window w as (order by score desc))"""
+
+
+def _scored(spark, d):
+    return _labelled(spark, d).select(F.col("label").alias("truth"), F.col("n_chars").alias("score"))
+
+
+@query(f"with {_CURVE} select score, tp::bigint tp, fp::bigint fp, round(tp / (tp + fp), 6) as precision, round(tp / p, 6) recall from c")
+def pr_curve(spark, d):
+    return evaluate.curve(_scored(spark, d)).select("score", *_long("tp", "fp"), *_r6("precision", "recall"))
+
+
+@query(f"with {_CURVE} select score, round(fp / q, 6) fpr, round(tp / p, 6) recall from c")
+def roc_curve(spark, d):
+    return evaluate.curve(_scored(spark, d)).select("score", *_r6("fpr", "recall"))
+
+
+@query(f"with {_CURVE}, g as (select tp / p - lag(tp / p, 1, 0) over (order by score desc) gain, tp / (tp + fp) prec from c) select round(sum(gain * prec), 6) average_precision from g")
+def average_precision(spark, d):
+    return evaluate.average_precision(_scored(spark, d)).select(*_r6("average_precision"))
+
+
+def _answers(spark, d):
+    keys = blocking.key_table(_documents(spark, d), COPIES)
+    return match.candidates(keys.where("field = 2")).select("q_id", "c_id").withColumn("score", F.lit(1.0))
+
+
+@query(f"with {_BOTH}, {_RES} select q_id, c_id from g2 where (q_id, c_id) not in (select (q_id, c_id) from res)")
+def false_negatives(spark, d):
+    return evaluate.false_negatives(_answers(spark, d), both_ways(_gold(spark, d))).select("q_id", "c_id")
+
+
+@query(f"""with {_BOTH}, {_RES}, c as (select (select count(*) from res) tp, (select count(*) from g2) - (select count(*) from res) fn)
+select tp::bigint tp, 0::bigint fp, fn::bigint fn, round(case when tp = 0 then 0.0 else 1.0 end, 6)::double as precision, round(tp / (tp + fn), 6) recall, round(2 * tp / (2 * tp + fn), 6) f1 from c""")
+def micro_metrics(spark, d):
+    got = evaluate.micro_metrics(evaluate.outcomes(_answers(spark, d), both_ways(_gold(spark, d))))
+    return got.select(*_long("tp", "fp", "fn"), *_r6("precision", "recall", "f1"))
+
+
+@query(f"""with {_GOLD}, c as (select count(*) filter (x.source = y.source) hit, count(*) pairs from g join documents x on x.doc_id = id_1 join documents y on y.doc_id = id_2)
+select hit::bigint hit, pairs::bigint pairs, round(hit / pairs, 6) completeness from c""")
+def pair_completeness(spark, d):
+    got = evaluate.pair_completeness(_gold(spark, d), _documents(spark, d), COPIES)
+    return got.select(*_long("hit", "pairs"), *_r6("completeness"))
+
+
+_COST = f"""{_BOTH}, {_RES}, m as (select q_id, count(*) n from res group by all), p as (select q_id, count(*) n from g2 group by all),
+q as (select doc_id, coalesce(m.n, 0) hits, coalesce(p.n, 0) partners, row_number() over (order by doc_id) - 1 before from documents left join m on m.q_id = doc_id left join p on p.q_id = doc_id),
+s as (select *, sum(hits) over (order by doc_id) done, sum(before) over (order by doc_id) whole from q)"""
+
+
+@query(f"with {_COST} select doc_id q_id, hits::bigint matches, partners::bigint partners, round(case when whole > 0 then 1 - done / whole else 1 end, 6) rr from s")
+def reduction_ratio(spark, d):
+    got = evaluate.complexity(_documents(spark, d).select("rec_id", "seq"), _answers(spark, d), both_ways(_gold(spark, d)))
+    return got.select("q_id", *_long("matches", "partners"), *_r6("rr"))
+
+
+@query(f"""with {_COST} select round(sum(hits) / sum(partners), 6) pairs_completeness, round(case when sum(hits) = 0 then 0 else 1 end, 6)::double pairs_quality,
+round(case when sum(hits) = 0 then 0 else 1 end, 6)::double pairs_quality_all, round(avg(case when whole > 0 then 1 - done / whole else 1 end), 6) reduction_ratio from s""")
+def pairs_quality(spark, d):
+    got = evaluate.complexity(_documents(spark, d).select("rec_id", "seq"), _answers(spark, d), both_ways(_gold(spark, d)))
+    return evaluate.complexity_metrics(got).select(*_r6("pairs_completeness", "pairs_quality", "pairs_quality_all", "reduction_ratio"))
+
+
+@query(f"with {_GOLD} select count(*) filter (x.lang = y.lang)::bigint hit, count(*)::bigint pairs, round(count(*) filter (x.lang = y.lang) / count(*), 6) recall from g join documents x on x.doc_id = id_1 join documents y on y.doc_id = id_2")
+def blocking_recall(spark, d):
+    places = _table(spark, d, "documents").select(F.col("doc_id").alias("rec_id"), "lang")
+    return evaluate.recall_of(places, _gold(spark, d), ["lang"]).select(*_long("hit", "pairs"), *_r6("recall"))
+
+
+@query()
+def classifier_filter(spark, d):
+    """Pairs of parts that a tree trained on weak labels accepts."""
+    from kinloom.plans import fusion
+
+    r = _parts(spark, d)
+    vec = match.vectors(match.scored(match.candidates(blocking.key_table(r, SCHEME)), LEV3), 3)
+    truth = ((F.col("simvec")[0] == 1) & (F.col("simvec")[1] == 1)).cast("int")
+    train = vec.withColumn("label", truth).orderBy(F.xxhash64("q_id", "c_id"), "q_id", "c_id").limit(5000)
+    _, model = fusion.best_model(train, 3, ("tree",))
+    return fusion.classify(model, vec).where("match = 1").select("q_id", "c_id")
+
+
+@query("""select key, sum(n)::bigint n from (select p_brand as key, count(*) n from part group by all union all
+select p_type, count(*) from part group by all) group by key""")
+def merged_sums(spark, d):
+    p = _table(spark, d, "part")
+    count = lambda c: p.groupBy(F.col(c).alias("key")).agg(F.count("*").alias("n"))
+    return evaluate.merge_sums(count("p_brand"), count("p_type"))
