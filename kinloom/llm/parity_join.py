@@ -75,7 +75,9 @@ def shingles(text: str | None) -> np.ndarray:
     s = h[: n - k + 1] * _C[0]
     for i in range(1, k):
         s = s + h[i : n - k + 1 + i] * _C[i]
-    return np.unique(mix64(s + np.uint64(k)))
+    s = mix64(s + np.uint64(k))
+    s.sort()
+    return s[np.r_[True, s[1:] != s[:-1]]]
 
 
 def sketch_bits(n: int) -> int:
@@ -113,28 +115,34 @@ def bands(n: int, num: int, den: int) -> list[tuple[int, int]]:
     return out
 
 
+def _least(sig: np.ndarray, late: np.ndarray | None, k: int) -> np.ndarray:
+    """The first ``k`` by (late, sig)."""
+    if len(sig) <= k:
+        return sig
+    if late is None:
+        return np.partition(sig, k - 1)[:k]
+    soon = sig[~late]
+    return _least(soon, None, k) if len(soon) >= k else np.concatenate([soon, _least(sig[late], None, k - len(soon))])
+
+
 def signatures(s: np.ndarray, hot: np.ndarray, num: int, den: int) -> tuple[np.ndarray, bool]:
     """What a set is joined on, and whether that is too little."""
     n, out, few = len(s), [], False
     frequent = np.zeros(n, bool)
     if len(hot) and n:
         frequent = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
+    any_frequent = frequent.any()
     for band, d in bands(n, num, den):
         if band == 0:
-            sig, late = s, frequent
+            sig, late = s, frequent if any_frequent else None
         else:
-            part = s & np.uint64((2 << band) - 1)
-            order = np.argsort(part, kind="stable")
-            part = part[order]
+            part = s >> np.uint64(63 - band)  # 2 << band parts; the sorted hashes of a part are neighbours
             first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            sig = np.bitwise_xor.reduceat(mix64(s[order]), first) ^ part[first]
-            late = np.logical_and.reduceat(frequent[order], first)
+            sig = np.bitwise_xor.reduceat(mix64(s), first) ^ part[first]
+            late = np.logical_and.reduceat(frequent, first) if any_frequent else None
         sig = mix64(sig + np.uint64(band * int(_C[1]) & (1 << 64) - 1))
         few |= len(sig) <= d
-        if len(sig) > d + 1:
-            chosen = np.lexsort((sig, late))[: d + 1]
-            sig = sig[chosen]
-        out.append(sig)
+        out.append(_least(sig, late, d + 1))
     return np.concatenate(out) if out else np.empty(0, "u8"), few
 
 
