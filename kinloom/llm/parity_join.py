@@ -91,6 +91,11 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount(at, minlength=w).astype("u1") & 1).tobytes()
 
 
+def narrow(b: bytes) -> bytes:
+    """A quarter of the sketch's width, for the comparison within buckets."""
+    return fold(b, len(b) // 4).tobytes()
+
+
 def fold(b: bytes, size: int) -> np.ndarray:
     """The sketch of the same set at a smaller width (bytes): bits are addressed by low bits of the hash, so halves are XORed."""
     x = np.frombuffer(b, "u1")
@@ -153,17 +158,18 @@ def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d, t in zip(b.doc_id, b.text, strict=True):
             s = shingles(t)
             key = int(s.sum(dtype="u8").view("i8")), int(mix64(s ^ _C[2]).sum(dtype="u8").view("i8"))
-            rows.append((d, len(s), *key, sketch(s) if len(s) else b""))
+            bits = sketch(s) if len(s) else b""
+            rows.append((d, len(s), *key, bits, narrow(bits)))
             if key not in seen:
                 seen.add(key)
                 sets.append(s)
-        out = pd.DataFrame(rows, columns=["id", "n", "h1", "h2", "bits"])
+        out = pd.DataFrame(rows, columns=["id", "n", "h1", "h2", "bits", "few_bits"])
         yield out.astype({"id": "Int64"})
         if sets:
             h, c = np.unique(np.concatenate(sets), return_counts=True)
             h, c = h[c >= HOT_IN_BATCH], c[c >= HOT_IN_BATCH]
             if len(h):
-                yield pd.DataFrame({"id": pd.array([None] * len(h), "Int64"), "n": -c, "h1": h.view("i8"), "h2": 0, "bits": b""})
+                yield pd.DataFrame({"id": pd.array([None] * len(h), "Int64"), "n": -c, "h1": h.view("i8"), "h2": 0, "bits": b"", "few_bits": b""})
 
 
 def _joined_on(hot, num: int, den: int):
@@ -239,7 +245,7 @@ def _far(bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     for w in np.unique(at):
         mine = np.flatnonzero(at == w)
         rows, place = np.unique(np.concatenate([a[mine], b[mine]]), return_inverse=True)
-        table = np.stack([fold(x, w) for x in bits[rows]]).view("u8")
+        table = np.stack([fold(x, w) for x in bits[rows]]).view("u8")  # widths are multiples of 16 bytes
         x, y = np.split(place, 2)
         for i in range(0, len(mine), 20_000):
             out[mine[i : i + 20_000]] = np.bitwise_count(table[x[i : i + 20_000]] ^ table[y[i : i + 20_000]]).sum(axis=1)
@@ -249,9 +255,10 @@ def _far(bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def near_across(g: pd.DataFrame, num: int, den: int, forest: bool) -> pd.DataFrame:
     """Pairs (a < b) of rows of one bucket block, across components, whose sizes and sketches are near enough.
 
-    ``g``: whole bucket blocks, sorted by (sig, i, j). ``forest``: of the pairs only the nearest one of each component.
+    ``g``: whole bucket blocks, sorted by (sig, i, j). ``forest``: of the pairs only the nearest one of each component; a row
+    with a = b names a bucket that has more.
     """
-    none = pd.DataFrame({"a": np.empty(0, "int64"), "b": np.empty(0, "int64")})
+    none = pd.DataFrame({c: np.empty(0, "int64") for c in ("sig", "a", "b")})
     if not len(g):
         return none
     ids, n, component, block = (g[c].to_numpy() for c in ("id", "n", "component", "block"))
@@ -280,6 +287,7 @@ def near_across(g: pd.DataFrame, num: int, den: int, forest: bool) -> pd.DataFra
     far = _far(g["bits"].to_numpy(), a, b)
     near = far <= (n[a] + n[b]) * (den - num) // (den + num)
     a, b, lo, hi, far = a[near], b[near], lo[near], hi[near], far[near]
+    sig = g["sig"].to_numpy()[a]
     if forest and len(a):
         rank = np.empty(len(a), "int64")
         rank[np.lexsort((hi, lo, far / (n[a] + n[b])))] = np.arange(len(a))
@@ -287,8 +295,9 @@ def near_across(g: pd.DataFrame, num: int, den: int, forest: bool) -> pd.DataFra
         order = np.lexsort((place, both))
         best = place[order][np.r_[True, both[order][1:] != both[order][:-1]]]
         keep = np.isin(rank, best)
-        lo, hi = lo[keep], hi[keep]
-    return pd.DataFrame({"a": lo, "b": hi})
+        left = np.unique(sig[~keep])  # buckets with near pairs that are not returned
+        lo, hi, sig = np.r_[lo[keep], left * 0], np.r_[hi[keep], left * 0], np.r_[sig[keep], left]
+    return pd.DataFrame({"sig": sig, "a": lo, "b": hi})
 
 
 def _across(num: int, den: int, forest: bool):
@@ -348,7 +357,7 @@ def link(docs: DataFrame, num: int = 75, den: int = 100, forests: int = 2) -> tu
     spark = docs.sparkSession
     ship(spark)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = cut(given.mapInPandas(_profiles, "id long, n long, h1 long, h2 long, bits binary"), "profiles")
+    found = cut(given.mapInPandas(_profiles, "id long, n long, h1 long, h2 long, bits binary, few_bits binary"), "profiles")
     profile = found.where(F.col("n") >= 0)
     hot = found.where(F.col("n") < 0).groupBy("h1").agg((-F.sum("n")).alias("c")).where(F.col("c") >= HOT_LEAST)
     hot = np.sort(np.array([r.h1 for r in hot.orderBy(F.col("c").desc(), "h1").limit(HOT_MOST).collect()], "i8").view("u8"))
@@ -356,7 +365,7 @@ def link(docs: DataFrame, num: int = 75, den: int = 100, forests: int = 2) -> tu
     full = profile.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = cut(full.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")), "classes")
     chosen = classes.select(F.col("rep").alias("id")).distinct()
-    one = cut(full.join(chosen, "id", "left_semi").select("id", "n", "bits").dropDuplicates(["id"]), "reps")
+    one = cut(full.join(chosen, "id", "left_semi").select("id", "n", "bits", "few_bits").dropDuplicates(["id"]), "reps")
     others = _ids(profile.where(F.col("id").isNotNull()).select("id").distinct().join(one, "id", "left_anti").select("id"), "doc_id")
     texts = given.where(F.col("doc_id").isNotNull())
     rows = texts.join(others, "doc_id", "left_anti").mapInPandas(_joined_on(hot, num, den), "sig long, id long")
@@ -378,22 +387,25 @@ def link(docs: DataFrame, num: int = 75, den: int = 100, forests: int = 2) -> tu
         open_ = named.groupBy("sig").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
         open_ = open_.where((F.col("c") > 2) & (F.col("lo") != F.col("hi")))
         rest = named.join(open_.select("sig", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "sig")
-        rest = rest.join(one, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        rest = rest.join(one.select("id", "n", F.col("few_bits").alias("bits")), "id")
+        rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         spots = F.transform(
             F.sequence(F.lit(0), F.col("blocks") - 1),
             lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")),
         )
         rest = rest.select("sig", "id", "component", "n", "bits", "block", F.inline(spots))
         rest = rest.repartition(parts(spark), "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "id")
-        again = cut(rest.mapInPandas(_across(num, den, turn < forests), "a long, b long").distinct(), "across")
-        if again.isEmpty():  # no near pair is left, tried or not
+        again = cut(rest.mapInPandas(_across(num, den, turn < forests), "sig long, a long, b long"), "across")
+        spark.sparkContext._jvm.System.gc()
+        found = again.where(F.col("a") != F.col("b")).select("a", "b").distinct()
+        if found.isEmpty():  # no near pair is left, tried or not
             break
-        more, had = _check(again.join(tried, ["a", "b"], "left_anti"), one, texts, num, den)
+        more, had = _check(found.join(tried, ["a", "b"], "left_anti"), one, texts, num, den)
         links, tried = links.union(more), tried.union(had)
-        fresh = not more.isEmpty()
-        if fresh and turn < forests:
+        if turn < forests:  # buckets without near pairs are done with: sketches don't change
+            members = cut(members.join(again.select("sig").distinct(), "sig", "left_semi"), "members")
             known = components(links)
-        turn = turn + 1 if fresh else max(turn + 1, forests)  # where nothing changed, all near pairs are next
+        turn += 1
     return profile.join(classes, ["n", "h1", "h2"], "left").select("id", "n", "rep"), links
 
 
