@@ -76,9 +76,12 @@ def _metaphone(word: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("array<string>")
-def _metaphones(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: [_metaphone(v or "")])
+def _metaphones(c: Column) -> Column:
+    @F.pandas_udf("array<string>")
+    def over(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: [_metaphone(v or "")])
+
+    return over(c)
 
 
 ENCODERS: dict[str, Encoder] = {
@@ -89,7 +92,7 @@ ENCODERS: dict[str, Encoder] = {
     "prefixes": lambda c: F.array_distinct(F.array(*[F.substring(c, 1, n) for n in (2, 3, 4)])),
     "suffixes": lambda c: F.array_distinct(F.array(*[F.right(c, F.lit(n)) for n in (2, 3, 4)])),
     "soundex": lambda c: F.array(F.soundex(c)),
-    "metaphone": lambda c: _metaphones(c),
+    "metaphone": _metaphones,
     "first3": lambda c: F.array(F.substring(F.trim(c), 1, 3)),
     "first1": lambda c: F.array(F.substring(c, 1, 1)),
 }

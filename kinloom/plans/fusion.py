@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 COSTS = (0.1, 1.0, 10.0, 100.0, 1000.0)
@@ -33,7 +33,7 @@ class RandomFourier(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadabl
     @keyword_only
     def __init__(self, inputCol="simvec", outputCol="fourier", inputs=1, size=64, gamma=1.0, seed=3):
         super().__init__()
-        self._setDefault(size=64, gamma=1.0, seed=3, inputs=1)
+        self._setDefault(inputCol="simvec", outputCol="fourier", size=64, gamma=1.0, seed=3, inputs=1)
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -50,6 +50,7 @@ class ToVector(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, De
     @keyword_only
     def __init__(self, inputCol="simvec", outputCol="features"):
         super().__init__()
+        self._setDefault(inputCol="simvec", outputCol="features")
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -62,6 +63,7 @@ class Margin(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, Defa
     @keyword_only
     def __init__(self, inputCol="rawPrediction", outputCol="margin"):
         super().__init__()
+        self._setDefault(inputCol="rawPrediction", outputCol="margin")
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -83,7 +85,13 @@ def balanced(df: DataFrame) -> DataFrame:
 
 def best_model(train: DataFrame, fields: int, families=("linear", "rbf", "tree"), scoring="f1", folds=3, seed=17, costs=COSTS) -> tuple[str, PipelineModel]:
     """The first family with the highest cross-validated score, trained on all of ``train`` (simvec, label)."""
-    df = balanced(train.select("simvec", F.col("label").cast("double").alias("label"))).cache()
+    df = balanced(train.select("simvec", F.col("label").cast("double").alias("label")))
+    least = df.groupBy("label").count().agg(F.min("count"), F.count("*")).first()
+    if least[1] < 2:
+        raise ValueError("training pairs of both classes are needed")
+    folds = max(2, min(folds, least[0]))  # every fold has both classes
+    deal = Window.partitionBy("label").orderBy(F.xxhash64("simvec", F.lit(seed)), "simvec")
+    df = df.withColumn("fold", F.pmod(F.row_number().over(deal), F.lit(folds)).cast("int")).cache()
     n = max(1, df.count())
     best = None
     for family in families:
@@ -97,7 +105,7 @@ def best_model(train: DataFrame, fields: int, families=("linear", "rbf", "tree")
             steps = [RandomFourier(inputs=fields), ToVector(inputCol="fourier")] if family == "rbf" else [ToVector()]
         ready = Pipeline(stages=steps).fit(df)
         made = ready.transform(df)
-        cv = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=_evaluator(scoring), numFolds=folds, seed=seed)
+        cv = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=_evaluator(scoring), numFolds=folds, foldCol="fold")
         found = cv.fit(made)
         score = max(found.avgMetrics)
         if best is None or score > best[0]:
