@@ -60,7 +60,10 @@ class LinkageEngine:
         self.scheme = Scheme.from_json(self.store.json("scheme", scheme))
         if not self.store.has("pairs/_SUCCESS"):
             pool = labels.cosine(labels.neighbours(records, s.window), labels.token_weights(records)).where(F.col("sim") < s.lower)
+            all_pos, all_neg = pos, neg
             pos, neg = labels.in_blocks(pos, neg, pool, records, self.scheme, neg.count())
+            # where the scheme separates a class completely, its unfiltered pairs (zero vectors) stand for it
+            pos, neg = (all_pos if pos.isEmpty() else pos), (all_neg if neg.isEmpty() else neg)
         pairs = self.store.table("pairs", lambda: pos.withColumn("label", F.lit(1)).unionByName(neg.withColumn("label", F.lit(0))))
         self.measures = self.store.json("measures", lambda: choice.choose(pairs, records, s.by_average_precision))
         if s.use_classifier:
