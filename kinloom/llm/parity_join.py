@@ -37,7 +37,8 @@ from kinloom.shipping import ship
 
 WIDTH = 5
 SMALL = 64
-HOT_IN_BATCH, HOT_LEAST, HOT_MOST = 8, 32, 1 << 16
+HOT_IN_BATCH, HOT_LEAST, HOT_MOST = 4, 32, 1 << 16
+CHUNK = 2500  # texts whose sets are held at once
 BLOCK = 1024
 
 
@@ -47,7 +48,7 @@ class _Known(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = int.from_bytes(xxhash.xxh3_64_digest(word), "big", signed=True)
         return h
@@ -152,8 +153,8 @@ def signatures(s: np.ndarray, hot: np.ndarray, num: int, den: int) -> tuple[np.n
 
 
 def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each document its size, two hashes of its set and its sketch; and shingles that many texts of a batch have."""
-    for b in batches:
+    """For each document its size, two hashes of its set and its sketch; and shingles that several texts of a chunk have."""
+    for b in (whole.iloc[i : i + CHUNK] for whole in batches for i in range(0, len(whole), CHUNK)):
         rows, seen, sets = [], set(), []
         for d, t in zip(b.doc_id, b.text, strict=True):
             s = shingles(t)
