@@ -9,15 +9,20 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows of a batch for Python workers: texts are long, and a worker holds a batch several times over.
+BATCH = 2000
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's sources to the executors of this application, once.
+    """Send the package's sources to the executors of this application, once, and bound the batches of Python workers.
 
     Functions that run in Python workers are pickled by reference, so workers must be able to import them wherever
     the driver found the package.
     """
     sc = spark.sparkContext
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH:
+        spark.conf.set(rows, str(BATCH))
     if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
