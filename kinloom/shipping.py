@@ -9,8 +9,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
-#: Rows of a batch for Python workers: texts are long, and a worker holds a batch several times over.
-BATCH = 2000
+#: Bytes of a batch for Python workers, which hold a batch several times over; a row count alone doesn't bound long texts.
+BATCH_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -20,9 +20,9 @@ def ship(spark: SparkSession) -> None:
     the driver found the package.
     """
     sc = spark.sparkContext
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(rows)) <= BATCH:
-        spark.conf.set(rows, str(BATCH))
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < sc._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) <= BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
     if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
