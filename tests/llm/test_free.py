@@ -166,6 +166,21 @@ def test_pseudo_likelihood(spark):
     assert sum(x.score for x in seen) / sum(x.n_words for x in seen) > -0.65  # of a balanced pair of words: -0.69
 
 
+def test_pseudo_likelihood_trains_on_every_document(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    plain = pseudo_likelihood.train
+
+    def counted(params, rows, words, *rest):
+        seen.add(len(words))
+        return plain(params, rows, words, *rest)
+
+    monkeypatch.setattr(pseudo_likelihood, "train", counted)
+    # over 4,000 documents: where a round was once a part of the table
+    many = spark.range(4400).selectExpr("id doc_id", "concat('sun rises ', id % 7) text")
+    pseudo_likelihood.fit(many, pseudo_likelihood.Shape(frequent=5, classes=3, hidden=2), rounds=2)
+    assert seen.value == 2 * 3 * 4400
+
+
 def test_language(spark):
     r = random.Random(4)
     lex = {"xx": ["kalo", "mira", "tevo", "runa"], "yy": ["strob", "blick", "grund", "tramp"]}
