@@ -181,6 +181,23 @@ def test_pseudo_likelihood_trains_on_every_document(spark, monkeypatch):
     assert seen.value == 2 * 3 * 4400
 
 
+def test_pseudo_likelihood_of_rare_words(spark):
+    shape = pseudo_likelihood.Shape(frequent=2, classes=1, hidden=4)
+    texts = ["sun rises " * 9 + w for w in ("ab", "ab", "ab", "zq", "É", "é zq")] + ["sun rises"]
+    df = docs(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    words, params = pseudo_likelihood.fit(df, shape)
+    count = {"ab": 3, "zq": 2, "é": 2}
+    voc = pseudo_likelihood.Vocabulary(words, shape)
+    for near in (0, 1, 100):  # all by the join, some, all by the workers' table
+        got = {x.doc_id: x for x in pseudo_likelihood.apply(df, words, params, shape, near=near).collect()}
+        for i, t in enumerate(texts):
+            rows, ids = pseudo_likelihood.windows([voc.ids(t)], shape)
+            want = pseudo_likelihood.log_probabilities(params, rows, ids, shape).sum()
+            want += sum(np.log(count[w] / 7) for w in t.lower().split() if w in count)
+            assert abs(got[i].score - want) < 1e-3 and abs(got[i].mean_score * got[i].n_words - got[i].score) < 1e-9
+        assert got[0].score == got[2].score > got[3].score  # one class, different words
+
+
 def test_language(spark):
     r = random.Random(4)
     lex = {"xx": ["kalo", "mira", "tevo", "runa"], "yy": ["strob", "blick", "grund", "tramp"]}
