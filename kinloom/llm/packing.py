@@ -4,11 +4,11 @@ Documents become token ids (byte-level BPE) and an end id; longer ones than a se
 remainder as the first piece. Pieces of one length are interchangeable, so the packing is solved on the histogram of lengths: at
 most ``capacity`` numbers reach the driver, whatever the input's size. Best-fit decreasing gives the incumbent; if it
 needs more sequences than the lower bound, a branch-and-bound completes bins around the largest length left:
-it enumerates undominated fillings (no item can be added, none replaced by a longer one), repeats a filling as often as counts
-allow, and prunes by the waste that a better solution may still have. Each filling and its repetitions become places, and the
+it enumerates all undominated fillings (no item can be added, none replaced by a longer one), least waste first, repeats a
+filling as often as counts allow, then less often, and prunes by the waste that a better solution may still have. Each filling and its repetitions become places, and the
 k-th piece of a length takes the k-th place of that length; places are dealt out by a distributed rank.
 
-``node_limit`` bounds the search; when it is hit, the best solution so far stays.
+``node_limit`` alone bounds the search; when it is hit, the best solution so far stays.
 
 Edge cases: a null or empty text is one piece, the end id alone; ids are those of each row, so repeated rows are packed each; an
 empty table gives an empty result. Ties between pieces of one length go by doc_id, piece and checksum.
@@ -127,48 +127,49 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Filling]:
     return [(n, items) for by in classes.values() for items, n in by.items()]
 
 
-def fillings(sizes: list[int], counts: dict[int, int], room: int, most_waste: int, width: int, tries: int = 4000) -> list[tuple[int, tuple]]:
-    """Undominated fillings of ``room`` as (waste, items), at most ``width``, least waste first."""
-    found: dict[tuple, int] = {}
-    left = tries
+def fillings(sizes: list[int], counts: dict[int, int], room: int, most_waste: int, after: tuple[int, tuple | None] = (0, None)) -> Iterator[tuple[int, tuple | None]]:
+    """All undominated fillings of ``room`` as (waste, items), one by one, least waste first, then longest items first.
+
+    Only those that come later than ``after`` in this order; None stands for a dominated one.
+    """
     usable = [s for s in sizes if s <= room and counts[s]]
-    low = usable[-1] if usable else 0
+    have = [counts[s] for s in usable]
+    # bit x of reach[i]: some of usable[i:] add up to x, so that no branch below ends without a filling
+    reach, whole = [1] * (len(usable) + 1), (1 << room + 1) - 1
+    for i in range(len(usable) - 1, -1, -1):
+        got, left, step = reach[i + 1], min(have[i], room // usable[i]), 1
+        while left:
+            n = min(step, left)
+            got |= got << n * usable[i] & whole
+            left, step = left - n, 2 * step
+        reach[i] = got
 
     def undominated(items: tuple, waste: int) -> bool:
+        """No item can be added, none replaced by a longer one."""
         used = dict(items)
-        if any(s <= waste and counts[s] > used.get(s, 0) for s in usable[-1:]):
-            return False  # the shortest one left still fits
-        return not any(t > s and t - s <= waste and counts[t] > used.get(t, 0) for s, _ in items for t in _above(usable, s, s + waste))
-
-    def go(i: int, room_left: int, items: tuple) -> bool:
-        nonlocal left
-        left -= 1
-        if left < 0:
-            return False
-        while i < len(usable) and usable[i] > room_left:
+        free = [s for s, n in zip(usable, have, strict=True) if n > used.get(s, 0)]
+        return not waste or not any(t <= waste for t in free[-1:]) and not any(s < t <= s + waste for s in used for t in free)
+
+    def go(i: int, left: int, items: tuple, last: tuple | None) -> Iterator[tuple]:
+        if not left:
+            if items != last:
+                yield items
+            return
+        while i < len(usable) and reach[i] >> left & 1:
+            s = usable[i]
             i += 1
-        if i == len(usable) or room_left < low:
-            if room_left <= most_waste and items not in found and undominated(items, room_left):
-                found[items] = room_left
-            return not (room_left == 0 and sum(1 for w in found.values() if w == 0) >= width)
-        s = usable[i]
-        for c in range(min(counts[s], room_left // s), -1, -1):
-            if not go(i + 1, room_left - c * s, (*items, (s, c)) if c else items):
-                return False
-        return True
-
-    if usable:
-        go(0, room, ())
-    elif room <= most_waste:
-        found[()] = room
-    return sorted(((w, items) for items, w in found.items()), key=lambda x: (x[0], [-s for s, _ in x[1]]))[:width]
-
+            for c in range(min(have[i - 1], left // s), 0, -1):
+                more = (*items, (s, c))
+                if reach[i] >> left - c * s & 1 and (last is None or more <= last[: len(more)]):
+                    yield from go(i, left - c * s, more, last)
 
-def _above(usable: list[int], low: int, high: int) -> list[int]:
-    return [t for t in usable if low < t <= high]
+    for waste in range(after[0], min(room, most_waste) + 1):
+        if reach[0] >> room - waste & 1:
+            for items in go(0, room - waste, (), after[1] if waste == after[0] else None):
+                yield waste, items if undominated(items, waste) else None
 
 
-def complete_bins(counts: dict[int, int], capacity: int, incumbent: list[Filling], bound: int, node_limit: int, width: int = 4) -> list[Filling]:
+def complete_bins(counts: dict[int, int], capacity: int, incumbent: list[Filling], bound: int, node_limit: int) -> list[Filling]:
     """Bin completion: a solution of fewer sequences than ``incumbent``, or ``incumbent``."""
     best, total = incumbent, sum(s * c for s, c in counts.items())
     used = sum(n for n, _ in best)
@@ -178,21 +179,27 @@ def complete_bins(counts: dict[int, int], capacity: int, incumbent: list[Filling
     bins, waste = 0, 0
 
     def options() -> Iterator:
+        # when this goes on after a yield, ``left`` is as it was before; sequences of one longest item come in the order of
+        # fillings, as any other order was seen or will be
         sizes = [s for s in sorted(left, reverse=True) if left[s]]
         big = sizes[0]
-        left[big] -= 1
         spare = (used - 1) * capacity - total - waste
-        got = fillings(sizes, left, capacity - big, spare, width)
-        left[big] += 1
-        for w, items in got:
+        after = (0, None)
+        if stack and stack[-1][1][0][0] == big:
+            _, last, w = stack[-1]
+            after = (w, tuple((s, c - (s == big)) for s, c in last if s != big or c > 1))
+        for w, items in fillings(sizes, left | {big: left[big] - 1}, capacity - big, spare, after):
+            if items is None:
+                yield 0, (), 0
+                continue
             merged: dict[int, int] = {big: 1}
             for s, c in items:
                 merged[s] = merged.get(s, 0) + c
             n = min(left[s] // c for s, c in merged.items())
             if w:
                 n = min(n, spare // w)
-            if n:
-                yield n, tuple(merged.items()), w
+            for k in range(n, 0, -1):
+                yield k, tuple(merged.items()), w
 
     if not any(left.values()):
         return []
@@ -209,7 +216,7 @@ def complete_bins(counts: dict[int, int], capacity: int, incumbent: list[Filling
                 bins, waste = bins - n, waste - n * w
             continue
         n, items, w = step
-        if waste + n * w > (used - 1) * capacity - total:
+        if not n or waste + n * w > (used - 1) * capacity - total:
             continue
         for s, c in items:
             left[s] -= n * c

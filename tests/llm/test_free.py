@@ -121,6 +121,15 @@ def test_packing_solver_is_optimal_on_small_cases():
         assert sum(n for n, _ in got) == least(items, 20)
 
 
+def test_packing_search_leaves_nothing_out():
+    cases = [({24: 1, 27: 4, 20: 3, 13: 5, 9: 4}, 50, 6), ({14: 5, 6: 4, 18: 2, 16: 1, 11: 3, 13: 4}, 30, 8), ({13: 6, 18: 4, 16: 3, 22: 6, 25: 2}, 50, 8)]
+    for counts, cap, bound in cases:
+        for more in ({}, {cap: 2}):  # full pieces leave no room
+            got = packing.solve(counts | more, cap)
+            assert sum(n for n, _ in got) == packing.lower_bound(counts | more, cap) == bound + sum(more.values())
+            assert {s: sum(n * dict(f).get(s, 0) for n, f in got) for s in counts | more} == counts | more
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
