@@ -2,12 +2,13 @@
 
 Each rule measures a text and rejects it above a cutoff. For each stratum (language) and rule the cutoff is the strictest
 of a fixed grid whose false rejection of good texts is certified: among n good holdout texts, of which k exceed the cutoff,
-the exact binomial tail P(Bin(n, alpha) <= k) must be at most delta divided by the number of tests (strata x rules x
-grid points; Bonferroni). With probability 1 - delta at least, no certified cutoff then rejects more than alpha of the good texts of
+the exact binomial tail P(Bin(n, alpha) <= k) must be at most delta divided by the number of strata x rules (Bonferroni).
+A grid is tested from lenient to strict up to the first failure, a fixed sequence, which needs no division by its length; as
+k only grows on the way, that is the strictest cutoff to pass. With probability 1 - delta at least, no certified cutoff then rejects more than alpha of the good texts of
 its stratum. A rule that can't be certified in a stratum rejects nothing there.
 
-Only DataFrame functions run over the texts. To the driver come the certified cutoffs alone: at most ``most_strata`` strata by
-rules; further strata share one more, ``rest``.
+Only DataFrame functions run over the texts. Every stratum has its own cutoffs, in a table that is joined; only strata with a
+certified cutoff are in it, which have hundreds of good labels each.
 
 Edge cases: a null or empty text has no words, so it fails the base rule; a null language is a stratum of its own;
 a document without label takes no part in the choice of cutoffs; of repeated labels of one document each counts,
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import let, words_of
+from kinloom.llm.common import cut, let, words_of
 
 #: Grids, lenient to strict. Share of: symbols per word, exclamation marks per word, words in repeated windows, repeated lines.
 GRIDS: dict[str, tuple[float, ...]] = {
@@ -38,7 +39,6 @@ WINDOW = 8
 class Risk:
     alpha: float = 0.02  # most good texts rejected, over all rules of a stratum
     delta: float = 0.05  # chance that the guarantee fails anywhere
-    most_strata: int = 64
 
 
 def repeated_words(words: Column) -> Column:
@@ -141,24 +141,16 @@ def ln_lower_tail(k: Column, n: Column, p: float) -> Column:
     return at_k + F.log(total)
 
 
-def _stratum(known: list[str] | None = None) -> Column:
-    name = F.when(F.col("lang").isNull(), "null").otherwise(F.concat(F.lit("lang="), F.col("lang")))
-    return name if known is None else F.when(name.isin(known), name).otherwise("rest")
+def _stratum() -> Column:
+    return F.when(F.col("lang").isNull(), "null").otherwise(F.concat(F.lit("lang="), F.col("lang")))
 
 
-def cutoffs(shares: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> dict[str, dict[str, float]]:
-    """Certified cutoffs by stratum and rule. ``shares``: doc_id, lang and the rules' shares."""
+def cutoffs(shares: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
+    """``_stratum`` and ``_cuts``, the certified cutoffs by rule (null: none). ``shares``: doc_id, lang and the rules' shares."""
     good = labels.where(F.col("quality") == 1).select("doc_id")
-    held = shares.join(good, "doc_id").select(_stratum().alias("stratum"), *GRIDS)
+    held = shares.join(good, "doc_id").select(_stratum().alias("_stratum"), *GRIDS)
     over = [F.count_if(F.col(r) > c).alias(f"{r}{i}") for r, grid in GRIDS.items() for i, c in enumerate(grid)]
-    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *over)
-    ranked = counts.orderBy(F.col("n").desc(), "stratum").limit(risk.most_strata).select("stratum")
-    top = [r.stratum for r in ranked.collect()]
-    if not top:
-        return {}
-    pooled = counts.groupBy(F.when(F.col("stratum").isin(top), F.col("stratum")).otherwise("rest").alias("stratum")).agg(
-        F.sum("n").alias("n"), *[F.sum(f"{r}{i}").alias(f"{r}{i}") for r, grid in GRIDS.items() for i in range(len(grid))]
-    )
+    counts = cut(held.groupBy("_stratum").agg(F.count("*").alias("n"), *over), "strata")
     tests = F.explode(
         F.array(
             *[
@@ -168,30 +160,21 @@ def cutoffs(shares: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> dict[s
             ]
         )
     )
-    each = pooled.select("stratum", "n", tests.alias("t")).select("stratum", "n", "t.*")
-    level = risk.delta / ((len(top) + 1) * sum(map(len, GRIDS.values())))
+    each = counts.select("_stratum", "n", tests.alias("t")).select("_stratum", "n", "t.*")
+    level = risk.delta / (max(1, counts.count()) * len(GRIDS))
     alpha = risk.alpha / len(GRIDS)
     tail = ln_lower_tail(F.col("k"), F.col("n"), alpha)
     sure = each.where((F.col("k") < F.col("n") * alpha) & (F.when(F.col("k") < F.col("n") * alpha, tail) <= F.log(F.lit(level))))
-    found: dict[str, dict[str, float]] = {s: {} for s in [*top, "rest"]}
-    for r in sure.groupBy("stratum", "rule").agg(F.min("cut").alias("cut")).collect():
-        found[r.stratum][r.rule] = r.cut
-    return found
+    strictest = [F.min(F.when(F.col("rule") == r, F.col("cut"))).alias(r) for r in GRIDS]
+    return sure.groupBy("_stratum").agg(*strictest).select("_stratum", F.struct(*GRIDS).alias("_cuts"))
 
 
-def verdict(cuts: dict[str, dict[str, float]], share) -> Column:
-    """Whether a text stays: no base failure, no share above its stratum's cutoff."""
-    known = [s for s in cuts if s != "rest"]
+def with_verdict(measures: DataFrame, cuts: DataFrame, share) -> DataFrame:
+    """``measures`` with ``_kept``, whether a text stays: no base failure, no share above its stratum's cutoff."""
     stays = ~share("base_failed")
-    if cuts:
-        mine = _stratum(known)
-        for rule in GRIDS:
-            limit = F.lit(float("inf"))
-            for s, by in cuts.items():
-                if rule in by:
-                    limit = F.when(mine == s, F.lit(by[rule])).otherwise(limit)
-            stays = stays & (share(rule) <= limit)
-    return stays
+    for rule in GRIDS:
+        stays = stays & F.coalesce(share(rule) <= F.col(f"_cuts.{rule}"), F.lit(True))
+    return measures.withColumn("_stratum", _stratum()).join(F.broadcast(cuts), "_stratum", "left").withColumn("_kept", stays)
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -202,11 +185,12 @@ def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), hold=None) ->
     m = measured(docs.select("doc_id", "lang", "text")).select("doc_id", "lang", "m.*")
     m = hold(m) if hold else m
     cuts = cutoffs(m, labels, risk)
-    return m.select("doc_id", *COUNTS, "base_failed", verdict(cuts, F.col).alias("kept"))
+    return with_verdict(m, cuts, F.col).select("doc_id", *COUNTS, "base_failed", F.col("_kept").alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
     """The rows of ``docs`` that the rules keep. Texts are measured twice rather than moved."""
     m = measured(docs.select("doc_id", "lang", "text")).select("doc_id", "lang", "m.*")
     cuts = cutoffs(m, labels, risk)
-    return measured(docs).where(verdict(cuts, lambda c: F.col(f"m.{c}"))).select(*[docs[c] for c in docs.columns])
+    judged = with_verdict(measured(docs), cuts, lambda c: F.col(f"m.{c}"))
+    return judged.where("_kept").select(*docs.columns)

@@ -98,6 +98,18 @@ def test_quality_counts_and_guarantee(spark):
     assert risk_rules.judge(docs(spark, rows).limit(0), labels).count() == 0
 
 
+def test_quality_cutoffs_of_every_stratum(spark):
+    # 1,300 good labels suffice for one stratum and not, were the grid divided by, for 22 tests; 70 strata each have their own
+    shares = [f"if(id % 70 = 69, 9.0, 0.0) {r}" for r in risk_rules.GRIDS]
+    m = spark.range(70 * 2000).selectExpr("id doc_id", "concat('l', id % 70) lang", *shares)
+    labels = m.selectExpr("doc_id", "1 quality")
+    got = {r._stratum: r._cuts for r in risk_rules.cutoffs(m, labels).collect()}
+    assert set(got) == {f"lang=l{i}" for i in range(69)}
+    assert all(c.asDict() == {r: min(g) for r, g in risk_rules.GRIDS.items()} for c in got.values())
+    one = m.where("lang = 'l0' and doc_id < 70 * 1300")
+    assert [r._stratum for r in risk_rules.cutoffs(one, labels).collect()] == ["lang=l0"]
+
+
 def test_binomial_tail(spark):
     for k, n, p in ((0, 300, 0.02), (3, 500, 0.02), (40, 3000, 0.02), (15, 25, 0.9)):
         want = math.log(sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1)))
