@@ -338,7 +338,10 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, sure: float = 0.9, **options) -> DataFrame:
-    """The rows of ``docs`` with a language: some letters, and no label that a prediction of score ``sure`` contradicts."""
+    """The rows of ``docs`` with a language: some letters, and no label that a prediction of score ``sure`` contradicts.
+
+    A language that the model has not learned can't be predicted, so its label is never contradicted.
+    """
     spark = docs.sparkSession
     ship(spark)
     model = spark.sparkContext.broadcast(fit(docs, **options))
@@ -348,7 +351,7 @@ def keep_identified(docs: DataFrame, sure: float = 0.9, **options) -> DataFrame:
     def keep(batches):
         for b in batches:
             got = next(run(iter([b[["text"]]])))
-            wrong = b.lang.notna().to_numpy() & (got.lang_pred.to_numpy() != b.lang.to_numpy()) & (got.score.to_numpy() >= sure)
+            wrong = b.lang.isin(model.value.langs).to_numpy() & (got.lang_pred.to_numpy() != b.lang.to_numpy()) & (got.score.to_numpy() >= sure)
             yield b[(got.lang_pred.to_numpy() != UND) & ~wrong]
 
     from pyspark.sql import types as T

@@ -225,6 +225,16 @@ def test_language(spark):
     assert n.tolist() == [100, 0] and np.allclose(exact[0].sum(0), sums[0], atol=0.1)
 
 
+def test_language_that_was_not_learned_is_kept(spark):
+    r = random.Random(4)
+    lex = {"xx": ["kalo", "mira", "tevo", "runa"], "yy": ["strob", "blick", "grund", "tramp"]}
+    rows = [(i, " ".join(r.choices(lex[g], k=25)), g) for i in range(160) for g in [("xx", "yy")[i % 2]]]
+    rows += [(500, "kalo mira tevo runa " * 6, "zz"), (501, "kalo mira tevo runa " * 6, "yy")]  # 501: a label that is wrong
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {x.doc_id for x in crf_langid.keep_identified(df, most_langs=2).collect()}
+    assert kept == {i for i, _, _ in rows} - {501}
+
+
 def test_unigram_counts_equal_the_tokenizer(spark):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
