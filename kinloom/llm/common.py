@@ -78,6 +78,15 @@ def _clean() -> None:
             return
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{stem}"
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` worked out once, also where lambdas in ``body`` use it many times."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

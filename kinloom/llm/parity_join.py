@@ -9,17 +9,25 @@ hashes are dealt to m parts of a very wide sketch, a part being kept as the XOR
 XOR). A difference spoils one part at most, so of a document's occupied parts all but d are found in its partner. It
 therefore suffices to join on any d+1 of them, if all documents choose by one order: parts that hold a
 rarer shingle come first, parts of very frequent shingles last, then by hash. (Sets under 64 shingles have a part for each
-hash.) A document with too few occupied parts for that is compared with all of its size band.
+hash.) A document with too few occupied parts for that is compared with all of its size band and the next ones.
 
-The join never lists all pairs of a bucket: first each member meets the smallest id of its bucket; pairs are filtered by size and by
-a narrow sketch's Hamming distance, then verified on the whole sets; components follow. Then buckets whose members are still
-in several components are compared by sketch, in blocks of bounded size: in two rounds each component is verified against
-its nearest neighbour only, and a last round verifies all pairs that are then still near and in different components. Every linked pair
-of different texts meets in some bucket, so none is lost; documents of equal sets are one class from the start.
+The join never lists all pairs of a bucket. First each member meets the smallest id of its bucket; buckets of frequent
+shingles are salted for that, and their salts' smallest ids meet in turn. Pairs are filtered by size and by the sketch's Hamming
+distance, then verified on the whole sets; components follow. Then buckets whose members are still in several components
+are compared in blocks of bounded size, across components only: by a quarter of the sketch, to find the members
+that have a near partner at all; by the whole sketch, where each component is verified against its nearest neighbour only; and
+what is then still near and apart is verified within its block, which returns the links that join components there. So
+what a step returns grows with the rows it reads, not with the pairs it compares, and no linked pair of different texts is
+lost. Documents of equal sets are one class from the start.
 
 Edge cases: a null text or one without words has an empty set and is linked with nothing; fewer than five words are one
-shingle; very long texts are sets like others (a task holds one batch of texts); equal rows, and rows of one doc_id,
-count as linked; a row without doc_id has no component; an empty table gives an empty result; other columns are ignored.
+shingle; very long texts are sets like others (hashed in windows of 64 KB; a task holds one batch of texts); equal rows, and rows
+of one doc_id, count as linked; a row without doc_id has no component; an empty table gives an empty result; other
+columns, whatever their names, are ignored. Similarities under one half are refused: sizes may then differ by more than an octave.
+
+Constants that change speed only, never results: ``HOT_IN_BATCH``, ``HOT_LEAST`` and ``HOT_MOST`` say which shingles
+count as frequent (joined on last, salted), ``SALTS`` how far their buckets are split, ``CHUNK`` and ``BLOCK`` how much a
+worker handles at once, ``WIDEST`` the largest sketch.
 """
 
 from __future__ import annotations
@@ -27,34 +35,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import cut, drop_cut, parts
+from kinloom.llm.common import cut, drop_cut, fresh, parts
 from kinloom.llm.components import components
 from kinloom.shipping import ship
 
 WIDTH = 5
 SMALL = 64
 HOT_IN_BATCH, HOT_LEAST, HOT_MOST = 4, 32, 1 << 16
-CHUNK = 2500  # texts whose sets are held at once
+HOT_HELD = 1_500_000  # shingles that are counted together
+SALTS = 64
+CHUNK = 2 << 20  # bytes of texts whose sets are held at once
 BLOCK = 1024
+WIDEST = 1 << 17  # bits
+SPAN = 1 << 16
 
-
-class _Known(dict):
-    """Hashes of words seen lately."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 250_000:
-            self.clear()
-        h = self[word] = int.from_bytes(xxhash.xxh3_64_digest(word), "big", signed=True)
-        return h
-
-
-_known = _Known()
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], "u8")
 
 
@@ -64,36 +62,114 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.r_[np.uint64(1), np.multiply.accumulate(np.full(n, base, "u8"))]
+
+
+# a word's hash is the sum of its bytes' values times powers of an odd number, which sums over the text give at once
+_BASE = 0x9FB21C651E98DF25
+_POWER, _INVERSE = _powers(_BASE, SPAN), _powers(pow(_BASE, -1, 1 << 64), SPAN)
+_lower = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], "u8")
+_BYTE = mix64((_lower + np.uint64(1)) * _C[0])
+_BLANK = np.array([b == 0x20 or 0x09 <= b <= 0x0D for b in range(256)])
+
+
+def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts ``data[at[i]:at[i + 1]]`` (UTF-8, A-Z as a-z), and each text's number of words."""
+    n = len(data)
+    if not n:
+        return np.empty(0, "u8"), np.zeros(len(at) - 1, "int64")
+    word = ~_BLANK[data]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    edge = np.unique(at)
+    first[edge[:-1]] = word[edge[:-1]]
+    last[edge[1:] - 1] = word[edge[1:] - 1]
+    begin, end = np.flatnonzero(first), np.flatnonzero(last)
+    before, upto = np.empty(len(begin), "u8"), np.empty(len(begin), "u8")
+    back = np.empty(len(begin), "u8")
+    so_far, up, down = np.uint64(0), np.uint64(1), np.uint64(1)
+    for lo in range(0, n, SPAN):
+        m = min(SPAN, n - lo)
+        x = _BYTE[data[lo : lo + m]]
+        x *= _POWER[:m]
+        x *= up
+        sums = np.cumsum(x, dtype="u8")
+        sums += so_far
+        i, j = np.searchsorted(begin, (lo, lo + m))
+        here = begin[i:j] - lo
+        before[i:j] = sums[here] - x[here]
+        back[i:j] = _INVERSE[here] * down
+        i, j = np.searchsorted(end, (lo, lo + m))
+        upto[i:j] = sums[end[i:j] - lo]
+        so_far, up, down = sums[-1], up * _POWER[SPAN], down * _INVERSE[SPAN]
+    return mix64((upto - before) * back), np.diff(np.searchsorted(begin, at))
+
+
+def sets_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' sets, one after the other, each sorted, and where they begin."""
+    with np.errstate(over="ignore"):
+        h, n = word_hashes(data, at)
+        start = np.cumsum(n) - n
+        s, valid = np.zeros(len(h), "u8"), np.ones(len(h), bool)
+        if len(h) >= WIDTH:
+            own = s[: len(h) - WIDTH + 1]
+            for i in range(WIDTH):
+                own += h[i : len(h) - WIDTH + 1 + i] * _C[i]
+            own += np.uint64(WIDTH)
+        for k in range(1, WIDTH):  # a text's last words begin no shingle, unless it has no other
+            valid[(start + n - k)[n >= k]] = False
+            short = start[n == k]
+            s[short] = sum((h[short + i] * _C[i] for i in range(k)), np.uint64(k))
+        valid[start[(n > 0) & (n < WIDTH)]] = True
+        s = mix64(s[valid])
+    size = np.where(n >= WIDTH, n - WIDTH + 1, n > 0)
+    ends = np.cumsum(size)
+    for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True):
+        s[a:b].sort()
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    new[(ends - size)[size > 0]] = True
+    return s[new], np.r_[0, np.cumsum(new)][np.r_[0, ends]]
+
+
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of the text's 5-word shingles, or of its whole sequence of fewer words."""
-    # on bytes, lower() changes A-Z only and split() parts at 0x20 and 0x09-0x0D
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    n = len(words)
-    if not n:
-        return np.empty(0, "u8")
-    h = np.fromiter(map(_known.__getitem__, words), "i8", n).view("u8")
-    k = min(n, WIDTH)
-    s = h[: n - k + 1] * _C[0]
-    for i in range(1, k):
-        s = s + h[i : n - k + 1 + i] * _C[i]
-    s = mix64(s + np.uint64(k))
-    s.sort()
-    return s[np.r_[True, s[1:] != s[:-1]]]
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), "u1")
+    return sets_of(data, np.array([0, len(data)]))[0]
+
+
+def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, end, sets, begin) of runs of texts of at most ``CHUNK`` bytes, or of one text."""
+    if texts.null_count:
+        texts = texts.fill_null("")
+    _, offsets, data = texts.buffers()
+    if not len(texts):
+        return
+    kind = "i8" if pa.types.is_large_string(texts.type) else "i4"
+    at = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1].astype("int64")
+    data = np.frombuffer(data, "u1") if data else np.empty(0, "u1")
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK, "right")) - 1)
+        yield i, j, *sets_of(data[at[i] : at[j]], at[i : j + 1] - at[i])
+        i = j
 
 
 def sketch_bits(n: int) -> int:
-    """Width of the narrow sketch: eight times the octave of the set's size."""
-    return max(512, 8 << (max(n, 1).bit_length() - 1))
+    """Width of the sketch: eight times the octave of the set's size."""
+    return min(max(512, 8 << (max(n, 1).bit_length() - 1)), WIDEST)
 
 
 def sketch(s: np.ndarray) -> bytes:
     w = sketch_bits(len(s))
-    at = ((s >> np.uint64(17)) & np.uint64(w - 1)).astype("int64")
+    at = ((s >> np.uint64(17)) & np.uint64(w - 1)).view("int64")
     return np.packbits(np.bincount(at, minlength=w).astype("u1") & 1).tobytes()
 
 
 def narrow(b: bytes) -> bytes:
-    """A quarter of the sketch's width, for the comparison within buckets."""
+    """A quarter of the sketch's width, for the first comparison within buckets."""
     return fold(b, len(b) // 4).tobytes()
 
 
@@ -121,120 +197,196 @@ def bands(n: int, num: int, den: int) -> list[tuple[int, int]]:
     return out
 
 
-def _least(sig: np.ndarray, late: np.ndarray | None, k: int) -> np.ndarray:
-    """The first ``k`` by (late, sig)."""
-    if len(sig) <= k:
-        return sig
-    if late is None:
-        return np.partition(sig, k - 1)[:k]
-    soon = sig[~late]
-    return _least(soon, None, k) if len(soon) >= k else np.concatenate([soon, _least(sig[late], None, k - len(soon))])
-
-
-def signatures(s: np.ndarray, hot: np.ndarray, num: int, den: int) -> tuple[np.ndarray, bool]:
-    """What a set is joined on, and whether that is too little."""
-    n, out, few = len(s), [], False
-    frequent = np.zeros(n, bool)
-    if len(hot) and n:
-        frequent = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
-    any_frequent = frequent.any()
-    for band, d in bands(n, num, den):
-        if band == 0:
-            sig, late = s, frequent if any_frequent else None
+def frequent(s: np.ndarray, hot: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Whether each hash is in the sorted array ``hot``; ``cells`` marks the 20-bit prefixes of its hashes."""
+    out = cells[(s >> np.uint64(44)).view("int64")]
+    maybe = np.flatnonzero(out)
+    if len(maybe):
+        x = s[maybe]
+        out[maybe] = hot[np.minimum(np.searchsorted(hot, x), len(hot) - 1)] == x
+    return out
+
+
+def signatures(s: np.ndarray, begin: np.ndarray, hot: np.ndarray, cells: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray, int, bool]]:
+    """What each set is joined on, as (its number, signatures in order, how many of them - the last - are of frequent shingles only,
+    whether all are too few). A set has one such list for each of its bands."""
+    often, mixed = frequent(s, hot, cells), mix64(s)
+    by: dict[int, list[tuple[int, int]]] = {}
+    for i, n in enumerate(np.diff(begin).tolist()):
+        for band, d in bands(n, num, den) if n else ():
+            by.setdefault(band, []).append((i, d))
+    for band, sets in by.items():
+        lengths = np.array([begin[i + 1] - begin[i] for i, _ in sets])
+        ends = np.cumsum(lengths)
+        rows = np.repeat(np.array([begin[i] for i, _ in sets]) - (ends - lengths), lengths) + np.arange(ends[-1])
+        if band:
+            part = s[rows] >> np.uint64(63 - band)  # 2 << band parts; the sorted hashes of a part are neighbours
+            new = np.ones(len(rows), bool)
+            new[1:] = part[1:] != part[:-1]
+            new[(ends - lengths)] = True
+            first = np.flatnonzero(new)
+            sig = np.bitwise_xor.reduceat(mixed[rows], first) ^ part[first]
+            late = np.logical_and.reduceat(often[rows], first)
+            at = np.searchsorted(first, np.r_[ends - lengths, ends[-1]])
         else:
-            part = s >> np.uint64(63 - band)  # 2 << band parts; the sorted hashes of a part are neighbours
-            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            sig = np.bitwise_xor.reduceat(mix64(s), first) ^ part[first]
-            late = np.logical_and.reduceat(frequent, first) if any_frequent else None
+            sig, late, at = s[rows], often[rows], np.r_[0, ends]
         sig = mix64(sig + np.uint64(band * int(_C[1]) & (1 << 64) - 1))
-        few |= len(sig) <= d
-        out.append(_least(sig, late, d + 1))
-    return np.concatenate(out) if out else np.empty(0, "u8"), few
-
-
-def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each document its size, two hashes of its set and its sketch; and shingles that several texts of a chunk have."""
-    for b in (whole.iloc[i : i + CHUNK] for whole in batches for i in range(0, len(whole), CHUNK)):
-        rows, seen, sets = [], set(), []
-        for d, t in zip(b.doc_id, b.text, strict=True):
-            s = shingles(t)
-            key = int(s.sum(dtype="u8").view("i8")), int(mix64(s ^ _C[2]).sum(dtype="u8").view("i8"))
-            bits = sketch(s) if len(s) else b""
-            rows.append((d, len(s), *key, bits, narrow(bits)))
-            if key not in seen:
-                seen.add(key)
-                sets.append(s)
-        out = pd.DataFrame(rows, columns=["id", "n", "h1", "h2", "bits", "few_bits"])
-        yield out.astype({"id": "Int64"})
-        if sets:
-            h, c = np.unique(np.concatenate(sets), return_counts=True)
-            h, c = h[c >= HOT_IN_BATCH], c[c >= HOT_IN_BATCH]
-            if len(h):
-                yield pd.DataFrame({"id": pd.array([None] * len(h), "Int64"), "n": -c, "h1": h.view("i8"), "h2": 0, "bits": b"", "few_bits": b""})
+        any_late = np.logical_or.reduceat(late, at[:-1])
+        for (i, d), a, b, some in zip(sets, at[:-1].tolist(), at[1:].tolist(), any_late.tolist(), strict=True):
+            x, k = sig[a:b], d + 1
+            if not some:
+                yield i, np.sort(np.partition(x, k - 1)[:k] if b - a > k else x), 0, b - a < k
+                continue
+            soon, rest = x[~late[a:b]], x[late[a:b]]
+            if len(soon) >= k:
+                yield i, np.sort(np.partition(soon, k - 1)[:k]), 0, False
+            else:
+                rest = np.partition(rest, k - len(soon) - 1)[: k - len(soon)] if b - a > k else rest
+                yield i, np.concatenate([np.sort(soon), np.sort(rest)]), len(rest), b - a < k
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], list(columns))
+
+
+PROFILE = "id long, n long, h1 long, h2 long, bits binary, few_bits binary"
+
+
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each document its size, two hashes of its set and its sketch; and shingles that several texts held at once have."""
+    held, size = [], 0
+
+    def repeated() -> Iterator[pa.RecordBatch]:
+        x = np.concatenate(held)
+        cell = (x >> np.uint64(43)).view("int64")
+        h, c = np.unique(x[np.bincount(cell, minlength=1 << 21)[cell] >= HOT_IN_BATCH], return_counts=True)
+        h, c = h[c >= HOT_IN_BATCH], c[c >= HOT_IN_BATCH]
+        if len(h):
+            none = pa.nulls(len(h), pa.binary())
+            yield _batch(id=pa.nulls(len(h), pa.int64()), n=-c, h1=h.view("i8"), h2=np.zeros(len(h), "i8"), bits=none, few_bits=none)
+
+    for b in batches:
+        for i, j, s, begin in chunks(b.column(1)):
+            n, a = np.diff(begin), begin[:-1]
+            h1, h2, full = np.zeros(len(n), "u8"), np.zeros(len(n), "u8"), n > 0
+            if len(s):
+                h1[full], h2[full] = np.add.reduceat(s, a[full]), np.add.reduceat(mix64(s ^ _C[2]), a[full])
+            bits = [sketch(s[x:y]) if y > x else b"" for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+            few = pa.array([narrow(x) for x in bits], pa.binary())
+            yield _batch(id=b.column(0).slice(i, j - i), n=n, h1=h1.view("i8"), h2=h2.view("i8"), bits=pa.array(bits, pa.binary()), few_bits=few)
+            _, own = np.unique(np.stack([h1, h2], 1), axis=0, return_index=True)  # equal sets count once
+            own = own[n[own] > 0]
+            held.append(s if len(own) == len(n) else np.concatenate([np.empty(0, "u8"), *(s[begin[x] : begin[x + 1]] for x in own.tolist())]))
+            size += len(held[-1])
+            if size >= HOT_HELD:
+                yield from repeated()
+                held, size = [], 0
+    if size:
+        yield from repeated()
+
+
+JOINED = "sig long, salt int, id long, prev long"
 
 
 def _joined_on(hot, num: int, den: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(sig, salt, id, prev) rows; sig 0: to be compared with the whole band. Signatures of frequent shingles are salted by id.
+
+    ``prev`` is the signature before this one in the set's list, or 0: two sets with one ``prev`` have met there already.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = hot.value
+        cells = np.zeros(1 << 20, bool)
+        cells[(often >> np.uint64(44)).view("int64")] = True
         for b in batches:
-            ids, sigs, size = [], [], 0
-            for d, t in zip(b.doc_id, b.text, strict=True):
-                s, few = signatures(shingles(t), hot.value, num, den)
-                ids.append(np.full(len(s) + few, d, "int64"))
-                sigs.append(s)
-                if few:
-                    sigs.append(np.zeros(1, "u8"))  # 0: to be compared with the whole band
-                size += len(s)
-                if size > 500_000:
-                    yield pd.DataFrame({"sig": np.concatenate(sigs).view("i8"), "id": np.concatenate(ids)})
-                    ids, sigs, size = [], [], 0
-            if ids:
-                yield pd.DataFrame({"sig": np.concatenate(sigs).view("i8"), "id": np.concatenate(ids)})
+            ids = _numbers(b.column(0))
+            salt_of = (mix64(ids.astype("int64").view("u8")) % np.uint64(SALTS)).astype("i4") + 1
+            for i, _, s, begin in chunks(b.column(1)):
+                sigs, which, late = [np.empty(0, "u8")], [], []
+                for k, x, hot_ones, few in signatures(s, begin, often, cells, num, den):
+                    if few:
+                        x = np.r_[np.uint64(0), x]
+                    sigs.append(x)
+                    which.append((i + k, len(x)))
+                    late.append(hot_ones)
+                which = np.array(which, "int64").reshape(-1, 2)
+                row, sig = np.repeat(which[:, 0], which[:, 1]), np.concatenate(sigs)
+                from_end = np.repeat(np.cumsum(which[:, 1]), which[:, 1]) - np.arange(len(row))
+                salt = np.where(from_end <= np.repeat(np.array(late, "int64"), which[:, 1]), salt_of[row], 0)
+                prev = np.r_[np.uint64(0), sig[:-1]] if len(sig) else sig
+                prev[np.cumsum(which[:, 1])[:-1]] = 0
+                yield _batch(sig=sig.view("i8"), salt=salt.astype("i4"), id=ids[row].astype("int64"), prev=prev.view("i8"))
 
     return run
 
 
-def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (sig, id): each but a bucket's first with that first."""
-    last, hub, before = None, 0, None
+MEMBERS = "sig long, salt int, hub long, id long, prev long"
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (sig, salt, id), each id once, with the first id of their bucket as ``hub``.
+
+    Buckets of one id are left out, unless they are salted or of sig 0.
+    """
+    last, hub, id_, told = None, (0, 0), None, False  # of the row before: bucket, hub (id, prev), id, and whether the hub's row was returned
     for b in batches:
-        if not len(b):
+        if not b.num_rows:
             continue
-        sig, ids = b["sig"].to_numpy(), b["id"].to_numpy()
-        new = np.r_[last is None or sig[0] != last, sig[1:] != sig[:-1]]
-        same = np.r_[last is not None and sig[0] == last and ids[0] == before, (sig[1:] == sig[:-1]) & (ids[1:] == ids[:-1])]
-        at = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
-        hubs = np.where(at < 0, hub, ids[np.maximum(at, 0)])
-        keep = ~new & ~same & (hubs != ids)
-        last, hub, before = sig[-1], hubs[-1], ids[-1]
-        if keep.any():
-            yield pd.DataFrame({"sig": sig[keep], "hub": hubs[keep], "id": ids[keep]})
+        sig, salt, ids, prev = (_numbers(b.column(k)) for k in range(4))
+        goes_on = last == (sig[0], salt[0])
+        new, same = np.ones(len(sig), bool), np.zeros(len(sig), bool)
+        new[0], same[0] = not goes_on, goes_on and ids[0] == id_
+        new[1:] = (sig[1:] != sig[:-1]) | (salt[1:] != salt[:-1])
+        same[1:] = ~new[1:] & (ids[1:] == ids[:-1])
+        group = np.cumsum(new) - new[0]
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        hubs, hub_prev = ids[first], prev[first]
+        if goes_on:
+            hubs[0], hub_prev[0] = hub
+        other = ~same & (hubs[group] != ids)
+        alone = (salt[first] > 0) | (sig[first] == 0)
+        tell = alone | np.logical_or.reduceat(other, first)
+        if goes_on and (alone[0] or told):
+            tell[0] = False
+        keep = other | (new & tell[group])
+        late = np.flatnonzero(tell[:1] & goes_on)  # the hub came in an earlier batch
+        rows = np.r_[late, np.flatnonzero(keep)]
+        if len(rows):
+            yield _batch(sig=sig[rows], salt=salt[rows], hub=hubs[group[rows]], id=np.r_[hubs[late], ids[keep]], prev=np.r_[hub_prev[late], prev[keep]])
+        told = bool(tell[-1]) or (goes_on and group[-1] == 0 and (told or bool(alone[0])))
+        last, hub, id_ = (sig[-1], salt[-1]), (hubs[-1], hub_prev[-1]), ids[-1]
 
 
 def _near_pairs(num: int, den: int):
     """Of pairs with sizes and sketches those whose sketches are near enough."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for n, m, x, y in zip(b.n_a, b.n_b, b.bits_a, b.bits_b, strict=True):
-                w = min(len(x), len(y))
-                keep.append(int(np.bitwise_count(fold(x, w) ^ fold(y, w)).sum()) <= most_apart(n, m, num, den))
-            yield b.loc[keep, ["a", "b"]]
+            a, c, n, m = (_numbers(b.column(x)) for x in ("a", "b", "n_a", "n_b"))
+            bits = np.empty(2 * len(a), object)
+            bits[:] = b.column("bits_a").to_pylist() + b.column("bits_b").to_pylist()
+            rows = np.arange(len(a))
+            keep = _far(bits, rows, rows + len(a)) <= (n + m) * (den - num) // (den + num) if len(a) else rows
+            yield _batch(a=a[keep], b=c[keep])
 
     return run
 
 
+def _linked(s: np.ndarray, t: np.ndarray, num: int, den: int) -> bool:
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return den * both >= num * (len(s) + len(t) - both)
+
+
 def _verified(num: int, den: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held, keep = (None, None), []
-            for a, x, y in zip(b.a, b.text_a, b.text_b, strict=True):
-                if held[0] != a:
-                    held = a, shingles(x)
-                s, t = held[1], shingles(y)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(den * both >= num * (len(s) + len(t) - both))
-            yield b.loc[keep, ["a", "b"]]
+            x, y = ([s[v:w] for *_, s, at in chunks(b.column(c)) for v, w in zip(at[:-1], at[1:], strict=True)] for c in ("text_a", "text_b"))
+            keep = [_linked(s, t, num, den) for s, t in zip(x, y, strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -248,81 +400,197 @@ def _far(bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         rows, place = np.unique(np.concatenate([a[mine], b[mine]]), return_inverse=True)
         table = np.stack([fold(x, w) for x in bits[rows]]).view("u8")  # widths are multiples of 16 bytes
         x, y = np.split(place, 2)
-        for i in range(0, len(mine), 20_000):
-            out[mine[i : i + 20_000]] = np.bitwise_count(table[x[i : i + 20_000]] ^ table[y[i : i + 20_000]]).sum(axis=1)
+        step = max(1, (8 << 20) // int(w))
+        for i in range(0, len(mine), step):
+            out[mine[i : i + step]] = np.bitwise_count(table[x[i : i + step]] ^ table[y[i : i + step]]).sum(axis=1)
     return out
 
 
-def near_across(g: pd.DataFrame, num: int, den: int, forest: bool) -> pd.DataFrame:
-    """Pairs (a < b) of rows of one bucket block, across components, whose sizes and sketches are near enough.
-
-    ``g``: whole bucket blocks, sorted by (sig, i, j). ``forest``: of the pairs only the nearest one of each component; a row
-    with a = b names a bucket that has more.
-    """
-    none = pd.DataFrame({c: np.empty(0, "int64") for c in ("sig", "a", "b")})
-    if not len(g):
-        return none
-    ids, n, component, block = (g[c].to_numpy() for c in ("id", "n", "component", "block"))
-    i, j = g["i"].to_numpy(), g["j"].to_numpy()
-    key = g[["sig", "i", "j"]].to_numpy()
-    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-    end = np.repeat(np.r_[first[1:], len(g)], np.diff(np.r_[first, len(g)]))
-    found_a, found_b = [], []
-    rows, k = np.arange(len(g)), 1
-    while len(rows := rows[rows + k < end[rows]]):
-        a, b = rows, rows + k
-        lo, hi = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-        ok = (component[a] != component[b]) & (den * lo >= num * hi) & ((i[a] == j[a]) | (block[a] != block[b]))
-        found_a.append(a[ok])
-        found_b.append(b[ok])
-        k += 1
-    if not found_a:
-        return none
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
-    lo, hi = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
-    order = np.lexsort((hi, lo))  # a pair that meets in several buckets is compared once
-    order = order[np.r_[True, (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])]] if len(order) else order
-    a, b, lo, hi = a[order], b[order], lo[order], hi[order]
-    if not len(a):
-        return none
-    far = _far(g["bits"].to_numpy(), a, b)
-    near = far <= (n[a] + n[b]) * (den - num) // (den + num)
-    a, b, lo, hi, far = a[near], b[near], lo[near], hi[near], far[near]
-    sig = g["sig"].to_numpy()[a]
-    if forest and len(a):
+FEW = 32  # groups up to this size are compared many at once
+NONE = np.empty(0, "int64")
+
+
+class Block:
+    """Rows of whole groups, a group being a pair of blocks (sig, i, j) of a bucket; sorted by group and size."""
+
+    def __init__(self, key: np.ndarray, ids: np.ndarray, component: np.ndarray, n: np.ndarray, side: np.ndarray, prev: np.ndarray, bits: np.ndarray, num: int, den: int):
+        # side: of a group of two different blocks 0 or 1, else -1
+        self.key, self.id, self.component, self.n, self.side, self.prev, self.bits = key, ids, component, n, side, prev, bits
+        self.num, self.den = num, den
+        self.first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if len(key) else NONE
+        self.size = np.diff(np.r_[self.first, len(key)])
+
+    def _wanted(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n, c, s, p = self.n, self.component, self.side, self.prev
+        apart = (c[a] != c[b]) & (self.den * n[a] >= self.num * n[b])
+        return apart & ((s[a] < 0) | (s[a] != s[b])) & ((p[a] == 0) | (p[a] != p[b]))
+
+    def _most(self, a, b):
+        return (self.n[a] + self.n[b]) * (self.den - self.num) // (self.den + self.num)
+
+    def _small(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Near pairs of the small groups."""
+        rows = np.flatnonzero(np.repeat(self.size <= FEW, self.size))
+        end = np.repeat(self.first + self.size, self.size)
+        a, b = [], []
+        for k in range(1, FEW):
+            rows = rows[rows + k < end[rows]]
+            if not len(rows):
+                break
+            ok = self._wanted(rows, rows + k)
+            a.append(rows[ok])
+            b.append(rows[ok] + k)
+        if a:
+            a, b = np.concatenate(a), np.concatenate(b)
+            if len(a):
+                far = _far(self.bits, a, b)
+                near = far <= self._most(a, b)
+                yield a[near], b[near], far[near]
+
+    def _large(self, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Near pairs of one group, row by row: sizes rise, so partners of a width are neighbours."""
+        n, width = self.n[lo:hi], np.array([len(x) for x in self.bits[lo:hi]])
+        reach = np.searchsorted(n, n * self.den // self.num, "right")
+        for w in np.unique(width).tolist():
+            x, y = np.searchsorted(width, w), np.searchsorted(width, w, "right")
+            top = min(int(reach[y - 1]), int(np.searchsorted(width, 2 * w, "right")))
+            table = np.stack([fold(v, w) for v in self.bits[lo + x : lo + top]])
+            least = min(w, 64)
+            small = np.bitwise_xor.reduce(table.reshape(top - x, w // least, least), axis=1).view("u8")
+            table = table.view("u8")
+            for r in range(x, y):
+                to = min(int(reach[r]), top)
+                b = np.arange(lo + r + 1, lo + to)
+                if not len(b):
+                    continue
+                b = b[self._wanted(np.full(len(b), lo + r), b)]
+                for step in (small, table):
+                    if len(b):
+                        far = np.bitwise_count(step[b - lo - x] ^ step[r - x]).sum(axis=1)
+                        near = far <= self._most(np.full(len(b), lo + r), b)
+                        b, far = b[near], far[near]
+                if len(b):
+                    yield np.full(len(b), lo + r), b, far
+
+    def near(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of rows of a group, across components, whose sizes and sketches are near enough, and how far they are."""
+        found = list(self._small())
+        for lo, m in zip(self.first.tolist(), self.size.tolist(), strict=True):
+            if m > FEW:
+                found += self._large(lo, lo + m)
+        return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (NONE, NONE, NONE)
+
+    def flagged(self, rows: np.ndarray) -> dict:
+        rows = np.unique(rows)
+        return {**{c: self.key[rows, k] for k, c in enumerate(("sig", "i", "j"))}, "side": self.side[rows], "prev": self.prev[rows], "a": self.id[rows], "b": self.id[rows]}
+
+    def partnered(self) -> dict:
+        """The rows, as (sig, i, j, side, prev, a = b), that have a near partner."""
+        a, b, _ = self.near()
+        return self.flagged(np.concatenate([a, b]))
+
+    def forest(self) -> dict:
+        """As (sig, i, j, side, prev, a, b): the nearest near pair of each component of a group, and (a = b) rows with other near pairs."""
+        a, b, far = self.near()
+        if not len(a):
+            return self.flagged(NONE)
+        lo, hi = np.minimum(self.id[a], self.id[b]), np.maximum(self.id[a], self.id[b])
         rank = np.empty(len(a), "int64")
-        rank[np.lexsort((hi, lo, far / (n[a] + n[b])))] = np.arange(len(a))
-        both, place = np.concatenate([component[a], component[b]]), np.concatenate([rank, rank])
+        rank[np.lexsort((hi, lo, far / (self.n[a] + self.n[b])))] = np.arange(len(a))
+        both, place = np.concatenate([self.component[a], self.component[b]]), np.concatenate([rank, rank])
         order = np.lexsort((place, both))
-        best = place[order][np.r_[True, both[order][1:] != both[order][:-1]]]
-        keep = np.isin(rank, best)
-        left = np.unique(sig[~keep])  # buckets with near pairs that are not returned
-        lo, hi, sig = np.r_[lo[keep], left * 0], np.r_[hi[keep], left * 0], np.r_[sig[keep], left]
-    return pd.DataFrame({"sig": sig, "a": lo, "b": hi})
-
-
-def _across(num: int, den: int, forest: bool):
-    """Applies ``near_across`` to whole bucket blocks of rows sorted by (sig, i, j)."""
+        keep = np.isin(rank, place[order][np.r_[True, both[order][1:] != both[order][:-1]]])
+        # a pair that is chosen is verified wherever else it meets
+        pair = np.stack([lo, hi], 1)
+        _, number = np.unique(pair, axis=0, return_inverse=True)
+        keep = np.isin(number, number[keep])
+        more = self.flagged(np.concatenate([a[~keep], b[~keep]]))
+        once = np.flatnonzero(keep)[np.unique(number[keep], return_index=True)[1]]
+        here = {**{c: self.key[a[once], k] for k, c in enumerate(("sig", "i", "j"))}, "side": self.side[a[once]], "prev": self.prev[a[once]], "a": lo[once], "b": hi[once]}
+        return {c: np.concatenate([here[c], more[c]]) for c in here}
+
+    def links(self, text) -> dict:
+        """As (a, b): verified links that join the components of each group. ``text(row)``: a row's text."""
+        a, b, far = self.near()
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        held: dict[int, np.ndarray] = {}
+
+        def own(row: int) -> np.ndarray:
+            if (i := int(self.id[row])) not in held:
+                if len(held) >= 2 * BLOCK:
+                    held.pop(next(iter(held)))
+                held[i] = shingles(text(row))
+            return held[i]
+
+        out, failed = [], set()
+        for k in np.lexsort((far / (self.n[a] + self.n[b]), self.key[a, 0])).tolist() if len(a) else ():
+            r, s = int(a[k]), int(b[k])
+            x, y = find(int(self.component[r])), find(int(self.component[s]))
+            pair = tuple(sorted((int(self.id[r]), int(self.id[s]))))
+            if x == y or pair in failed:
+                continue
+            if _linked(own(r), own(s), self.num, self.den):
+                root[max(x, y)] = min(x, y)
+                out.append(pair)
+            elif len(failed) < 1 << 18:
+                failed.add(pair)
+        pairs = np.array(out, "int64").reshape(-1, 2)
+        return {"a": pairs[:, 0], "b": pairs[:, 1]}
+
+
+ACROSS = "sig long, i int, j int, side int, prev long, a long, b long"
+
+
+def _across(step: str, num: int, den: int):
+    """Applies a step of ``Block`` (partnered, forest, links) to whole groups of rows sorted by (sig, i, j, n, id)."""
+    exact = step == "links"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def columns(b: pa.RecordBatch) -> tuple:
+            key = np.stack([_numbers(b.column(c)).astype("int64") for c in ("sig", "i", "j")], 1)
+            bits = np.empty(b.num_rows, object)
+            bits[:] = b.column("bits").to_pylist()
+            text = np.empty(b.num_rows, object)
+            if exact:
+                text[:] = b.column("text").to_pylist()
+            return key, *(_numbers(b.column(c)) for c in ("id", "component", "n", "side", "prev")), bits, text
+
+        def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            *x, text = (np.concatenate(c) for c in zip(*rows, strict=True))
+            block = Block(*x, num, den)
+            out = block.links(text.__getitem__) if exact else getattr(block, step)()
+            if len(out["a"]):
+                kinds = {"i": "i4", "j": "i4", "side": "i4"}
+                yield _batch(**{c: v.astype(kinds.get(c, "i8")) for c, v in out.items()})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
         for b in batches:
-            if not len(b):
+            if not b.num_rows:
                 continue
-            key = b[["sig", "i", "j"]].to_numpy()
-            begun = int(np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])[-1])  # the last block may go on
-            goes_on = bool(held) and begun == 0 and (held[-1][["sig", "i", "j"]].iloc[-1].to_numpy() == key[0]).all()
-            if goes_on:
-                held.append(b)
-                continue
-            if begun == 0:
-                yield near_across(pd.concat(held), num, den, forest) if held else near_across(b.iloc[:0], num, den, forest)
-                held = [b]
+            now = columns(b)
+            key = now[0]
+            change = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            if held and (held[-1][0][-1] != key[0]).any():
+                change = np.r_[0, change]
+            if len(change):  # the last group may go on; those before it are whole
+                at = int(change[-1]) if size else int(change[-1])
+                if held or at:
+                    yield from done([*held, tuple(c[:at] for c in now)])
+                held, size = [tuple(c[at:] for c in now)], len(key) - at
             else:
-                yield near_across(pd.concat([*held, b.iloc[:begun]]), num, den, forest)
-                held = [b.iloc[begun:]]
+                held.append(now)
+                size += len(key)
         if held:
-            yield near_across(pd.concat(held), num, den, forest)
+            yield from done(held)
 
     return run
 
@@ -336,29 +604,62 @@ def _ids(df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
 
 
-def _check(pairs: DataFrame, profile: DataFrame, texts: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """The linked ones of distinct pairs (a < b), and those that had to be verified."""
+def _check(pairs: DataFrame, profile: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """The linked ones of distinct pairs (a < b)."""
     side = lambda c: profile.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b")
     sized = sized.where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
-    near = cut(sized.mapInPandas(_near_pairs(num, den), "a long, b long"), "near")
+    near = cut(sized.mapInArrow(_near_pairs(num, den), "a long, b long"), "near")
     used = _ids(near.select("a").union(near.select("b")), "doc_id")
     some = texts.join(used, "doc_id", "left_semi")
     text = lambda c: some.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
     full = near.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
-    return cut(full.mapInPandas(_verified(num, den), "a long, b long").distinct(), "links"), near
+    links = cut(full.mapInArrow(_verified(num, den), "a long, b long").distinct(), "links")
+    drop_cut(near)
+    return links
+
 
+def _named(members: DataFrame, known: DataFrame) -> DataFrame:
+    """``members`` with the component of each id."""
+    known = F.broadcast(known) if known.count() <= MOST_BROADCAST else known
+    return members.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
-def link(docs: DataFrame, num: int = 75, den: int = 100, forests: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Profiles (id, n, rep) of all documents and links (a, b) between representatives that connect what is similar.
+
+def _open_blocks(members: DataFrame) -> DataFrame:
+    """``sig, i, j, side, prev, id, component`` of buckets with several components, each row once for every pair of blocks of its bucket.
+
+    A bucket of two ids is done with, as they have met; so is one whose members have all met in one bucket before.
+    """
+    buckets = members.groupBy("sig").agg(
+        F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("salt").alias("salted"),
+        F.min("prev").alias("prev"), F.max("prev").alias("prev_hi"),
+    )
+    buckets = buckets.where((F.col("c") > 2) & (F.col("lo") != F.col("hi")) & ((F.col("prev") == 0) | (F.col("prev") != F.col("prev_hi"))))
+    salts = F.when(F.col("salted") > 0, F.sequence(F.lit(1), F.lit(SALTS))).otherwise(F.array(F.lit(0)))
+    buckets = buckets.select("sig", F.explode(salts).alias("salt"), F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    rest = members.join(buckets, ["sig", "salt"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    spots = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")),
+    )
+    rest = rest.select("sig", "id", "component", "prev", "block", F.inline(spots))
+    side = F.when(F.col("i") == F.col("j"), -1).when(F.col("block") == F.col("i"), 0).otherwise(1)
+    return rest.select("sig", "i", "j", side.cast("int").alias("side"), "prev", "id", "component")
+
+
+def link(docs: DataFrame, num: int = 75, den: int = 100, forests: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Profiles (id, n, rep) of all documents, links (a, b) between representatives that connect what is similar, and
+    the representatives' components (id, component) by these links.
 
     Two sets are linked when ``den * intersection >= num * union``. Not every link within a component is listed, but
     each linked pair is connected.
     """
+    if 2 * num < den:
+        raise ValueError("similarities under one half are not supported")
     spark = docs.sparkSession
     ship(spark)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = cut(given.mapInPandas(_profiles, "id long, n long, h1 long, h2 long, bits binary, few_bits binary"), "profiles")
+    found = cut(given.mapInArrow(_profiles, PROFILE), "profiles")
     profile = found.where(F.col("n") >= 0)
     hot = found.where(F.col("n") < 0).groupBy("h1").agg((-F.sum("n")).alias("c")).where(F.col("c") >= HOT_LEAST)
     hot = np.sort(np.array([r.h1 for r in hot.orderBy(F.col("c").desc(), "h1").limit(HOT_MOST).collect()], "i8").view("u8"))
@@ -369,59 +670,73 @@ def link(docs: DataFrame, num: int = 75, den: int = 100, forests: int = 2) -> tu
     one = cut(full.join(chosen, "id", "left_semi").select("id", "n", "bits", "few_bits").dropDuplicates(["id"]), "reps")
     others = _ids(profile.where(F.col("id").isNotNull()).select("id").distinct().join(one, "id", "left_anti").select("id"), "doc_id")
     texts = given.where(F.col("doc_id").isNotNull())
-    rows = texts.join(others, "doc_id", "left_anti").mapInPandas(_joined_on(hot, num, den), "sig long, id long")
-    near = rows.repartition(parts(spark), "sig").sortWithinPartitions("sig", "id").mapInPandas(_stars, "sig long, hub long, id long")
-    stars = cut(near, "stars")
-    spark.sparkContext._jvm.System.gc()  # shuffle files of finished steps go
-    loose = _ids(stars.where(F.col("sig") == 0).select("id").union(stars.where(F.col("sig") == 0).select("hub")), "id")
-    stars = stars.where(F.col("sig") != 0)
-    pairs = stars.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
-    octave = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
-    wide = one.join(loose, "id").select(F.col("id").alias("x"), F.explode(F.array(octave - 1, octave, octave + 1)).alias("o"))
-    wide = wide.join(one.select(F.col("id").alias("y"), octave.alias("o")), "o").where(F.col("x") != F.col("y"))
-    pairs = pairs.union(wide.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
-    links, tried = _check(pairs, one, texts, num, den)
-    members = cut(stars.select("sig", "id").union(stars.select("sig", F.col("hub").alias("id"))).distinct(), "members")
-    known, turn = components(links), 0
-    while turn <= forests:
-        named = members.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_ = named.groupBy("sig").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        open_ = open_.where((F.col("c") > 2) & (F.col("lo") != F.col("hi")))
-        rest = named.join(open_.select("sig", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "sig")
-        rest = rest.join(one.select("id", "n", F.col("few_bits").alias("bits")), "id")
-        rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        spots = F.transform(
-            F.sequence(F.lit(0), F.col("blocks") - 1),
-            lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")),
-        )
-        rest = rest.select("sig", "id", "component", "n", "bits", "block", F.inline(spots))
-        rest = rest.repartition(parts(spark), "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "id")
-        again = cut(rest.mapInPandas(_across(num, den, turn < forests), "sig long, a long, b long"), "across")
-        spark.sparkContext._jvm.System.gc()
-        found = again.where(F.col("a") != F.col("b")).select("a", "b").distinct()
-        if found.isEmpty():  # no near pair is left, tried or not
+    rows = texts.join(others, "doc_id", "left_anti").mapInArrow(_joined_on(hot, num, den), JOINED)
+    rows = rows.repartition(parts(spark), "sig", "salt").sortWithinPartitions("sig", "salt", "id")
+    stars = cut(rows.mapInArrow(_stars, MEMBERS), "stars")
+    members = stars.where(F.col("sig") != 0).select("sig", "salt", "id", "prev")
+    pair = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    pairs = pair(stars.where((F.col("sig") != 0) & (F.col("hub") != F.col("id"))), "hub", "id")
+    hubs = stars.where((F.col("salt") > 0) & (F.col("hub") == F.col("id"))).select("sig", "hub")  # at most SALTS of a bucket
+    tops = hubs.groupBy("sig").agg(F.min("hub").alias("top"))
+    pairs = pairs.union(pair(hubs.join(tops, "sig").where(F.col("hub") != F.col("top")), "top", "hub"))
+    loose = cut(stars.where(F.col("sig") == 0).select("id").distinct(), "loose")
+    if not loose.isEmpty():
+        octave = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
+        wide = one.join(loose, "id").select(F.col("id").alias("x"), F.explode(F.array(octave - 1, octave, octave + 1)).alias("o"))
+        wide = wide.join(one.select(F.col("id").alias("y"), octave.alias("o")), "o").where(F.col("x") != F.col("y"))
+        pairs = pairs.union(pair(wide, "x", "y"))
+    links = _check(pairs.distinct(), one, texts, num, den)
+    known = components(links)
+
+    def compared(step: str, rows: DataFrame, profile: DataFrame) -> DataFrame:
+        rows = rows.join(profile, "id").repartition(parts(spark), "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n", "id")
+        return cut(rows.mapInArrow(_across(step, num, den), "a long, b long" if step == "links" else ACROSS), step)
+
+    quarter, whole = one.select("id", "n", F.col("few_bits").alias("bits")), one.select("id", "n", "bits")
+    near = compared("partnered", _open_blocks(_named(members, known)), quarter)
+    place = ("sig", "i", "j", "side", "prev")
+    for _ in range(forests):
+        if near.isEmpty():
             break
-        more, had = _check(found.join(tried, ["a", "b"], "left_anti"), one, texts, num, den)
-        links, tried = links.union(more), tried.union(had)
-        if turn < forests:  # buckets without near pairs are done with: sketches don't change
-            members = cut(members.join(again.select("sig").distinct(), "sig", "left_semi"), "members")
+        found = compared("forest", _named(near.select(*place, F.col("a").alias("id")), known), whole)
+        more = _check(found.where(F.col("a") != F.col("b")).select("a", "b").distinct(), one, texts, num, den)
+        near = found.where(F.col("a") == F.col("b"))
+        if not more.isEmpty():
+            links = links.union(more)
             known = components(links)
-        turn += 1
-    return profile.join(classes, ["n", "h1", "h2"], "left").select("id", "n", "rep"), links
+    if not near.isEmpty():
+        rest = _named(near.select(*place, F.col("a").alias("id")), known)
+        used = _ids(rest.select("id"), "doc_id")
+        some = texts.join(used, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text"))
+        more = compared("links", rest, whole.join(some, "id"))
+        if not more.isEmpty():
+            links = links.union(more.distinct())
+            known = components(links)
+    return profile.join(classes, ["n", "h1", "h2"], "left").select("id", "n", "rep"), links, known
 
 
 def groups(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every document."""
-    profile, links = link(docs, num, den)
-    known = components(links).select(F.col("id").alias("rep"), "component")
-    whole = profile.join(known, "rep", "left")
+    profile, _, known = link(docs, num, den)
+    whole = profile.join(known.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return whole.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id")
     )
 
 
 def one_of_each(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` that have the smallest id of their group, and those without id; of repeated rows, one."""
-    chosen = groups(docs, num, den).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(chosen, docs["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    """The rows of ``docs`` that have the smallest id of their group, and all rows without id.
+
+    Of several rows of one id the first by text (null first) stays, ties by a hash of the columns; only such rows are shuffled.
+    """
+    mine, rank = fresh(docs, "chosen"), fresh(docs, "rank")
+    chosen = groups(docs.select("doc_id", "text"), num, den).where(F.col("doc_id") == F.col("component_id"))
+    chosen = chosen.groupBy(F.col("doc_id").alias(mine)).agg(F.count("*").alias(rank))
+    chosen = cut(chosen, "chosen")
+    chosen = F.broadcast(chosen) if chosen.count() <= MOST_BROADCAST else chosen
+    kept = docs.join(chosen, F.col("doc_id").cast("long") == F.col(mine))
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    first = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*plain))
+    single = kept.where(F.col(rank) == 1).select(*docs.columns)
+    several = kept.where(F.col(rank) > 1).withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).select(*docs.columns)
+    return single.unionByName(several).unionByName(docs.where(F.col("doc_id").isNull()))
