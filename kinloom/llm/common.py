@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -24,14 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is missing (tests on one machine) a local folder stands in for it.
+    Where the setting is missing, a folder of this process stands in for it, but only on a local master: on a cluster
+    other machines would not see it, so that is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all machines share")
     global _own
     if _own is None:
         _own = "file://" + tempfile.mkdtemp(prefix="kinloom-")
+        atexit.register(shutil.rmtree, _own.removeprefix("file://"), ignore_errors=True)
     return _own
 
 
@@ -78,6 +84,17 @@ def _clean() -> None:
             return
 
 
+class Shared:
+    """A broadcast value with an id of its own, for what workers build from it once per process."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.id, self._held = uuid.uuid4().hex, spark.sparkContext.broadcast(value)
+
+    @property
+    def value(self):
+        return self._held.value
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}

@@ -14,11 +14,10 @@ hash.) A document with too few occupied parts for that is compared with all of i
 The join never lists all pairs of a bucket. First each member meets the smallest id of its bucket; buckets of frequent
 shingles are salted for that, and their salts' smallest ids meet in turn. Pairs are filtered by size and by the sketch's Hamming
 distance, then verified on the whole sets; components follow. Then buckets whose members are still in several components
-are compared in blocks of bounded size, across components only: by a quarter of the sketch, to find the members
-that have a near partner at all; by the whole sketch, where each component is verified against its nearest neighbour only; and
-what is then still near and apart is verified within its block, which returns the links that join components there. So
-what a step returns grows with the rows it reads, not with the pairs it compares, and no linked pair of different texts is
-lost. Documents of equal sets are one class from the start.
+are compared by sketch, in blocks of bounded size and across components only: each component is verified against its
+nearest neighbour, and what else is near is compared once more, in its block and on the whole sets, which returns the links
+that join components there. So what a step returns grows with the rows it reads, not with the pairs it compares, and no linked pair
+of different texts is lost. Documents of equal sets are one class from the start.
 
 Edge cases: a null text or one without words has an empty set and is linked with nothing; fewer than five words are one
 shingle; very long texts are sets like others (hashed in windows of 64 KB; a task holds one batch of texts); equal rows, and rows
@@ -41,6 +40,7 @@ from pyspark.sql import functions as F
 
 from kinloom.llm.common import cut, drop_cut, fresh, parts
 from kinloom.llm.components import components
+from kinloom.llm.hashing import FACTORS, batch, mix64, numbers, runs, word_hashes
 from kinloom.shipping import ship
 
 WIDTH = 5
@@ -51,61 +51,6 @@ SALTS = 64
 CHUNK = 2 << 20  # bytes of texts whose sets are held at once
 BLOCK = 1024
 WIDEST = 1 << 17  # bits
-SPAN = 1 << 16
-
-_C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], "u8")
-
-
-def mix64(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    return np.r_[np.uint64(1), np.multiply.accumulate(np.full(n, base, "u8"))]
-
-
-# a word's hash is the sum of its bytes' values times powers of an odd number, which sums over the text give at once
-_BASE = 0x9FB21C651E98DF25
-_POWER, _INVERSE = _powers(_BASE, SPAN), _powers(pow(_BASE, -1, 1 << 64), SPAN)
-_lower = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], "u8")
-_BYTE = mix64((_lower + np.uint64(1)) * _C[0])
-_BLANK = np.array([b == 0x20 or 0x09 <= b <= 0x0D for b in range(256)])
-
-
-def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts ``data[at[i]:at[i + 1]]`` (UTF-8, A-Z as a-z), and each text's number of words."""
-    n = len(data)
-    if not n:
-        return np.empty(0, "u8"), np.zeros(len(at) - 1, "int64")
-    word = ~_BLANK[data]
-    first, last = word.copy(), word.copy()
-    first[1:] &= ~word[:-1]
-    last[:-1] &= ~word[1:]
-    edge = np.unique(at)
-    first[edge[:-1]] = word[edge[:-1]]
-    last[edge[1:] - 1] = word[edge[1:] - 1]
-    begin, end = np.flatnonzero(first), np.flatnonzero(last)
-    before, upto = np.empty(len(begin), "u8"), np.empty(len(begin), "u8")
-    back = np.empty(len(begin), "u8")
-    so_far, up, down = np.uint64(0), np.uint64(1), np.uint64(1)
-    for lo in range(0, n, SPAN):
-        m = min(SPAN, n - lo)
-        x = _BYTE[data[lo : lo + m]]
-        x *= _POWER[:m]
-        x *= up
-        sums = np.cumsum(x, dtype="u8")
-        sums += so_far
-        i, j = np.searchsorted(begin, (lo, lo + m))
-        here = begin[i:j] - lo
-        before[i:j] = sums[here] - x[here]
-        back[i:j] = _INVERSE[here] * down
-        i, j = np.searchsorted(end, (lo, lo + m))
-        upto[i:j] = sums[end[i:j] - lo]
-        so_far, up, down = sums[-1], up * _POWER[SPAN], down * _INVERSE[SPAN]
-    return mix64((upto - before) * back), np.diff(np.searchsorted(begin, at))
-
 
 def sets_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The texts' sets, one after the other, each sorted, and where they begin."""
@@ -116,12 +61,12 @@ def sets_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(h) >= WIDTH:
             own = s[: len(h) - WIDTH + 1]
             for i in range(WIDTH):
-                own += h[i : len(h) - WIDTH + 1 + i] * _C[i]
+                own += h[i : len(h) - WIDTH + 1 + i] * FACTORS[i]
             own += np.uint64(WIDTH)
         for k in range(1, WIDTH):  # a text's last words begin no shingle, unless it has no other
             valid[(start + n - k)[n >= k]] = False
             short = start[n == k]
-            s[short] = sum((h[short + i] * _C[i] for i in range(k)), np.uint64(k))
+            s[short] = sum((h[short + i] * FACTORS[i] for i in range(k)), np.uint64(k))
         valid[start[(n > 0) & (n < WIDTH)]] = True
         s = mix64(s[valid])
     size = np.where(n >= WIDTH, n - WIDTH + 1, n > 0)
@@ -142,24 +87,13 @@ def shingles(text: str | None) -> np.ndarray:
 
 def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, end, sets, begin) of runs of texts of at most ``CHUNK`` bytes, or of one text."""
-    if texts.null_count:
-        texts = texts.fill_null("")
-    _, offsets, data = texts.buffers()
-    if not len(texts):
-        return
-    kind = "i8" if pa.types.is_large_string(texts.type) else "i4"
-    at = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1].astype("int64")
-    data = np.frombuffer(data, "u1") if data else np.empty(0, "u1")
-    i = 0
-    while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK, "right")) - 1)
-        yield i, j, *sets_of(data[at[i] : at[j]], at[i : j + 1] - at[i])
-        i = j
+    for i, j, data, at in runs(texts, CHUNK):
+        yield i, j, *sets_of(data, at)
 
 
 def sketch_bits(n: int) -> int:
-    """Width of the sketch: eight times the octave of the set's size."""
-    return min(max(512, 8 << (max(n, 1).bit_length() - 1)), WIDEST)
+    """Width of the sketch: sixteen times the octave of the set's size, so that few differences fall on one bit."""
+    return min(max(2048, 16 << (max(n, 1).bit_length() - 1)), WIDEST)
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -168,11 +102,6 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount(at, minlength=w).astype("u1") & 1).tobytes()
 
 
-def narrow(b: bytes) -> bytes:
-    """A quarter of the sketch's width, for the first comparison within buckets."""
-    return fold(b, len(b) // 4).tobytes()
-
-
 def fold(b: bytes, size: int) -> np.ndarray:
     """The sketch of the same set at a smaller width (bytes): bits are addressed by low bits of the hash, so halves are XORed."""
     x = np.frombuffer(b, "u1")
@@ -230,7 +159,7 @@ def signatures(s: np.ndarray, begin: np.ndarray, hot: np.ndarray, cells: np.ndar
             at = np.searchsorted(first, np.r_[ends - lengths, ends[-1]])
         else:
             sig, late, at = s[rows], often[rows], np.r_[0, ends]
-        sig = mix64(sig + np.uint64(band * int(_C[1]) & (1 << 64) - 1))
+        sig = mix64(sig + np.uint64(band * int(FACTORS[1]) & (1 << 64) - 1))
         any_late = np.logical_or.reduceat(late, at[:-1])
         for (i, d), a, b, some in zip(sets, at[:-1].tolist(), at[1:].tolist(), any_late.tolist(), strict=True):
             x, k = sig[a:b], d + 1
@@ -245,15 +174,7 @@ def signatures(s: np.ndarray, begin: np.ndarray, hot: np.ndarray, cells: np.ndar
                 yield i, np.concatenate([np.sort(soon), np.sort(rest)]), len(rest), b - a < k
 
 
-def _numbers(column: pa.Array) -> np.ndarray:
-    return column.to_numpy(zero_copy_only=False)
-
-
-def _batch(**columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], list(columns))
-
-
-PROFILE = "id long, n long, h1 long, h2 long, bits binary, few_bits binary"
+PROFILE = "id long, n long, h1 long, h2 long, bits binary"
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,17 +188,16 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, c = h[c >= HOT_IN_BATCH], c[c >= HOT_IN_BATCH]
         if len(h):
             none = pa.nulls(len(h), pa.binary())
-            yield _batch(id=pa.nulls(len(h), pa.int64()), n=-c, h1=h.view("i8"), h2=np.zeros(len(h), "i8"), bits=none, few_bits=none)
+            yield batch(id=pa.nulls(len(h), pa.int64()), n=-c, h1=h.view("i8"), h2=np.zeros(len(h), "i8"), bits=none)
 
     for b in batches:
         for i, j, s, begin in chunks(b.column(1)):
             n, a = np.diff(begin), begin[:-1]
             h1, h2, full = np.zeros(len(n), "u8"), np.zeros(len(n), "u8"), n > 0
             if len(s):
-                h1[full], h2[full] = np.add.reduceat(s, a[full]), np.add.reduceat(mix64(s ^ _C[2]), a[full])
+                h1[full], h2[full] = np.add.reduceat(s, a[full]), np.add.reduceat(mix64(s ^ FACTORS[2]), a[full])
             bits = [sketch(s[x:y]) if y > x else b"" for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
-            few = pa.array([narrow(x) for x in bits], pa.binary())
-            yield _batch(id=b.column(0).slice(i, j - i), n=n, h1=h1.view("i8"), h2=h2.view("i8"), bits=pa.array(bits, pa.binary()), few_bits=few)
+            yield batch(id=b.column(0).slice(i, j - i), n=n, h1=h1.view("i8"), h2=h2.view("i8"), bits=pa.array(bits, pa.binary()))
             _, own = np.unique(np.stack([h1, h2], 1), axis=0, return_index=True)  # equal sets count once
             own = own[n[own] > 0]
             held.append(s if len(own) == len(n) else np.concatenate([np.empty(0, "u8"), *(s[begin[x] : begin[x + 1]] for x in own.tolist())]))
@@ -289,42 +209,37 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from repeated()
 
 
-JOINED = "sig long, salt int, id long, prev long"
+JOINED = "sig long, id long"
 
 
 def _joined_on(hot, num: int, den: int):
-    """(sig, salt, id, prev) rows; sig 0: to be compared with the whole band. Signatures of frequent shingles are salted by id.
-
-    ``prev`` is the signature before this one in the set's list, or 0: two sets with one ``prev`` have met there already.
-    """
+    """(sig, id) rows; sig 0: to be compared with the whole band. The last bit tells a signature of frequent shingles (1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = hot.value
         cells = np.zeros(1 << 20, bool)
         cells[(often >> np.uint64(44)).view("int64")] = True
         for b in batches:
-            ids = _numbers(b.column(0))
-            salt_of = (mix64(ids.astype("int64").view("u8")) % np.uint64(SALTS)).astype("i4") + 1
+            ids = numbers(b.column(0)).astype("int64")
             for i, _, s, begin in chunks(b.column(1)):
-                sigs, which, late = [np.empty(0, "u8")], [], []
-                for k, x, hot_ones, few in signatures(s, begin, often, cells, num, den):
-                    if few:
-                        x = np.r_[np.uint64(0), x]
-                    sigs.append(x)
-                    which.append((i + k, len(x)))
-                    late.append(hot_ones)
-                which = np.array(which, "int64").reshape(-1, 2)
-                row, sig = np.repeat(which[:, 0], which[:, 1]), np.concatenate(sigs)
-                from_end = np.repeat(np.cumsum(which[:, 1]), which[:, 1]) - np.arange(len(row))
-                salt = np.where(from_end <= np.repeat(np.array(late, "int64"), which[:, 1]), salt_of[row], 0)
-                prev = np.r_[np.uint64(0), sig[:-1]] if len(sig) else sig
-                prev[np.cumsum(which[:, 1])[:-1]] = 0
-                yield _batch(sig=sig.view("i8"), salt=salt.astype("i4"), id=ids[row].astype("int64"), prev=prev.view("i8"))
+                sigs, row, size = [np.empty(0, "u8")], [], []
+                for k, x, late, few in signatures(s, begin, often, cells, num, den):
+                    x &= ~np.uint64(1)
+                    x[len(x) - late :] |= np.uint64(1)
+                    sigs.append(np.r_[np.uint64(0), x] if few else x)
+                    row.append(i + k)
+                    size.append(len(sigs[-1]))
+                yield batch(sig=np.concatenate(sigs).view("i8"), id=ids[np.repeat(np.array(row, "int64"), size)])
 
     return run
 
 
-MEMBERS = "sig long, salt int, hub long, id long, prev long"
+def _salt(sig, id_):
+    """0, or 1 to ``SALTS`` for signatures of frequent shingles."""
+    return F.when(sig.bitwiseAND(F.lit(1).cast("long")) == 1, F.pmod(F.xxhash64(id_), F.lit(SALTS)) + 1).otherwise(0).cast("int")
+
+
+MEMBERS = "sig long, salt int, hub long, id long"
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,11 +247,11 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Buckets of one id are left out, unless they are salted or of sig 0.
     """
-    last, hub, id_, told = None, (0, 0), None, False  # of the row before: bucket, hub (id, prev), id, and whether the hub's row was returned
+    last, hub, id_, told = None, 0, None, False  # of the row before: its bucket, hub, id, and whether the hub's own row was returned
     for b in batches:
         if not b.num_rows:
             continue
-        sig, salt, ids, prev = (_numbers(b.column(k)) for k in range(4))
+        sig, salt, ids = (numbers(b.column(c)) for c in ("sig", "salt", "id"))
         goes_on = last == (sig[0], salt[0])
         new, same = np.ones(len(sig), bool), np.zeros(len(sig), bool)
         new[0], same[0] = not goes_on, goes_on and ids[0] == id_
@@ -344,9 +259,9 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same[1:] = ~new[1:] & (ids[1:] == ids[:-1])
         group = np.cumsum(new) - new[0]
         first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        hubs, hub_prev = ids[first], prev[first]
+        hubs = ids[first]
         if goes_on:
-            hubs[0], hub_prev[0] = hub
+            hubs[0] = hub
         other = ~same & (hubs[group] != ids)
         alone = (salt[first] > 0) | (sig[first] == 0)
         tell = alone | np.logical_or.reduceat(other, first)
@@ -356,9 +271,9 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = np.flatnonzero(tell[:1] & goes_on)  # the hub came in an earlier batch
         rows = np.r_[late, np.flatnonzero(keep)]
         if len(rows):
-            yield _batch(sig=sig[rows], salt=salt[rows], hub=hubs[group[rows]], id=np.r_[hubs[late], ids[keep]], prev=np.r_[hub_prev[late], prev[keep]])
+            yield batch(sig=sig[rows], salt=salt[rows], hub=hubs[group[rows]], id=np.r_[hubs[late], ids[keep]])
         told = bool(tell[-1]) or (goes_on and group[-1] == 0 and (told or bool(alone[0])))
-        last, hub, id_ = (sig[-1], salt[-1]), (hubs[-1], hub_prev[-1]), ids[-1]
+        last, hub, id_ = (sig[-1], salt[-1]), hubs[-1], ids[-1]
 
 
 def _near_pairs(num: int, den: int):
@@ -366,12 +281,12 @@ def _near_pairs(num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, c, n, m = (_numbers(b.column(x)) for x in ("a", "b", "n_a", "n_b"))
+            a, c, n, m = (numbers(b.column(x)) for x in ("a", "b", "n_a", "n_b"))
             bits = np.empty(2 * len(a), object)
             bits[:] = b.column("bits_a").to_pylist() + b.column("bits_b").to_pylist()
             rows = np.arange(len(a))
             keep = _far(bits, rows, rows + len(a)) <= (n + m) * (den - num) // (den + num) if len(a) else rows
-            yield _batch(a=a[keep], b=c[keep])
+            yield batch(a=a[keep], b=c[keep])
 
     return run
 
@@ -413,17 +328,16 @@ NONE = np.empty(0, "int64")
 class Block:
     """Rows of whole groups, a group being a pair of blocks (sig, i, j) of a bucket; sorted by group and size."""
 
-    def __init__(self, key: np.ndarray, ids: np.ndarray, component: np.ndarray, n: np.ndarray, side: np.ndarray, prev: np.ndarray, bits: np.ndarray, num: int, den: int):
+    def __init__(self, key: np.ndarray, ids: np.ndarray, component: np.ndarray, n: np.ndarray, side: np.ndarray, bits: np.ndarray, num: int, den: int):
         # side: of a group of two different blocks 0 or 1, else -1
-        self.key, self.id, self.component, self.n, self.side, self.prev, self.bits = key, ids, component, n, side, prev, bits
+        self.key, self.id, self.component, self.n, self.side, self.bits = key, ids, component, n, side, bits
         self.num, self.den = num, den
         self.first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if len(key) else NONE
         self.size = np.diff(np.r_[self.first, len(key)])
 
     def _wanted(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        n, c, s, p = self.n, self.component, self.side, self.prev
-        apart = (c[a] != c[b]) & (self.den * n[a] >= self.num * n[b])
-        return apart & ((s[a] < 0) | (s[a] != s[b])) & ((p[a] == 0) | (p[a] != p[b]))
+        n, c, s = self.n, self.component, self.side
+        return (c[a] != c[b]) & (self.den * n[a] >= self.num * n[b]) & ((s[a] < 0) | (s[a] != s[b]))
 
     def _most(self, a, b):
         return (self.n[a] + self.n[b]) * (self.den - self.num) // (self.den + self.num)
@@ -482,15 +396,10 @@ class Block:
 
     def flagged(self, rows: np.ndarray) -> dict:
         rows = np.unique(rows)
-        return {**{c: self.key[rows, k] for k, c in enumerate(("sig", "i", "j"))}, "side": self.side[rows], "prev": self.prev[rows], "a": self.id[rows], "b": self.id[rows]}
-
-    def partnered(self) -> dict:
-        """The rows, as (sig, i, j, side, prev, a = b), that have a near partner."""
-        a, b, _ = self.near()
-        return self.flagged(np.concatenate([a, b]))
+        return {**{c: self.key[rows, k] for k, c in enumerate(("sig", "i", "j"))}, "side": self.side[rows], "a": self.id[rows], "b": self.id[rows]}
 
     def forest(self) -> dict:
-        """As (sig, i, j, side, prev, a, b): the nearest near pair of each component of a group, and (a = b) rows with other near pairs."""
+        """As (sig, i, j, side, a, b): the nearest near pair of each component of a group, and (a = b) rows with other near pairs."""
         a, b, far = self.near()
         if not len(a):
             return self.flagged(NONE)
@@ -506,7 +415,7 @@ class Block:
         keep = np.isin(number, number[keep])
         more = self.flagged(np.concatenate([a[~keep], b[~keep]]))
         once = np.flatnonzero(keep)[np.unique(number[keep], return_index=True)[1]]
-        here = {**{c: self.key[a[once], k] for k, c in enumerate(("sig", "i", "j"))}, "side": self.side[a[once]], "prev": self.prev[a[once]], "a": lo[once], "b": hi[once]}
+        here = {**{c: self.key[a[once], k] for k, c in enumerate(("sig", "i", "j"))}, "side": self.side[a[once]], "a": lo[once], "b": hi[once]}
         return {c: np.concatenate([here[c], more[c]]) for c in here}
 
     def links(self, text) -> dict:
@@ -545,11 +454,11 @@ class Block:
         return {"a": pairs[:, 0], "b": pairs[:, 1]}
 
 
-ACROSS = "sig long, i int, j int, side int, prev long, a long, b long"
+ACROSS = "sig long, i int, j int, side int, a long, b long"
 
 
 def _across(step: str, num: int, den: int):
-    """Applies a step of ``Block`` (partnered, forest, links) to whole groups of rows sorted by (sig, i, j, n, id)."""
+    """Applies a step of ``Block`` (forest, links) to whole groups of rows sorted by (sig, i, j, n, id)."""
     exact = step == "links"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -557,13 +466,13 @@ def _across(step: str, num: int, den: int):
         size = 0
 
         def columns(b: pa.RecordBatch) -> tuple:
-            key = np.stack([_numbers(b.column(c)).astype("int64") for c in ("sig", "i", "j")], 1)
+            key = np.stack([numbers(b.column(c)).astype("int64") for c in ("sig", "i", "j")], 1)
             bits = np.empty(b.num_rows, object)
             bits[:] = b.column("bits").to_pylist()
             text = np.empty(b.num_rows, object)
             if exact:
                 text[:] = b.column("text").to_pylist()
-            return key, *(_numbers(b.column(c)) for c in ("id", "component", "n", "side", "prev")), bits, text
+            return key, *(numbers(b.column(c)) for c in ("id", "component", "n", "side")), bits, text
 
         def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             *x, text = (np.concatenate(c) for c in zip(*rows, strict=True))
@@ -571,7 +480,7 @@ def _across(step: str, num: int, den: int):
             out = block.links(text.__getitem__) if exact else getattr(block, step)()
             if len(out["a"]):
                 kinds = {"i": "i4", "j": "i4", "side": "i4"}
-                yield _batch(**{c: v.astype(kinds.get(c, "i8")) for c, v in out.items()})
+                yield batch(**{c: v.astype(kinds.get(c, "i8")) for c, v in out.items()})
 
         for b in batches:
             if not b.num_rows:
@@ -626,15 +535,14 @@ def _named(members: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _open_blocks(members: DataFrame) -> DataFrame:
-    """``sig, i, j, side, prev, id, component`` of buckets with several components, each row once for every pair of blocks of its bucket.
+    """``sig, i, j, side, id, component`` of buckets with several components, each row once for every pair of blocks of its bucket.
 
-    A bucket of two ids is done with, as they have met; so is one whose members have all met in one bucket before.
+    A bucket of two ids is done with, as they have met.
     """
     buckets = members.groupBy("sig").agg(
-        F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("salt").alias("salted"),
-        F.min("prev").alias("prev"), F.max("prev").alias("prev_hi"),
-    )
-    buckets = buckets.where((F.col("c") > 2) & (F.col("lo") != F.col("hi")) & ((F.col("prev") == 0) | (F.col("prev") != F.col("prev_hi"))))
+        F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("salt").alias("salted")
+    )
+    buckets = buckets.where((F.col("c") > 2) & (F.col("lo") != F.col("hi")))
     salts = F.when(F.col("salted") > 0, F.sequence(F.lit(1), F.lit(SALTS))).otherwise(F.array(F.lit(0)))
     buckets = buckets.select("sig", F.explode(salts).alias("salt"), F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     rest = members.join(buckets, ["sig", "salt"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -642,12 +550,12 @@ def _open_blocks(members: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")),
     )
-    rest = rest.select("sig", "id", "component", "prev", "block", F.inline(spots))
+    rest = rest.select("sig", "id", "component", "block", F.inline(spots))
     side = F.when(F.col("i") == F.col("j"), -1).when(F.col("block") == F.col("i"), 0).otherwise(1)
-    return rest.select("sig", "i", "j", side.cast("int").alias("side"), "prev", "id", "component")
+    return rest.select("sig", "i", "j", side.cast("int").alias("side"), "id", "component")
 
 
-def link(docs: DataFrame, num: int = 75, den: int = 100, forests: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+def link(docs: DataFrame, num: int = 75, den: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Profiles (id, n, rep) of all documents, links (a, b) between representatives that connect what is similar, and
     the representatives' components (id, component) by these links.
 
@@ -667,13 +575,14 @@ def link(docs: DataFrame, num: int = 75, den: int = 100, forests: int = 2) -> tu
     full = profile.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = cut(full.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")), "classes")
     chosen = classes.select(F.col("rep").alias("id")).distinct()
-    one = cut(full.join(chosen, "id", "left_semi").select("id", "n", "bits", "few_bits").dropDuplicates(["id"]), "reps")
+    one = cut(full.join(chosen, "id", "left_semi").select("id", "n", "bits").dropDuplicates(["id"]), "reps")
     others = _ids(profile.where(F.col("id").isNotNull()).select("id").distinct().join(one, "id", "left_anti").select("id"), "doc_id")
     texts = given.where(F.col("doc_id").isNotNull())
     rows = texts.join(others, "doc_id", "left_anti").mapInArrow(_joined_on(hot, num, den), JOINED)
-    rows = rows.repartition(parts(spark), "sig", "salt").sortWithinPartitions("sig", "salt", "id")
+    salt = _salt(F.col("sig"), F.col("id"))
+    rows = rows.repartition(parts(spark), "sig", salt).sortWithinPartitions("sig", salt, "id").withColumn("salt", salt)
     stars = cut(rows.mapInArrow(_stars, MEMBERS), "stars")
-    members = stars.where(F.col("sig") != 0).select("sig", "salt", "id", "prev")
+    members = stars.where(F.col("sig") != 0).select("sig", "salt", "id")
     pair = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     pairs = pair(stars.where((F.col("sig") != 0) & (F.col("hub") != F.col("id"))), "hub", "id")
     hubs = stars.where((F.col("salt") > 0) & (F.col("hub") == F.col("id"))).select("sig", "hub")  # at most SALTS of a bucket
@@ -692,23 +601,19 @@ def link(docs: DataFrame, num: int = 75, den: int = 100, forests: int = 2) -> tu
         rows = rows.join(profile, "id").repartition(parts(spark), "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n", "id")
         return cut(rows.mapInArrow(_across(step, num, den), "a long, b long" if step == "links" else ACROSS), step)
 
-    quarter, whole = one.select("id", "n", F.col("few_bits").alias("bits")), one.select("id", "n", "bits")
-    near = compared("partnered", _open_blocks(_named(members, known)), quarter)
-    place = ("sig", "i", "j", "side", "prev")
-    for _ in range(forests):
-        if near.isEmpty():
-            break
-        found = compared("forest", _named(near.select(*place, F.col("a").alias("id")), known), whole)
-        more = _check(found.where(F.col("a") != F.col("b")).select("a", "b").distinct(), one, texts, num, den)
-        near = found.where(F.col("a") == F.col("b"))
-        if not more.isEmpty():
-            links = links.union(more)
-            known = components(links)
+    found = compared("forest", _open_blocks(_named(members, known)), one)
+    near = found.where(F.col("a") == F.col("b")).select("sig", "i", "j", "side", F.col("a").alias("id"))
+    more = _check(found.where(F.col("a") != F.col("b")).select("a", "b").distinct(), one, texts, num, den)
+    if not more.isEmpty():
+        links = links.union(more)
+        known = components(links)
     if not near.isEmpty():
-        rest = _named(near.select(*place, F.col("a").alias("id")), known)
+        rest = _named(near, known)
+        blocks = rest.groupBy("sig", "i", "j").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        rest = cut(rest.join(blocks.where(F.col("lo") != F.col("hi")).drop("lo", "hi"), ["sig", "i", "j"]), "rest")
         used = _ids(rest.select("id"), "doc_id")
         some = texts.join(used, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text"))
-        more = compared("links", rest, whole.join(some, "id"))
+        more = compared("links", rest, one.join(some, "id"))
         if not more.isEmpty():
             links = links.union(more.distinct())
             known = components(links)
