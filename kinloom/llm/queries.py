@@ -56,9 +56,7 @@ def op8_unigram_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk_rules.judge(
-        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), hold=lambda df: cut(df, "measures")
-    )
+    return risk_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,15 +75,15 @@ ORACLE_SQL: dict[str, str] = {
             case when page_id <> first then first end refers_to
         from h""",
     "op4_rotation": """
-        with t as (select conv_id, turn is null late, turn, coalesce(role, 'unknown') role, coalesce(text, '') said from conversations),
-        p as (select distinct conv_id, role participant from t where role <> 'system'),
-        s as (select p.conv_id, participant, late, turn, role, said, role = participant own,
+        with t as (select conv_id, case when conv_id is null then row_number() over () end alone, turn is null late, turn, coalesce(role, 'unknown') role, coalesce(text, '') said from conversations),
+        p as (select distinct conv_id, alone, role participant from t where role <> 'system'),
+        s as (select p.conv_id, p.alone, participant, late, turn, role, said, role = participant own,
             '<|im_start|>' || case when role = 'system' then role when role = participant then 'assistant' else 'user name=' || role end || chr(10) h,
-            said || '<|im_end|>' || chr(10) b from t join p on t.conv_id is not distinct from p.conv_id)
+            said || '<|im_end|>' || chr(10) b from t join p on t.conv_id is not distinct from p.conv_id and t.alone is not distinct from p.alone)
         select conv_id, participant, count(*)::bigint n_turns, string_agg(h || b, '' order by late, turn, role, said) as text,
             string_agg(case when own then length(h) || '- ' || length(b) || '+' else (length(h) + length(b)) || '-' end, ' ' order by late, turn, role, said) mask,
             sum(case when own then length(b) else 0 end)::bigint trained_chars
-        from s group by conv_id, participant""",
+        from s group by conv_id, alone, participant""",
     "op10_fair_mix": r"""
         with d as (select doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint size,
             case when source is null then '1' else '0' || source end k, md5('mix:' || coalesce(doc_id::varchar, '')) h from documents),

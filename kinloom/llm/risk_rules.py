@@ -1,19 +1,21 @@
 """Quality rules whose cutoffs come from labelled holdouts with a guarantee.
 
-Each rule measures a text and rejects it above a cutoff. For each stratum (language) and rule the cutoff is the strictest
-of a fixed grid whose false rejection of good texts is certified: among n good holdout texts, of which k exceed the cutoff,
-the exact binomial tail P(Bin(n, alpha) <= k) must be at most delta divided by the number of strata x rules (Bonferroni).
-A grid is tested from lenient to strict up to the first failure, a fixed sequence, which needs no division by its length; as
-k only grows on the way, that is the strictest cutoff to pass. With probability 1 - delta at least, no certified cutoff then rejects more than alpha of the good texts of
-its stratum. A rule that can't be certified in a stratum rejects nothing there.
-
-Only DataFrame functions run over the texts. Every stratum has its own cutoffs, in a table that is joined; only strata with a
-certified cutoff are in it, which have hundreds of good labels each.
+Each rule measures a text and rejects it above a cutoff. The rules' cutoffs make one ladder: each rung tightens one rule by one
+step of its grid, rule after rule, so a text that fails a rung fails all above it. For each stratum (language) the highest
+rung is taken whose false rejection of good texts, by all rules together, is certified: among n good holdout texts, of
+which k fail the rung, the exact binomial tail P(Bin(n, alpha) <= k) must be at most delta divided by the number of strata
+(Bonferroni). A stratum's rungs are tested from lenient to strict up to the first failure, a fixed sequence, which needs no
+division by its length; as k only grows on the way, that is the highest rung to pass. With probability 1 - delta at least, no
+stratum then loses more than alpha of its good texts. A stratum in which no rung can be certified has no cutoffs: with
+delta = 0.05, four strata and alpha = 0.02 that takes 217 good labels, were none of them to fail.
+
+Only DataFrame functions run over the texts. Every stratum has its own rung, in a table that is joined; only strata with a
+certified rung are in it, which have hundreds of good labels each.
 
 Edge cases: a null or empty text has no words, so it fails the base rule; a null language is a stratum of its own;
 a document without label takes no part in the choice of cutoffs; of repeated labels of one document each counts,
-null labels don't; repeated rows have equal results; without labels only the base rule rejects; an empty table
-gives an empty result.
+null labels don't; repeated rows have equal results; very long texts are measured whole; without labels only the base rule
+rejects; an empty table gives an empty result; further columns, whatever their names, are ignored or (``keep_good``) kept.
 """
 
 from __future__ import annotations
@@ -23,21 +25,23 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import cut, let, words_of
+from kinloom.llm.common import cut, fresh, let, words_of
 
 #: Grids, lenient to strict. Share of: symbols per word, exclamation marks per word, words in repeated windows, repeated lines.
 GRIDS: dict[str, tuple[float, ...]] = {
     "symbols": (2.0, 1.0, 0.5, 0.25, 0.1, 0.05),
-    "shouts": (1.5, 1.0, 0.5, 0.25, 0.1),
-    "repeats": (0.25, 0.2, 0.15, 0.1, 0.05),
+    "shouts": (1.5, 1.0, 0.5, 0.25, 0.15, 0.1),
+    "repeats": (0.3, 0.25, 0.2, 0.15, 0.1, 0.05),
     "same_lines": (0.9, 0.75, 0.6, 0.5, 0.4, 0.3),
 }
+#: The ladder: (rule, cutoff) of each rung.
+RUNGS = [(r, GRIDS[r][i]) for i in range(6) for r in GRIDS]
 WINDOW = 8
 
 
 @dataclass(frozen=True)
 class Risk:
-    alpha: float = 0.02  # most good texts rejected, over all rules of a stratum
+    alpha: float = 0.02  # most good texts of a stratum that its cutoffs reject
     delta: float = 0.05  # chance that the guarantee fails anywhere
 
 
@@ -74,8 +78,8 @@ def repeated_words(words: Column) -> Column:
     )
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``m``: a struct of the base counts and the rules' shares."""
+def measures() -> Column:
+    """Of a row with ``text``: a struct of the base counts, the rules' shares and ``rung``, the first rung that the text fails."""
     text = F.coalesce("text", F.lit(""))
 
     def of_words(words: Column) -> Column:
@@ -99,7 +103,7 @@ def measured(docs: DataFrame) -> DataFrame:
         F.regexp_count(text, F.lit("!")).cast("long").alias("n_shouts"),
     )
 
-    def out(x: Column) -> Column:
+    def shares(x: Column) -> Column:
         n = F.greatest(x.w.n_words, F.lit(1)).cast("double")
         return F.struct(
             x.w.n_words.alias("n_words"),
@@ -114,7 +118,11 @@ def measured(docs: DataFrame) -> DataFrame:
             (x.l.n_dup_lines / F.greatest(x.l.n_lines, F.lit(1)).cast("double")).alias("same_lines"),
         )
 
-    return docs.withColumn("m", let(got, out))
+    def graded(x: Column) -> Column:
+        fails = [F.when(x[r] > c, i) for i, (r, c) in enumerate(RUNGS)]
+        return F.struct(*[x[c].alias(c) for c in (*COUNTS, "base_failed", *GRIDS)], F.coalesce(*fails, F.lit(len(RUNGS))).alias("rung"))
+
+    return let(let(got, shares), graded)
 
 
 def _ln_factorial(x: Column) -> Column:
@@ -141,56 +149,49 @@ def ln_lower_tail(k: Column, n: Column, p: float) -> Column:
     return at_k + F.log(total)
 
 
-def _stratum() -> Column:
-    return F.when(F.col("lang").isNull(), "null").otherwise(F.concat(F.lit("lang="), F.col("lang")))
+def _stratum(lang: Column) -> Column:
+    return F.when(lang.isNull(), "null").otherwise(F.concat(F.lit("lang="), lang))
 
 
-def cutoffs(shares: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
-    """``_stratum`` and ``_cuts``, the certified cutoffs by rule (null: none). ``shares``: doc_id, lang and the rules' shares."""
+def cutoffs(graded: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
+    """``stratum, n, k, rungs`` of strata with a certified rung: good labels, how many of them fail, and the number of rungs.
+
+    ``graded``: doc_id, lang, rung. Counts go up to the strata's table, one row each.
+    """
     good = labels.where(F.col("quality") == 1).select("doc_id")
-    held = shares.join(good, "doc_id").select(_stratum().alias("_stratum"), *GRIDS)
-    over = [F.count_if(F.col(r) > c).alias(f"{r}{i}") for r, grid in GRIDS.items() for i, c in enumerate(grid)]
-    counts = cut(held.groupBy("_stratum").agg(F.count("*").alias("n"), *over), "strata")
-    tests = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cut"), F.col(f"{r}{i}").alias("k"))
-                for r, grid in GRIDS.items()
-                for i, c in enumerate(grid)
-            ]
-        )
-    )
-    each = counts.select("_stratum", "n", tests.alias("t")).select("_stratum", "n", "t.*")
-    level = risk.delta / (max(1, counts.count()) * len(GRIDS))
-    alpha = risk.alpha / len(GRIDS)
-    tail = ln_lower_tail(F.col("k"), F.col("n"), alpha)
-    sure = each.where((F.col("k") < F.col("n") * alpha) & (F.when(F.col("k") < F.col("n") * alpha, tail) <= F.log(F.lit(level))))
-    strictest = [F.min(F.when(F.col("rule") == r, F.col("cut"))).alias(r) for r in GRIDS]
-    return sure.groupBy("_stratum").agg(*strictest).select("_stratum", F.struct(*GRIDS).alias("_cuts"))
+    held = graded.select("doc_id", _stratum(F.col("lang")).alias("stratum"), "rung").join(good, "doc_id")
+    failed = [F.count_if(F.col("rung") <= i).alias(f"k{i}") for i in range(len(RUNGS))]
+    counts = cut(held.groupBy("stratum").agg(F.count("*").alias("n"), *failed), "strata")
+    tests = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("rungs"), F.col(f"k{i}").alias("k")) for i in range(len(RUNGS))]))
+    each = counts.select("stratum", "n", tests.alias("t")).select("stratum", "n", "t.*")
+    level = risk.delta / max(1, counts.count())
+    few = F.col("k") < F.col("n") * risk.alpha
+    tail = F.when(few, ln_lower_tail(F.col("k"), F.col("n"), risk.alpha))
+    return each.where(few & (tail <= F.log(F.lit(level)))).groupBy("stratum", "n").agg(F.max("k").alias("k"), F.max("rungs").alias("rungs"))
 
 
-def with_verdict(measures: DataFrame, cuts: DataFrame, share) -> DataFrame:
-    """``measures`` with ``_kept``, whether a text stays: no base failure, no share above its stratum's cutoff."""
-    stays = ~share("base_failed")
-    for rule in GRIDS:
-        stays = stays & F.coalesce(share(rule) <= F.col(f"_cuts.{rule}"), F.lit(True))
-    return measures.withColumn("_stratum", _stratum()).join(F.broadcast(cuts), "_stratum", "left").withColumn("_kept", stays)
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+def _judged(rows: DataFrame, cuts: DataFrame, m: str, kept: str) -> DataFrame:
+    """``rows`` (with lang and the struct ``m``) with ``kept``: no base failure, no rung failed that its stratum certifies."""
+    stratum, rungs = fresh(rows, "stratum"), fresh(rows, "rungs")
+    mine = cuts.select(F.col("stratum").alias(stratum), F.col("rungs").alias(rungs))
+    got = rows.withColumn(stratum, _stratum(F.col("lang"))).join(F.broadcast(mine), stratum, "left")
+    return got.withColumn(kept, ~F.col(m)["base_failed"] & (F.col(m)["rung"] >= F.coalesce(F.col(rungs), F.lit(0))))
 
 
-def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), hold=None) -> DataFrame:
-    """``doc_id``, the base counts, ``base_failed`` and ``kept``. ``hold`` may store the measures between both passes."""
-    m = measured(docs.select("doc_id", "lang", "text")).select("doc_id", "lang", "m.*")
-    m = hold(m) if hold else m
-    cuts = cutoffs(m, labels, risk)
-    return with_verdict(m, cuts, F.col).select("doc_id", *COUNTS, "base_failed", F.col("_kept").alias("kept"))
+def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), hold=cut) -> DataFrame:
+    """``doc_id``, the base counts, ``base_failed`` and ``kept``. ``hold`` stores the measures between both passes."""
+    rows = hold(docs.select("doc_id", "lang", measures().alias("m")))
+    cuts = cutoffs(rows.select("doc_id", "lang", "m.rung"), labels, risk)
+    got = _judged(rows, cuts, "m", "kept")
+    return got.select("doc_id", *[F.col("m")[c].alias(c) for c in (*COUNTS, "base_failed")], "kept")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
-    """The rows of ``docs`` that the rules keep. Texts are measured twice rather than moved."""
-    m = measured(docs.select("doc_id", "lang", "text")).select("doc_id", "lang", "m.*")
-    cuts = cutoffs(m, labels, risk)
-    judged = with_verdict(measured(docs), cuts, lambda c: F.col(f"m.{c}"))
-    return judged.where("_kept").select(*docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), hold=cut) -> DataFrame:
+    """The rows of ``docs`` that the rules keep. Texts are measured once: ``hold`` stores the rows with their measures."""
+    m, kept = fresh(docs, "measures"), fresh(docs, "kept")
+    rows = hold(docs.withColumn(m, measures()))
+    cuts = cutoffs(rows.select("doc_id", "lang", F.col(m)["rung"].alias("rung")), labels, risk)
+    return _judged(rows, cuts, m, kept).where(F.col(kept)).select(*docs.columns)
