@@ -3,13 +3,14 @@
 Documents become token ids (byte-level BPE) and an end id; longer ones than a sequence are cut into full pieces, with the
 remainder as the first piece. Pieces of one length are interchangeable, so the packing is solved on the histogram of lengths: at
 most ``capacity`` numbers reach the driver, whatever the input's size. Best-fit decreasing gives the incumbent; if it
-needs more sequences than the lower bound, a branch-and-bound completes bins around the largest length left:
-it enumerates all undominated fillings (no item can be added, none replaced by a longer one), least waste first, repeats a
-filling as often as counts allow, then less often, and prunes by the waste that a better solution may still have. Each filling and its repetitions become places, and the
+needs more sequences than the lower bound, a branch-and-bound completes bins around the largest length left with undominated
+fillings (no item can be added, none replaced by a longer one), repeats a filling as often as counts allow, and prunes by the
+waste that a better solution may still have. It begins with descents: each takes, bin after bin, the filling of longest items
+among those whose waste is at most a tolerance (0, 1, 2, 4 ... of ``TOLERANCES``), which keeps short items for the end.
+If none meets the bound, all undominated fillings are enumerated, least waste first, with all repetitions, most first, until ``node_limit`` nodes are seen; the
+best solution so far stays. Each filling and its repetitions become places, and the
 k-th piece of a length takes the k-th place of that length; places are dealt out by a distributed rank.
 
-``node_limit`` alone bounds the search; when it is hit, the best solution so far stays.
-
 Edge cases: a null or empty text is one piece, the end id alone; ids are those of each row, so repeated rows are packed each; an
 empty table gives an empty result. Ties between pieces of one length go by doc_id, piece and checksum.
 """
@@ -21,28 +22,30 @@ import math
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinloom.llm.common import Shared
 from kinloom.shipping import ship
 
 END_ID = 2
 _encoders: dict = {}
 
 
-def encoder(ranks_path: str, pattern: str, specials: tuple[tuple[str, int], ...]):
-    """The byte-level BPE of the ranks file, once per process."""
-    key = (ranks_path, pattern, specials)
-    if key not in _encoders:
+def encoder(vocabulary: Shared):
+    """The byte-level BPE of a broadcast (ranks file, pattern, special tokens), once per process."""
+    if vocabulary.id not in _encoders:
         import tiktoken
 
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encoders[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(specials))
-    return _encoders[key]
+        lines, pattern, specials = vocabulary.value
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
+        _encoders.clear()
+        _encoders[vocabulary.id] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(specials))
+    return _encoders[vocabulary.id]
 
 
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -54,10 +57,10 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, capacity: int, ranks_path: str, pattern: str, specials=(("<|endoftext|>", 50256),)) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every piece."""
     ship(docs.sparkSession)
-    specials = tuple(specials)
+    vocabulary = Shared(docs.sparkSession, (Path(ranks_path).read_bytes(), pattern, tuple(specials)))  # the file need not be where workers run
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(ranks_path, pattern, specials)
+        enc = encoder(vocabulary)
         for b in batches:
             rows = []
             for d, t in zip(b.doc_id, b.text, strict=True):
@@ -169,10 +172,73 @@ def fillings(sizes: list[int], counts: dict[int, int], room: int, most_waste: in
                 yield waste, items if undominated(items, waste) else None
 
 
+#: Waste that a descent accepts for longer items.
+TOLERANCES = (0, 1, 2, 4, 6, 8, 12, 16, 24, 32, 64)
+
+
+def longest_filling(sizes: list[int], left: dict[int, int], room: int, tolerance: int) -> tuple[int, tuple]:
+    """Waste and items of the filling of ``room`` that has the longest items, among those that waste ``tolerance`` or less,
+    or least if there is none. It is undominated: more or longer items would come first."""
+    usable = [s for s in sizes if s <= room and left[s]]
+    reach, whole = [1] * (len(usable) + 1), (1 << room + 1) - 1
+    for i in range(len(usable) - 1, -1, -1):
+        got, more, step = reach[i + 1], min(left[usable[i]], room // usable[i]), 1
+        while more:
+            n = min(step, more)
+            got |= got << n * usable[i] & whole
+            more, step = more - n, 2 * step
+        reach[i] = got
+    best: tuple[int, tuple] | None = None
+    for waste in range(room + 1):
+        if best and waste > tolerance:
+            break
+        if not reach[0] >> room - waste & 1:
+            continue
+        items, rest = [], room - waste
+        for i, s in enumerate(usable):
+            if not rest:
+                break
+            c = min(left[s], rest // s)
+            while not reach[i + 1] >> rest - c * s & 1:
+                c -= 1
+            if c:
+                items.append((s, c))
+                rest -= c * s
+        if best is None or tuple(items) > best[1]:
+            best = waste, tuple(items)
+    return best
+
+
+def descend(counts: dict[int, int], capacity: int, tolerance: int, spare: int) -> list[Filling] | None:
+    """A solution that wastes at most ``spare`` in all, or None: the waste bound prunes the descent."""
+    left, sizes, out = dict(counts), sorted(counts, reverse=True), []
+    while sizes := [s for s in sizes if left[s]]:
+        big = sizes[0]
+        left[big] -= 1
+        waste, items = longest_filling(sizes, left, capacity - big, tolerance)
+        left[big] += 1
+        merged: dict[int, int] = {big: 1}
+        for s, c in items:
+            merged[s] = merged.get(s, 0) + c
+        n = min(left[s] // c for s, c in merged.items())
+        if waste * n > spare:
+            n = spare // waste  # the rest of them must do with other fillings
+            if not n:
+                return None
+        spare -= waste * n
+        for s, c in merged.items():
+            left[s] -= n * c
+        out.append((n, tuple(merged.items())))
+    return out
+
+
 def complete_bins(counts: dict[int, int], capacity: int, incumbent: list[Filling], bound: int, node_limit: int) -> list[Filling]:
     """Bin completion: a solution of fewer sequences than ``incumbent``, or ``incumbent``."""
     best, total = incumbent, sum(s * c for s, c in counts.items())
     used = sum(n for n, _ in best)
+    for tolerance in TOLERANCES:
+        if used > bound and (got := descend(counts, capacity, tolerance, (used - 1) * capacity - total)):
+            best, used = got, sum(n for n, _ in got)
     left = dict(counts)
     nodes = 0
     stack: list[tuple[Filling, Iterator]] = []

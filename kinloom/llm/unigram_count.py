@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinloom.llm.common import Shared
 from kinloom.shipping import ship
 
 MARK = "▁"
@@ -123,18 +124,21 @@ def vocabulary(model_path: str) -> list[tuple[str, float]]:
     return [(p.id_to_piece(i), p.get_score(i)) for i in range(p.get_piece_size())]
 
 
-def counter(model_path: str) -> Counter:
-    if model_path not in _loaded:
-        _loaded[model_path] = Counter(vocabulary(model_path))
-    return _loaded[model_path]
+def counter(pieces) -> Counter:
+    """The counter of a broadcast vocabulary, once per process."""
+    if pieces.id not in _loaded:
+        _loaded[pieces.id] = Counter(pieces.value)
+    return _loaded[pieces.id]
 
 
 def count(docs: DataFrame, model_path: str) -> DataFrame:
     """``doc_id, n_tokens, score`` for every document."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
+    pieces = Shared(spark, vocabulary(model_path))  # the file need not be where workers run
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = counter(model_path)
+        c = counter(pieces)
         for b in batches:
             got = [c.of_text(t) for t in b.text]
             out = pd.DataFrame({"doc_id": b.doc_id.astype("Int64"), "n_tokens": [x[0] for x in got], "score": [x[1] for x in got]})
