@@ -116,24 +116,43 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _bounds(ids: DataFrame, rows: int, most: int) -> list[int]:
-    """Quantiles of ``doc_id``, at most ``most``, that cut the ids into ranges of about ``rows`` rows."""
-    n = ids.count()
-    k = min(most, n // rows)
-    if k < 1:
+    """Ids that cut the table into ranges of about ``rows`` rows: what Spark's range partitioner makes of them, at most ``most``.
+
+    They decide how evenly ranges are filled, not what comes out.
+    """
+    k = min(most, ids.count() // rows)
+    if k < 2:
         return []
-    got = ids.agg(F.percentile_approx("doc_id", [i / (k + 1) for i in range(1, k + 1)], 20 * (k + 1)).alias("q")).first().q
-    return sorted(set(got or []))
+    cut = ids.where(F.col("doc_id").isNotNull()).repartitionByRange(k, "doc_id")
+    tops = cut.groupBy(F.spark_partition_id()).agg(F.max("doc_id").alias("top")).collect()
+    return sorted(r.top for r in tops)[:-1]
+
+
+def _place(x: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are below ``x``, by bisection."""
+    if not bounds:
+        return F.lit(0)
+    known = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # folded to one constant
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s.lo + s.hi, 1)
+        up = F.get(known, mid) < x
+        return F.when(s.lo >= s.hi, s).otherwise(
+            F.struct(F.when(up, mid + 1).otherwise(s.lo).alias("lo"), F.when(up, s.hi).otherwise(mid).alias("hi"))
+        )
+
+    ends = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), ends, halve, lambda s: s.lo)
 
 
-def compare_edited(docs: DataFrame, rows: int = 512, most: int = 4096) -> DataFrame:
+def compare_edited(docs: DataFrame, rows: int = 512, most: int = 1 << 16) -> DataFrame:
     """Fingerprints of texts, of edited texts and of the next documents.
 
     A text is edited by putting the first floor(n/3) code points (or all) of the next document, by descending ``doc_id``, in
     place of its own last floor(n/3); the first document follows the last. Rows of one ``doc_id`` follow each other by text;
     null ids come last.
 
-    The order is cut at quantiles into ranges of about ``rows`` rows (at most ``most`` ranges, each sorted
-    with spilling). The first row of the range below is added to each range, so that every row meets its successor in
+    The order is cut into ranges of about ``rows`` rows (beyond ``most`` ranges of more; each is sorted with spilling). The first row of the range below is added to each range, so that every row meets its successor in
     its own range and texts move once.
     """
     from pyspark.sql import Window
@@ -141,10 +160,7 @@ def compare_edited(docs: DataFrame, rows: int = 512, most: int = 4096) -> DataFr
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = own.select("doc_id")
-    bounds = _bounds(ids, rows, most)
-    edges = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    cell = F.coalesce(F.size(F.filter(edges, lambda b: b < F.col("doc_id"))), F.lit(0))
-    cell = F.when(F.col("doc_id").isNull(), -1).otherwise(cell)
+    cell = F.when(F.col("doc_id").isNull(), -1).otherwise(_place(F.col("doc_id"), _bounds(ids, rows, most)))
     tops = sorted(
         ((r.cell, r.top) for r in ids.groupBy(cell.alias("cell")).agg(F.max("doc_id").alias("top")).collect()), reverse=True
     )
