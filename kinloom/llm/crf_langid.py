@@ -204,7 +204,7 @@ def sample(docs: DataFrame, per_lang: int = 150, most_langs: int = 64, passages:
 class Tagger:
     """Applies a model to batches of texts; emissions of words seen lately are kept."""
 
-    def __init__(self, model: Model, keep: int = 400_000):
+    def __init__(self, model: Model, keep: int = 200_000):
         self.model, self.keep = model, keep
         self.place: dict[str, int] = {}
         self.table = np.empty((0, len(model.langs)), "f4")
@@ -286,7 +286,7 @@ class Tagger:
         return total, lengths
 
 
-def _tag(model, most: int = 1 << 21):
+def _tag(model, most: int = 1 << 19):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value
         tagger = Tagger(m) if m.langs else None

@@ -10,7 +10,7 @@ left over is dealt out again among the others until none is above (water filling
 
 The running sums never gather a source in one task: a queue is cut into cells by leading digits of the hash, cells are
 summed first, and a document adds its own cell's sum so far to those of the cells before. The truncation works likewise on cells of
-finish time; only the documents of the cell in which the budget ends are ordered, and only those.
+finish time, summed in two levels; only the documents of the cell in which the budget ends are ordered, and only those.
 
 Edge cases: null texts have no tokens and are never taken; a null source is a source, ordered last; null ids share a place in
 the shuffle; repeated rows follow each other; without any tokens all targets are 0; an empty table gives an empty result.
@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import word_count
+from kinloom.llm.common import fresh, word_count
 
 PASSES = 2
 
@@ -95,9 +95,19 @@ def queue(docs: DataFrame, hold, seed: str = "mix", rows: int = 2000, weights: t
     waiting = waiting.select("doc_id", "size", "rank", "h", "run", "p.f", "p.k")
     fine = 1 << max(0, min(30, math.ceil(math.log2(max(PASSES * n / rows, 1)))))
     slot = F.floor(F.col("f") * fine).cast("long")
-    sums = waiting.groupBy(slot.alias("slot")).agg(F.sum("size").alias("s"))
-    upto = sums.select("slot", F.sum("s").over(Window.orderBy("slot")).alias("upto"), "s")
-    last = upto.where(F.col("upto") > limit).agg(F.min("slot").alias("slot"), F.min(F.col("upto") - F.col("s")).alias("before")).first()
+    sums = hold(waiting.groupBy(slot.alias("slot")).agg(F.sum("size").alias("s")))
+
+    def crossing(sums: DataFrame, before: int):
+        """The first slot whose running sum exceeds the limit, and the sum before it."""
+        upto = sums.select("slot", (F.lit(before) + F.sum("s").over(Window.orderBy("slot"))).alias("upto"), "s")
+        return upto.where(F.col("upto") > limit).agg(F.min("slot").alias("slot"), F.min(F.col("upto") - F.col("s")).alias("before")).first()
+
+    # runs of slots first, then the slots of one run: no window sees more than the square root of the slots
+    run = 1 << (fine.bit_length() - 1) // 2
+    runs = sums.groupBy(F.floor(F.col("slot") / run).cast("long").alias("slot")).agg(F.sum("s").alias("s"))
+    last = crossing(runs, 0)
+    if last.slot is not None:
+        last = crossing(sums.where((F.col("slot") >= last.slot * run) & (F.col("slot") < (last.slot + 1) * run)), last.before)
     if last.slot is None:  # everything fits
         return queued.select("doc_id", "size", "source_size", "target", F.when(F.col("target") > 0, PASSES).otherwise(0).alias("passes"))
     order = Window.orderBy("f", "rank", "h", "doc_id", "run").rowsBetween(Window.unboundedPreceding, 0)
@@ -125,8 +135,9 @@ def mix(docs: DataFrame, hold, **options) -> DataFrame:
 
     Rows are joined with their counts by ``doc_id``; of rows with one id each comes as often as the first of them.
     """
+    mine, passes, turn = (fresh(docs, c) for c in ("id", "passes", "turn"))
     q = queue(docs.select("doc_id", "source", "text"), hold, **options)
     per = q.groupBy("doc_id").agg(F.max("passes").alias("passes")).where(F.col("passes") > 0)
-    per = per.select(F.col("doc_id").alias("_id"), "passes")
-    got = docs.join(per, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return got.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "passes")).alias("_pass")).drop("_pass")
+    per = per.select(F.col("doc_id").alias(mine), F.col("passes").alias(passes))
+    got = docs.join(per, F.col("doc_id").eqNullSafe(F.col(mine)))
+    return got.select(*docs.columns, F.explode(F.sequence(F.lit(1), passes)).alias(turn)).drop(turn)

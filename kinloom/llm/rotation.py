@@ -5,7 +5,7 @@ and all others as named users. Only what the assistant says is trained on: the l
 characters, ``mask_len`` and ``mask_on``, whose lengths add up to the length of ``text``.
 
 Edge cases: a null text is an empty turn; a null role is the speaker ``unknown``; a null turn number comes last; equal turn
-numbers are ordered by role and text, and repeated rows stay repeated; rows with a null ``conv_id`` are one dialogue;
+numbers are ordered by role and text, and repeated rows stay repeated; a row with a null ``conv_id`` is a dialogue of its own;
 a dialogue without participants (system turns only) gives no row; an empty table gives an empty result; further
 columns of the input are ignored. A dialogue's output is one row per participant, so a dialogue has to fit in a task.
 """
@@ -32,6 +32,7 @@ def rotate(conversations: DataFrame, system_roles: tuple[str, ...] = ("system",)
     system = list(system_roles)
     said = conversations.select(
         "conv_id",
+        F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone"),
         F.struct(
             F.col("turn").isNull().alias("late"),
             F.col("turn").cast("long").alias("turn"),
@@ -39,7 +40,7 @@ def rotate(conversations: DataFrame, system_roles: tuple[str, ...] = ("system",)
             F.coalesce("text", F.lit("")).alias("text"),
         ).alias("t"),
     )
-    whole = said.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    whole = said.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     speakers = F.array_sort(
         F.array_distinct(F.transform(F.filter("turns", lambda t: ~t.role.isin(system)), lambda t: t.role))
     )

@@ -27,6 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinloom.llm.common import cut
 from kinloom.shipping import ship
 
 DICTIONARY_FRAME = 0x184D2A5D
@@ -96,6 +97,10 @@ def parse(raw: bytes) -> dict:
     return out
 
 
+#: A payload with this share (1 in HOT) of all copies is handled apart.
+HOT = 1000
+
+
 def build_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
     """A trained dictionary; where there is too little to train on, the samples themselves serve as raw content."""
     total = sum(map(len, samples))
@@ -192,8 +197,14 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumns({"digest": F.sha1(F.col("html")), "size": F.octet_length("html")})
     again = p.where(F.col("size") >= least).groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    again = again.where(F.col("n") > 1).select("digest", "size", "first")
-    got = p.join(again, ["digest", "size"], "left")
+    again = cut(again.where(F.col("n") > 1), "copies")
+    total = again.agg(F.sum("n")).first()[0] or 0
+    # payloads that hold a thousandth of all copies or more are a thousand at most: broadcast, so that their pages don't meet
+    often = again.where(F.col("n") * HOT >= total).select("digest", "size", F.col("first").alias("often"))
+    p = p.join(F.broadcast(often), ["digest", "size"], "left")
+    apart = F.when(F.col("often").isNull(), F.col("digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.col("url"), F.lit(""))))
+    again = again.select(F.col("digest").alias("key"), "size", "first")
+    got = p.withColumn("key", apart).join(again, ["key", "size"], "left").withColumn("first", F.coalesce("often", "first"))
     other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return got.select("page_id", "url", "html", "digest", F.when(other, F.col("first")).alias("refers_to"))
 

@@ -4,19 +4,23 @@ import base64
 import hashlib
 import io
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tests.llm.test_native import docs
 
 from kinloom.llm import crf_langid, packing, parity_join, pseudo_likelihood, unigram_count, warc
 from kinloom.llm.common import cut, new_path
+from kinloom.llm.hashing import word_hashes
 
 
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/\r\nx", "same" * 50), (0, "u", "same" * 50), (2, None, None), (3, "u", ""), (4, "u", "é🙂" * 3000), (4, "u", "é🙂" * 3000)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("digest", "size", "first", "key", "often")})
     written = cut(warc.write(pages, new_path(spark, "warc")), "archives")
     got = sorted(warc.read(written, 2).collect(), key=lambda r: r.page_id)
     assert [r.page_id for r in got] == [0, 1, 2, 3, 4, 4]
@@ -130,12 +134,37 @@ def test_packing_search_leaves_nothing_out():
             assert {s: sum(n * dict(f).get(s, 0) for n, f in got) for s in counts | more} == counts | more
 
 
+def test_packing_beats_best_fit():
+    for seed in (2, 14, 15, 27):
+        r, counts = random.Random(seed), Counter()
+        for _ in range(120):
+            counts[r.randint(20, 600)] += 1
+        got = packing.solve(dict(counts), 1024)
+        assert {s: sum(n * dict(f).get(s, 0) for n, f in got) for s in counts} == counts
+        assert sum(n for n, _ in got) == packing.lower_bound(counts, 1024) < sum(n for n, _ in packing.best_fit(dict(counts), 1024))
+
+
+def test_longest_filling_is_undominated():
+    r = random.Random(8)
+    for _ in range(60):
+        left = Counter(r.randint(2, 30) for _ in range(14))
+        room, tolerance = r.randint(5, 60), r.randint(0, 6)
+        sizes = sorted(left, reverse=True)
+        waste, items = packing.longest_filling(sizes, left, room, tolerance)
+        every = [(w, x) for w, x in packing.fillings(sizes, left, room, room) if x is not None]
+        least = min(w for w, _ in every)
+        assert waste == room - sum(s * c for s, c in items) and (waste, items) in every
+        assert items == max(x for w, x in every if w <= max(tolerance, least))
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = [None, "", "a" * 5000, "Hello world " * 300, "<|endoftext|> x", "日本 🙂\n\n  y", *(f"word{i} " * i for i in range(40))]
     rows = [(i, t, "a") for i, t in enumerate(texts)]
+    copies = packing.pack(cut(packing.pieces(docs(spark, rows[:9] * 3), 64, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)), 64, rows=8).collect()
+    assert len({(p.sequence_id, p.offset) for p in copies}) == len(copies) and Counter(p.doc_id for p in copies if not p.piece) == {i: 3 for i in range(9)}
     ready = packing.pieces(docs(spark, rows), 64, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     got = packing.pack(cut(ready), 64, rows=8).collect()
     for i, t, _ in rows:
@@ -153,58 +182,121 @@ def test_packing(spark):
     assert packing.pack(cut(ready.limit(0)), 64).count() == 0
 
 
+def plain_model(params, shape):
+    tables, bias, out, e, deep, f = (x.astype("f8") for x in pseudo_likelihood.views(params, shape))
+
+    def distributions(near):
+        h = np.tanh(sum(tables[k * shape.vocabulary + w] for k, w in enumerate(near)) + bias)
+        soft = lambda z: np.exp(z) / np.exp(z).sum()
+        return h, soft(h @ out + e), lambda c: soft(h @ deep[c] + f[c])
+
+    return distributions
+
+
+def neighbours(ids, t):
+    return [int(ids[t + o]) if 0 <= t + o < len(ids) else 0 for o in (-2, -1, 1, 2)]
+
+
 def test_pseudo_likelihood(spark):
     r = random.Random(2)
-    rows = [(i, " ".join("ab" if r.random() < 0.95 else "ba" for _ in range(40)).replace("ab", "sun rises"), "a") for i in range(60)]
-    rows += [(100, None, None), (101, "", "a"), rows[0]]
-    shape = pseudo_likelihood.Shape(frequent=5, classes=3, hidden=6)
-    words, params = pseudo_likelihood.fit(docs(spark, rows), shape, rounds=4)
-    got = pseudo_likelihood.apply(docs(spark, rows), words, params, shape, most=100).collect()
-    assert words[:2] == ["rises", "sun"]
-    voc = pseudo_likelihood.Vocabulary(words, shape)
-    tables, b, out, e = pseudo_likelihood.views(params, shape)
-    for x in got[:5] + got[-3:]:
-        ids = voc.ids(dict((i, t) for i, t, _ in rows)[x.doc_id])
-        total = 0.0
-        for t in range(len(ids)):
-            near = [ids[t + o] if 0 <= t + o < len(ids) else 0 for o in (-2, -1, 1, 2)]
-            z = np.tanh(sum(tables[k * shape.vocabulary + w] for k, w in enumerate(near)) + b) @ out + e
-            total += float(z[ids[t]] - np.log(np.exp(z).sum()))
-        assert x.n_words == len(ids) and abs(total - x.score) < 1e-2 and (x.mean_score is None) == (len(ids) == 0)
-    seen = [x for x in got if x.n_words]
-    assert sum(x.score for x in seen) / sum(x.n_words for x in seen) > -0.65  # of a balanced pair of words: -0.69
-
-
-def test_pseudo_likelihood_trains_on_every_document(spark, monkeypatch):
-    seen = spark.sparkContext.accumulator(0)
-    plain = pseudo_likelihood.train
-
-    def counted(params, rows, words, *rest):
-        seen.add(len(words))
-        return plain(params, rows, words, *rest)
-
-    monkeypatch.setattr(pseudo_likelihood, "train", counted)
-    # over 4,000 documents: where a round was once a part of the table
-    many = spark.range(4400).selectExpr("id doc_id", "concat('sun rises ', id % 7) text")
-    pseudo_likelihood.fit(many, pseudo_likelihood.Shape(frequent=5, classes=3, hidden=2), rounds=2)
-    assert seen.value == 2 * 3 * 4400
-
-
-def test_pseudo_likelihood_of_rare_words(spark):
-    shape = pseudo_likelihood.Shape(frequent=2, classes=1, hidden=4)
-    texts = ["sun rises " * 9 + w for w in ("ab", "ab", "ab", "zq", "É", "é zq")] + ["sun rises"]
-    df = docs(spark, [(i, t, "a") for i, t in enumerate(texts)])
-    words, params = pseudo_likelihood.fit(df, shape)
-    count = {"ab": 3, "zq": 2, "é": 2}
-    voc = pseudo_likelihood.Vocabulary(words, shape)
-    for near in (0, 1, 100):  # all by the join, some, all by the workers' table
-        got = {x.doc_id: x for x in pseudo_likelihood.apply(df, words, params, shape, near=near).collect()}
-        for i, t in enumerate(texts):
-            rows, ids = pseudo_likelihood.windows([voc.ids(t)], shape)
-            want = pseudo_likelihood.log_probabilities(params, rows, ids, shape).sum()
-            want += sum(np.log(count[w] / 7) for w in t.lower().split() if w in count)
-            assert abs(got[i].score - want) < 1e-3 and abs(got[i].mean_score * got[i].n_words - got[i].score) < 1e-9
-        assert got[0].score == got[2].score > got[3].score  # one class, different words
+    rows = [(i, " ".join(r.choice(("sun rises", "Sun rises", "tide falls", f"rare{r.randint(0, 90)}")) for _ in range(30)), "a") for i in range(60)]
+    rows += [(100, None, None), (101, "", "a"), (102, " É ", "a"), rows[0]]
+    shape = pseudo_likelihood.Shape(side=4, hidden=6)
+    given = docs(spark, rows).repartition(3)
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
+    count = Counter(w for _, t, _ in rows for w in low(t))
+    counts = cut(pseudo_likelihood.word_counts(given))
+    hashes = {w: int(hash_of(w)) for w in count}
+    assert {x.h: x.n for x in counts.collect()} == {np.array([hashes[w]], "u8").view("i8")[0]: n for w, n in count.items()}
+    frequent = sorted(count, key=lambda w: (-count[w], np.array([hashes[w]], "u8").view("i8")[0]))[: shape.words]
+    member = {w: frequent.index(w) + 1 if w in frequent else shape.words + 1 + hashes[w] % shape.side for w in count}
+    of_class = Counter()
+    for w in count:
+        if w not in frequent:
+            of_class[member[w]] += count[w]
+    assert frequent[:1] == ["rises"] and len(of_class) > 1
+    scores = []
+    for near in (0, 20, 1000):  # rare words by the join, some, all by the workers' table
+        voc, rest = pseudo_likelihood.vocabulary(counts, shape, near)
+        stored = cut(pseudo_likelihood.encoded(given, spark.sparkContext.broadcast(voc)))
+        params = pseudo_likelihood.fit(stored, shape, rounds=4)
+        got = pseudo_likelihood.apply(stored, params, shape, rest).collect()
+        scores.append(sorted((x.doc_id, round(x.score, 6)) for x in got))
+        model = plain_model(params, shape)
+        text = {i: t for i, t, _ in rows}
+        for x in got:
+            ids = [member[w] for w in low(text[x.doc_id])]
+            want = 0.0
+            for t, w in enumerate(low(text[x.doc_id])):
+                _, p, q = model(neighbours(ids, t))
+                c, m = divmod(ids[t] - 1, shape.side)
+                want += np.log(p[c]) + np.log(q(c)[m]) + (0 if w in frequent else np.log(count[w] / of_class[ids[t]]))
+            assert x.n_words == len(ids) and abs(want - x.score) < 1e-2 and (x.mean_score is None) == (not ids)
+    assert scores[0] == scores[1] == scores[2]
+    twice = [x.score for x in got if x.doc_id == rows[0][0]]
+    assert len(twice) == 2 and twice[0] == twice[1]
+    first = pseudo_likelihood.apply(stored, pseudo_likelihood.initial(shape), shape, rest).collect()
+    assert sum(x.score for x in got) > 0.8 * sum(x.score for x in first)  # it learned something
+    assert pseudo_likelihood.score(given.limit(0)).count() == 0
+
+
+def hash_of(word):
+    data = np.frombuffer(word.encode(), "u1")
+    return word_hashes(data, np.array([0, len(data)]))[0][0]
+
+
+def test_pseudo_likelihood_training_equals_a_plain_version():
+    shape, rng = pseudo_likelihood.Shape(side=3, hidden=4), np.random.default_rng(1)
+    ids = [rng.integers(1, shape.vocabulary, 50), rng.integers(1, shape.vocabulary, 40)]
+    start = pseudo_likelihood.initial(shape)
+    rows, words = pseudo_likelihood.windows(ids, shape)
+    got, state = start.copy(), np.zeros_like(start)
+    pseudo_likelihood.train(got, rows, words, shape, state, rate=0.1, step=32)
+    params, state, at = start.astype("f8"), np.zeros(len(start)), [(x, t) for x in ids for t in range(len(x))]
+    for i in range(0, len(at), 32):
+        now = at[i : i + 32]
+
+        def loss(p):
+            model = plain_model(p, shape)
+            total = 0.0
+            for x, t in now:
+                _, a, b = model(neighbours(x, t))
+                c, m = divmod(int(x[t]) - 1, shape.side)
+                total -= np.log(a[c]) + np.log(b(c)[m])
+            return total / len(now)
+
+        grad = np.empty(len(params))
+        for k in range(len(params)):
+            up, down = params.copy(), params.copy()
+            up[k] += 1e-5
+            down[k] -= 1e-5
+            grad[k] = (loss(up) - loss(down)) / 2e-5
+        grad[np.abs(grad) < 1e-9] = 0
+        state += grad * grad
+        params -= 0.1 * grad / np.sqrt(state + 1e-8)
+    assert np.abs(got - params).max() < 2e-2
+
+
+def test_pseudo_likelihood_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "SHARD", 3000)
+    r = random.Random(6)
+    rows = [(i, " ".join(f"w{int(r.paretovariate(0.6))}" for _ in range(40)), "a") for i in range(400)]
+    given = docs(spark, rows)
+    got = [sorted((x.doc_id, x.n_words, round(x.score, 3)) for x in pseudo_likelihood.score(given.repartition(n)).collect()) for n in (1, 4, 60)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 400
+
+
+def test_pseudo_likelihood_predicts_every_document():
+    shape = pseudo_likelihood.Shape(side=3, hidden=2)
+    shard, seen = pseudo_likelihood.Shard(pseudo_likelihood.initial(shape), shape, 0), []
+    plain, pseudo_likelihood.train = pseudo_likelihood.train, lambda p, rows, words, *rest: seen.append(len(words))
+    try:
+        for i in range(7):
+            shard.add(np.full(i, 1, "u2"))
+        shard.total()
+    finally:
+        pseudo_likelihood.train = plain
+    assert sum(seen) == sum(-(-i // pseudo_likelihood.MASKS) for i in range(7)) and pseudo_likelihood.side_for(10**9) > pseudo_likelihood.side_for(10**6) > 8
 
 
 def test_language(spark):

@@ -21,11 +21,13 @@ def docs(spark, rows):
 def test_rotation(spark):
     rows = [
         (1, 0, "system", "Be kind."), (1, 2, "ann", None), (1, 1, "bob", "Hi"), (1, 1, "bob", "Hi"),
-        (2, 0, "system", "alone"), (None, 0, None, "lost"),
+        (2, 0, "system", "alone"), (None, 0, None, "lost"), (3, 0, "ann", "long " * 40_000), (3, 1, "bob", "short"),
     ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("t", F.lit(1))
     got = {(r.conv_id, r.participant): r for r in rotation.rotate(df).collect()}
-    assert set(got) == {(1, "ann"), (1, "bob"), (None, "unknown")}
+    assert set(got) == {(1, "ann"), (1, "bob"), (3, "ann"), (3, "bob"), (None, "unknown")}
+    lost = spark.createDataFrame([(None, i % 2, "ann", "lost") for i in range(9)], "conv_id long, turn long, role string, text string")
+    assert [r.n_turns for r in rotation.rotate(lost).collect()] == [1] * 9  # without an id each row stands alone
     bob = got[1, "bob"]
     assert bob.text == (
         "<|im_start|>system\nBe kind.<|im_end|>\n" + 2 * "<|im_start|>assistant\nHi<|im_end|>\n" + "<|im_start|>user name=ann\n<|im_end|>\n"
@@ -37,7 +39,7 @@ def test_rotation(spark):
                 said.append(r.text[at : at + n])
             at += n
         assert at == len(r.text) and sum(map(len, said)) == r.trained_chars
-        if r.participant == "bob":
+        if r.conv_id == 1 and r.participant == "bob":
             assert said == ["Hi<|im_end|>\n"] * 2
     assert rotation.rotate(df.limit(0)).count() == 0
 
@@ -62,6 +64,56 @@ def test_fingerprints(spark):
     assert multiset_hash.compare_edited(docs(spark, rows).limit(0)).count() == 0
 
 
+def plain_vector(text):
+    """Sums over paragraphs: 8 words modulo 2^32 and 128 lanes modulo 2^16 of SHA-256, by hand."""
+    paragraphs = [p for p in re.split(r"\s*\n\s*|(?<=[.!?])\s+", text) if p.strip(" ")]
+    words, lanes = [0] * 8, [0] * 128
+    for p in paragraphs:
+        h = hashlib.sha256(p.encode()).digest()
+        for i in range(8):
+            words[i] = (words[i] + int.from_bytes(h[4 * i : 4 * i + 4], "big")) % 2**32
+        for half in range(2):
+            x = int.from_bytes(h[8 * half : 8 * half + 8], "big")
+            for k in range(32):  # a number holds two lanes
+                lanes[32 * half + k] = (lanes[32 * half + k] + (x >> k + 32 & 1)) % 2**16
+                lanes[64 + 32 * half + k] = (lanes[64 + 32 * half + k] + (x >> k & 1)) % 2**16
+    return len(paragraphs), words, lanes
+
+
+def plain_likeness(a, b):
+    if not a[0] + b[0]:
+        return 1.0
+    off = a[0] - b[0]
+    gap = sum((2 * ((x - y + 2**15) % 2**16 - 2**15) - off) ** 2 for x, y in zip(a[2], b[2], strict=True))
+    return max(0.0, min(1.0, 1 - gap / 128 / (a[0] + b[0])))
+
+
+def test_fingerprints_equal_a_plain_version(spark):
+    many = "\n".join(f"Line {i} of a long text." for i in range(3000))
+    texts = ["One. Two.\nThree.", "Three. Four!  Five?\n\n six", None, "", "x" * 50_000, many, many.replace("7", "8"), "é. 🙂 ü.\nOne."]
+    rows = [(3 * i, t, None) for i, t in enumerate(texts)] + [(6, "again", None), (None, "no id", None)]
+    named = docs(spark, rows).withColumns({c: F.lit(1) for c in ("cell", "guard", "v", "ev", "next_v", "edited", "to", "top")})
+    for size in (1, 3, 512):
+        got = multiset_hash.compare_edited(named, rows=size).collect()
+        order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+        assert len(got) == len(rows)
+        want = {}
+        for i, (d, t, _) in enumerate(order):
+            t, after = t or "", order[(i + 1) % len(order)][1] or ""
+            k = len(t) // 3
+            v, e, x = plain_vector(t), plain_vector(t[: len(t) - k] + after[:k]), plain_vector(after)
+            hexed = lambda y: "%08x" % y[0] + "".join("%08x" % w for w in y[1]) + "".join("%04x" % s for s in y[2])
+            want[d, len(t)] = hexed(v), hexed(e), round(plain_likeness(v, e), 9), round(plain_likeness(v, x), 9)
+        assert {(r.doc_id, r.n_chars): (r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got} == want
+
+
+def test_ranges_are_found_by_bisection(spark):
+    bounds = [-5, 0, 7, 7 + 2**40]
+    xs = [-9, -5, -4, 0, 1, 7, 8, 2**41]
+    got = spark.createDataFrame([(x,) for x in xs], "x long").select("x", multiset_hash._place(F.col("x"), bounds).alias("i")).collect()
+    assert all(r.i == sum(b < r.x for b in bounds) for r in got)
+
+
 def test_fingerprint_insertion_and_deletion(spark):
     df = spark.createDataFrame([("A one. B two.", "C three.", "A one. B two. C three.")], "a string, b string, ab string")
     a, b, ab = (multiset_hash.vector(F.col(c)) for c in ("a", "b", "ab"))
@@ -98,16 +150,51 @@ def test_quality_counts_and_guarantee(spark):
     assert risk_rules.judge(docs(spark, rows).limit(0), labels).count() == 0
 
 
-def test_quality_cutoffs_of_every_stratum(spark):
-    # 1,300 good labels suffice for one stratum and not, were the grid divided by, for 22 tests; 70 strata each have their own
-    shares = [f"if(id % 70 = 69, 9.0, 0.0) {r}" for r in risk_rules.GRIDS]
-    m = spark.range(70 * 2000).selectExpr("id doc_id", "concat('l', id % 70) lang", *shares)
-    labels = m.selectExpr("doc_id", "1 quality")
-    got = {r._stratum: r._cuts for r in risk_rules.cutoffs(m, labels).collect()}
-    assert set(got) == {f"lang=l{i}" for i in range(69)}
-    assert all(c.asDict() == {r: min(g) for r, g in risk_rules.GRIDS.items()} for c in got.values())
-    one = m.where("lang = 'l0' and doc_id < 70 * 1300")
-    assert [r._stratum for r in risk_rules.cutoffs(one, labels).collect()] == ["lang=l0"]
+def test_quality_cutoffs_equal_a_plain_version(spark):
+    # 70 strata; in every third one some good texts fail rungs, in the last all do
+    def rung(i, stratum):
+        if stratum == 69:
+            return 0
+        return (5 if i % 97 == 0 else 13 if i % 11 == 0 else len(risk_rules.RUNGS)) if stratum % 3 == 0 else len(risk_rules.RUNGS)
+
+    rows = [(i * 70 + s, f"l{s}" if s else None, rung(i, s)) for s in range(70) for i in range(300 + 20 * s)]
+    m = spark.createDataFrame(rows, "doc_id long, lang string, rung int")
+    labels = m.selectExpr("doc_id", "if(doc_id % 1000 = 7, 0, 1) quality").union(m.limit(5).selectExpr("doc_id", "cast(null as int)"))
+    risk = risk_rules.Risk(alpha=0.05, delta=0.1)
+    want = {}
+    for s in range(70):
+        mine = [r for i, x, r in rows if i % 70 == s and i % 1000 != 7]
+        n, best = len(mine), None
+        for j in range(len(risk_rules.RUNGS)):
+            k = sum(r <= j for r in mine)
+            if 700 * sum(math.comb(n, x) * 5**x * 95 ** (n - x) for x in range(k + 1)) > 100**n:  # exactly
+                break
+            best = (n, k, j + 1)
+        if best:
+            want["null" if not s else f"lang=l{s}"] = best
+    got = {r.stratum: (r.n, r.k, r.rungs) for r in risk_rules.cutoffs(m, labels, risk).collect()}
+    assert got == want and len({x[2] for x in want.values()}) > 1 and "lang=l69" not in want
+    assert risk_rules.cutoffs(m.limit(0), labels, risk).count() == 0
+
+
+def test_quality_rungs(spark):
+    texts = ["one two three " * 10, "a! b! c d e f g h i j", "x# y# z", "p q\n" * 9 + "r", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").select("text", risk_rules.measures().alias("m")).collect()
+    for r in got:
+        n = max(1, r.m.n_words)
+        lines = [x for x in (r.text or "").split("\n") if x.strip()]
+        share = {"symbols": r.m.n_symbols / n, "shouts": (r.text or "").count("!") / n, "repeats": r.m.n_repeat_words / n}
+        share["same_lines"] = r.m.n_dup_lines / max(1, len(lines))
+        fails = [i for i, (rule, c) in enumerate(risk_rules.RUNGS) if share[rule] > c]
+        assert r.m.rung == (fails[0] if fails else len(risk_rules.RUNGS))
+
+
+def test_quality_stage_keeps_columns_that_clash(spark):
+    rows = [(i, "word%d " % i * 3 + "and so on it goes for a while until there are enough words here for the base rule of twenty", "a") for i in range(5)]
+    df = docs(spark, [*rows, (9, "short", "a")]).withColumns({c: F.lit(1) for c in ("m", "_measures", "_kept", "stratum", "_stratum", "rungs", "_RUNGS")})
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    kept = risk_rules.keep_good(df, labels)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4]
 
 
 def test_binomial_tail(spark):
@@ -132,6 +219,9 @@ def test_fair_mix(spark):
     assert abs(sum(target.values()) - 1.5 * total) < 1e-6 * total
     assert all(abs(taken[s] - target[s]) <= 2 * longest for s in target)
     assert sorted(map(tuple, got)) == sorted(map(tuple, fair_mix.mix_counts(docs(spark, rows).repartition(3), cut, rows=16).collect()))
-    mixed = fair_mix.mix(docs(spark, rows[:-2]), cut)
-    assert mixed.columns == docs(spark, rows).columns
+    named = docs(spark, rows[:-2]).withColumns({c: F.lit(1) for c in ("_id", "passes", "_passes", "_pass", "_turn", "size", "rank")})
+    mixed = fair_mix.mix(named, cut, rows=16)
+    assert mixed.columns == named.columns
+    times = {r.doc_id: r["n"] for r in mixed.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert times == {r.doc_id: r.taken // r.size for r in fair_mix.mix_counts(named, cut, rows=16).collect() if r.taken}
     assert fair_mix.mix_counts(docs(spark, rows).limit(0), cut).count() == 0
