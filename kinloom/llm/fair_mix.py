@@ -109,7 +109,7 @@ def queue(docs: DataFrame, hold, seed: str = "mix", rows: int = 2000, weights: t
     if last.slot is not None:
         last = crossing(sums.where((F.col("slot") >= last.slot * run) & (F.col("slot") < (last.slot + 1) * run)), last.before)
     if last.slot is None:  # everything fits
-        return queued.select("doc_id", "size", "source_size", "target", F.when(F.col("target") > 0, PASSES).otherwise(0).alias("passes"))
+        return queued.select("doc_id", "size", "source_size", "target", F.when((F.col("target") > 0) & (F.col("size") > 0), PASSES).otherwise(0).alias("passes"))
     order = Window.orderBy("f", "rank", "h", "doc_id", "run").rowsBetween(Window.unboundedPreceding, 0)
     edge = waiting.where(slot == last.slot).withColumn("upto", last.before + F.sum("size").over(order))
     cut = edge.where(F.col("upto") > limit).orderBy("upto", "f", "rank", "h", "doc_id", "run").select("f", "rank", "h", "doc_id", "run").first()
@@ -120,7 +120,7 @@ def queue(docs: DataFrame, hold, seed: str = "mix", rows: int = 2000, weights: t
 
     here = [F.col(c) for c in ("rank", "h", "doc_id", "run")]
     end = place(*[F.lit(cut[c]) for c in ("f", "rank", "h", "doc_id", "run")])
-    taken = sum((F.when((F.col("target") > 0) & (place(finish(k), *here) < end), 1).otherwise(0) for k in range(PASSES)), F.lit(0))
+    taken = sum((F.when((F.col("target") > 0) & (F.col("size") > 0) & (place(finish(k), *here) < end), 1).otherwise(0) for k in range(PASSES)), F.lit(0))
     return queued.select("doc_id", "size", "source_size", "target", taken.alias("passes"))
 
 
