@@ -7,7 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,14 +60,41 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there.
 
-    Any executor can read the files, so a lost executor costs no recomputation. The files go when the driver ends.
+    Any executor can read the files, so a lost executor costs no recomputation. The shuffle files of the work go when
+    it is done, as nothing else reads them; the table goes when the driver ends, or by ``drop_cut`` or ``tidy``.
     """
     spark = df.sparkSession
     path = new_path(spark, what)
-    df.write.parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.select("*").write.parquet(path)  # a frame takes the setting when it is made
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The session with ``key`` set to ``value``, as it was afterwards."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def tidy(spark: SparkSession, *needed: DataFrame) -> None:
+    """Remove all tables that ``cut`` has left, but for those which ``needed`` reads: for between two steps, when what the
+    step before returned has been stored."""
+    read = {f.rsplit("/", 1)[0] for df in needed for f in df.inputFiles()}
+    names = {p.rsplit("/", 1)[1] for p in read}
+    for other, path in list(_made):
+        if other is spark and path.rsplit("/", 1)[1] not in names:
+            drop_path(spark, path)
+            _made.remove((other, path))
+
+
 def drop_cut(df: DataFrame) -> None:
     """Remove the files behind a frame that ``cut`` made and that nothing reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

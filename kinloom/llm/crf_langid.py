@@ -6,13 +6,16 @@ words are learned with them, on passages of labelled documents and on passages s
 runs forward-backward over a whole text, and sums the words' marginals: the language with the largest sum is predicted, its
 share of the words is the score.
 
-Training takes at most ``per_lang`` documents of each of at most ``most_langs`` languages, by hash of the id, and
-``passages`` passages of each, spread evenly over its text. That sample is bounded and fits the driver; prediction covers every
+Training takes at most ``per_lang`` documents of each language, by hash of the id, and ``passages`` passages of ``span``
+characters of each, spread evenly over its text. That sample grows with the number of languages only and fits the driver, where
+memory goes with that number and time with its square (``most_langs`` bounds it, if set); prediction covers every
 word of every text. Sequences are cut in blocks whose transfer matrices are multiplied, so that numpy handles all texts
 of a batch at once, with exact results.
 
 Edge cases: null texts and texts without letters are ``und`` with score 0; without any labelled document everything else is
-``und``, too; ties go to the first language by name; equal texts have equal results; an empty table gives an empty result.
+``und``, too; ties go to the first language by name; equal texts have equal results, and repeated rows are trained on as often as
+they come; a very long text is handled whole, in one task; an empty table gives an empty result; further columns, whatever
+their names, are ignored or (``keep_identified``) kept.
 """
 
 from __future__ import annotations
@@ -102,9 +105,9 @@ def marginals(emit: np.ndarray, mask: np.ndarray, step: np.ndarray, first: np.nd
         out[:, i] = p / p.sum(1, keepdims=True) * mask[:, i, None]
         if i:
             nb = psi[:, i] * beta
-            both = alpha[:, i - 1, :, None] * move * nb[:, None, :] * mask[:, i, None, None]
-            norm = both.sum((1, 2), keepdims=True)
-            pairs += (both / np.where(norm > 0, norm, 1)).sum(0)
+            here = alpha[:, i - 1] * mask[:, i, None]
+            norm = ((here @ move) * nb).sum(1, keepdims=True)
+            pairs += move * ((here / np.where(norm > 0, norm, 1)).T @ nb)
             nb = nb @ move.T
             beta = np.where(mask[:, i, None], nb / nb.sum(1, keepdims=True), beta)
     return out, pairs, log_z
@@ -172,20 +175,23 @@ def train(passages: list[tuple[str, list[str]]], rounds: int = 30, rate: float =
     return model
 
 
-def sample(docs: DataFrame, per_lang: int = 150, most_langs: int = 64, passages: int = 4) -> list[tuple[str, list[str]]]:
-    """Passages of labelled documents that are not held out: at most ``per_lang`` documents of each language."""
+def sample(docs: DataFrame, per_lang: int = 150, most_langs: int | None = None, passages: int = 4, span: int = SPAN) -> list[tuple[str, list[str]]]:
+    """``passages`` passages of ``span`` characters of labelled documents that are not held out: at most ``per_lang`` documents
+    of each language, or of the ``most_langs`` most frequent ones."""
     own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     own = own.select("doc_id", "lang", "text")
-    counts = own.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most_langs).select("lang").collect()
+    if most_langs is not None:
+        counts = own.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most_langs).select("lang")
+        own = own.join(F.broadcast(counts), "lang", "left_semi")
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = own.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(11)).alias("h")).where(F.col("lang").isin([r.lang for r in counts]))
+    ids = own.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(11)).alias("h"))
     ids = ids.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_lang).select("doc_id", "lang")
-    ids = F.broadcast(ids.distinct())  # at most per_lang * most_langs ids
+    ids = F.broadcast(ids.distinct())  # at most per_lang ids of a language
     length = F.char_length("text")
     spans = F.array_distinct(
         F.transform(
             F.sequence(F.lit(0), F.lit(passages - 1)),
-            lambda i: F.substring(F.col("text"), (F.greatest(length - SPAN, F.lit(0)) * i / max(1, passages - 1)).cast("int") + 1, F.lit(SPAN)),
+            lambda i: F.substring(F.col("text"), (F.greatest(length - span, F.lit(0)) * i / max(1, passages - 1)).cast("int") + 1, F.lit(span)),
         )
     )
     # of rows with one id, each is taken; the hash keeps the order of the sample the same in every run

@@ -92,8 +92,8 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
 
 
 def sketch_bits(n: int) -> int:
-    """Width of the sketch: sixteen times the octave of the set's size, so that few differences fall on one bit."""
-    return min(max(2048, 16 << (max(n, 1).bit_length() - 1)), WIDEST)
+    """Width of the sketch: eight times the octave of the set's size, so that few differences fall on one bit."""
+    return min(max(2048, 8 << (max(n, 1).bit_length() - 1)), WIDEST)
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -568,14 +568,15 @@ def link(docs: DataFrame, num: int = 75, den: int = 100) -> tuple[DataFrame, Dat
     ship(spark)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = cut(given.mapInArrow(_profiles, PROFILE), "profiles")
-    profile = found.where(F.col("n") >= 0)
     hot = found.where(F.col("n") < 0).groupBy("h1").agg((-F.sum("n")).alias("c")).where(F.col("c") >= HOT_LEAST)
     hot = np.sort(np.array([r.h1 for r in hot.orderBy(F.col("c").desc(), "h1").limit(HOT_MOST).collect()], "i8").view("u8"))
     hot = spark.sparkContext.broadcast(hot)
-    full = profile.where((F.col("n") > 0) & F.col("id").isNotNull())
+    full = found.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = cut(full.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")), "classes")
     chosen = classes.select(F.col("rep").alias("id")).distinct()
     one = cut(full.join(chosen, "id", "left_semi").select("id", "n", "bits").dropDuplicates(["id"]), "reps")
+    profile = cut(found.where(F.col("n") >= 0).drop("bits"), "sizes")
+    drop_cut(found)
     others = _ids(profile.where(F.col("id").isNotNull()).select("id").distinct().join(one, "id", "left_anti").select("id"), "doc_id")
     texts = given.where(F.col("doc_id").isNotNull())
     rows = texts.join(others, "doc_id", "left_anti").mapInArrow(_joined_on(hot, num, den), JOINED)

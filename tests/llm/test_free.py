@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import pairwise, product
 
 import numpy as np
 import public_tokenizers
@@ -77,15 +78,57 @@ def test_parity_join(spark):
             for _ in range(r.randint(0, max(1, len(w) // 25))):
                 w[r.randrange(len(w))] = f"e{r.randint(0, 10**6)}"
             rows.append((len(rows), " ".join(w), "a"))
+    rows += [(950, "long words come back " * 60_000, "a"), (951, " ".join(f"n{j}" for j in range(40_000)), "a"), (952, " ".join(f"n{j}" for j in range(39_000)), "a")]
     rows += [(900, None, None), (901, "", "a"), (902, " \n", "a"), (903, "One two", "a"), (904, "oNE\ttwo", "a"), (905, "One two three", "a")]
     rows.append(rows[0])
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in parity_join.groups(docs(spark, rows)).collect()}
     assert got == brute_groups(rows)
-    kept = parity_join.one_of_each(docs(spark, rows)).collect()
-    assert sorted(x.doc_id for x in kept) == sorted({c for _, c in got.values()})
+    named = docs(spark, [*rows, (903, "another text of that id", "a"), (None, "no id", "a")]).withColumns({c: F.lit(1) for c in ("_id", "_chosen", "_rank", "component", "n", "sig")})
+    kept = parity_join.one_of_each(named)
+    assert kept.columns == named.columns
+    kept = [(x.doc_id, x.text) for x in kept.collect()]
+    assert sorted((i for i, _ in kept), key=lambda i: (i is None, i)) == [*sorted({c for _, c in got.values()}), None]
+    assert (903, "One two") in kept  # of several rows of one id the first by text
     assert parity_join.groups(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_parity_join_of_large_groups(spark):
+    """5,000 near copies, a passage that many share, and a group of borderline copies: what each step returns stays near its rows."""
+    r = random.Random(11)
+    base = [f"b{j}" for j in range(120)]
+    passage = [f"p{j}" for j in range(60)]
+    rows = []
+    for i in range(5000):
+        w = list(base)
+        w[r.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(w), "a"))
+    for i in range(400):
+        rows.append((6000 + i, " ".join([*passage, *(f"u{i}v{j}" for j in range(12))]), "a"))
+    plain = brute_groups(rows[:60] + rows[5000:5060])
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in parity_join.groups(docs(spark, rows).repartition(8)).collect()}
+    assert all(got[i] == (plain[i][0], 0) for i in range(60)) and {got[i][1] for i in range(5000)} == {0}
+    assert all((got[i][1] == got[6000][1]) == (plain[i][1] == plain[6000][1]) for i in range(6000, 6060))
+
+
+def test_blocks_return_rows_not_pairs():
+    rng = np.random.default_rng(2)
+    n = 900  # all near each other, each a component of its own
+    core = np.unique(rng.integers(0, 2**63, 400).astype("u8"))
+    sets = [np.unique(np.r_[core, rng.integers(0, 2**63, 3).astype("u8")]) for _ in range(n)]
+    sizes = np.array([len(s) for s in sets])
+    order = np.argsort(sizes, kind="stable")
+    bits = np.empty(n, object)
+    bits[:] = [parity_join.sketch(sets[k]) for k in order]
+    block = parity_join.Block(np.zeros((n, 3), "int64"), order, order.copy(), sizes[order], np.full(n, -1), bits, 75, 100)
+    assert len(block.near()[0]) == n * (n - 1) // 2
+    out = block.forest()
+    assert len(out["a"]) <= 2 * n and (out["a"] == out["b"]).sum() <= n
+    texts = [" ".join(map(str, range(k, k + 300))) for k in range(n)]  # neighbours are alike
+    block.id = np.arange(n)
+    links = block.links(lambda row: texts[row])
+    assert len(links["a"]) < n
+
+
 def test_sketch_distance_is_a_lower_bound():
     rng = np.random.default_rng(1)
     for n in (5, 70, 300):
@@ -317,6 +360,43 @@ def test_language(spark):
     assert n.tolist() == [100, 0] and np.allclose(exact[0].sum(0), sums[0], atol=0.1)
 
 
+def test_marginals_equal_an_enumeration_of_all_labellings():
+    rng = np.random.default_rng(3)
+    emit, step, first = rng.normal(0, 1, (2, 5, 3)), rng.normal(0, 1, (3, 3)), rng.normal(0, 1, 3)
+    mask = np.array([[True] * 5, [True] * 3 + [False] * 2])
+    got, pairs, log_z = crf_langid.marginals(emit, mask, step, first)
+    want_pairs, want_z = np.zeros((3, 3)), 0.0
+    for s in range(2):
+        n, total, own, both = int(mask[s].sum()), 0.0, np.zeros((5, 3)), np.zeros((3, 3))
+        for labels in product(range(3), repeat=n):
+            w = np.exp(first[labels[0]] + sum(emit[s, i, x] for i, x in enumerate(labels)) + sum(step[a, b] for a, b in pairwise(labels)))
+            total += w
+            for i, x in enumerate(labels):
+                own[i, x] += w
+            for a, b in pairwise(labels):
+                both[a, b] += w
+        assert np.allclose(got[s], own / total)
+        want_pairs, want_z = want_pairs + both / total, want_z + np.log(total)
+    assert np.allclose(pairs, want_pairs) and abs(log_z - want_z) < 1e-9
+
+
+def test_language_edges(spark):
+    r = random.Random(4)
+    lex = {f"l{k:02}": [f"{a}{b}{k}".translate(str.maketrans("0123456789", "qwxzkjvypb")) for a in "bdg" for b in ("ar", "ol")] for k in range(70)}
+    rows = [(70 * i + k, " ".join(r.choices(lex[g], k=30)), g) for k, g in enumerate(lex) for i in range(6)]
+    df = spark.createDataFrame([*rows, rows[0], rows[0]], "doc_id long, text string, lang string")
+    named = df.withColumns({c: F.lit(1) for c in ("score", "lang_pred", "held_out", "h", "r", "spans")})
+    got = crf_langid.identify(named).collect()
+    held = [x for x in got if x.held_out]
+    truth = {i: g for i, _, g in rows}
+    assert len(got) == len(rows) + 2 and len(held) > 50 and sum(x.lang_pred == truth[x.doc_id] for x in held) > 0.9 * len(held)  # all 70 languages
+    kept = crf_langid.keep_identified(named)
+    assert kept.columns == named.columns and kept.count() > 0.9 * len(rows)
+    assert crf_langid.identify(df.limit(0)).count() == 0 and crf_langid.keep_identified(df.limit(0)).count() == 0
+    long = spark.createDataFrame([*rows, (9999, " ".join(lex["l03"] * 40_000), None)], "doc_id long, text string, lang string")
+    assert [x.lang_pred for x in crf_langid.identify(long).where("doc_id = 9999").collect()] == ["l03"]
+
+
 def test_language_that_was_not_learned_is_kept(spark):
     r = random.Random(4)
     lex = {"xx": ["kalo", "mira", "tevo", "runa"], "yy": ["strob", "blick", "grund", "tramp"]}
