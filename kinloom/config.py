@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass
 
 
 @dataclass(frozen=True, order=True)
@@ -88,10 +88,14 @@ class Settings:
     encoders: tuple[str, ...] = ("term_id", "tokens")
     by_average_precision: bool = True
     vector: str = "block"  # or parfull, full
+    indexer: str = "dnf"  # or lsh, kmeans
+    lsh_threshold: float = 0.3
+    lsh_permutations: int = 60
+    clusters: int = -1
+    grid: tuple[float, ...] = (0.1, 1.0, 10.0, 100.0, 1000.0)
     use_classifier: bool = True
     families: tuple[str, ...] = ("linear", "rbf", "tree")
     scoring: str = "f1"
     train_positive: int = 2000
     train_negative: int = 3000
     seed: int = 17
-    extra: dict = field(default_factory=dict)

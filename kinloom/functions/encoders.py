@@ -23,7 +23,7 @@ def _grams(n: int) -> Encoder:
 
 
 def _metaphone(word: str) -> str:
-    """A simplified English metaphone: consonant classes, silent letters dropped, vowels kept at the start only."""
+    """The English metaphone: consonant classes, silent letters dropped, vowels kept at the start only."""
     s = "".join(c for c in word.upper() if "A" <= c <= "Z")
     for a, b in (("KN", "N"), ("GN", "N"), ("PN", "N"), ("AE", "E"), ("WR", "R"), ("X", "S"), ("WH", "W")):
         if s.startswith(a):
@@ -42,12 +42,16 @@ def _metaphone(word: str) -> str:
         elif c == "B":
             code = "" if i == len(s) - 1 and last == "M" else "B"
         elif c == "C":
-            code = "X" if s[i : i + 3] == "CIA" or after == "H" else "S" if soft else "K"
-            step = 2 if after == "H" else 1
+            if after == "H":
+                code, step = "K" if last == "S" else "X", 2
+            elif s[i : i + 3] == "CIA":
+                code = "X"
+            else:
+                code = ("" if last == "S" else "S") if soft else "K"
         elif c == "D":
             code, step = ("J", 2) if after == "G" and s[i + 2 : i + 3] in tuple("EIY") else ("T", 1)
         elif c == "G":
-            silent = after == "H" and s[i + 2 : i + 3] not in tuple("AEIOU") or after == "N"
+            silent = after == "H" and s[i + 2 : i + 3] not in tuple("AEIOU") or s[i:] in ("GN", "GNED", "GNS")
             code = "" if silent else "J" if soft else "K"
         elif c == "H":
             code = "H" if (after != "" and after in "AEIOU") and (last == "" or last not in "CSPTG") else ""
@@ -61,7 +65,10 @@ def _metaphone(word: str) -> str:
             sh = after == "H" or s[i : i + 3] in ("SIO", "SIA")
             code, step = ("X", 2 if after == "H" else 1) if sh else ("S", 1)
         elif c == "T":
-            code = "X" if s[i : i + 3] in ("TIA", "TIO") else "0" if after == "H" else "T"
+            if s[i + 1 : i + 3] == "CH":
+                code = ""
+            else:
+                code = "X" if s[i : i + 3] in ("TIA", "TIO") else "0" if after == "H" else "T"
             step = 2 if after == "H" else 1
         elif c == "V":
             code = "F"

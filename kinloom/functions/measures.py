@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kinloom.functions.text import tokens
+
 Measure = Callable[[Column, Column], Column]
 
 
@@ -34,6 +36,11 @@ def exact(a: Column, b: Column) -> Column:
     return (a == b).cast("double")
 
 
+def has_common_token(a: Column, b: Column) -> Column:
+    """1 if the values share a token or are equal, else 0."""
+    return (F.arrays_overlap(tokens(a), tokens(b)) | (a == b)).cast("double")
+
+
 def levenshtein(a: Column, b: Column) -> Column:
     return _share(F.levenshtein(a, b), a, b)
 
@@ -122,6 +129,11 @@ def py_damerau(a: str, b: str) -> float:
     return 1.0 if a == b else 1.0 - damerau_distance(a, b) / max(len(a), len(b))
 
 
+def py_weighted_damerau(a: str, b: str) -> float:
+    """Damerau with insertions and deletions at half the cost of a substitution, transpositions at three quarters."""
+    return 1.0 if a == b else max(0.0, 1.0 - damerau_distance(a, b, 0.5, 0.5, 1.0, 0.75) / max(len(a), len(b)))
+
+
 def py_ratio(a: str, b: str) -> float:
     """Ratcliff-Obershelp; not symmetric, so operators pass the later record's value first."""
     return difflib.SequenceMatcher(None, a, b).ratio()
@@ -165,18 +177,24 @@ def _in_python(f: Callable[[str, str], float]) -> Measure:
 
 
 NATIVE: dict[str, Measure] = {
-    "exact": exact, "levenshtein": levenshtein, "hamming": hamming, "jaccard": jaccard, "bag": bag,
+    "exact": exact, "has_common_token": has_common_token, "levenshtein": levenshtein, "hamming": hamming, "jaccard": jaccard, "bag": bag,
 }
 PYTHON: dict[str, Callable[[str, str], float]] = {
-    "jaro": py_jaro, "jaro_winkler": py_jaro_winkler, "damerau": py_damerau,
+    "jaro": py_jaro, "jaro_winkler": py_jaro_winkler, "damerau": py_damerau, "weighted_damerau": py_weighted_damerau,
     "ratio": py_ratio, "compression": py_compression, "weighted_degree": py_weighted_degree,
 }
 #: The order in which the learner prefers measures of equal merit.
 POOL = ("bag", "compression", "hamming", "jaccard", "jaro", "jaro_winkler", "levenshtein")
 
 
-def register_measure(name: str, f: Callable[[str, str], float]) -> None:
-    PYTHON[name] = f
+def register_measure(name: str, f: Callable[[str, str], float] | Measure, native: bool = False) -> None:
+    """A measure by name: a Python function of two strings, or, if ``native``, of two columns."""
+    if native:
+        PYTHON.pop(name, None)
+        NATIVE[name] = f
+    else:
+        NATIVE.pop(name, None)
+        PYTHON[name] = f
 
 
 def measure(name: str) -> Measure:

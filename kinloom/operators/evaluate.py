@@ -42,34 +42,48 @@ def micro_metrics(outcomes_: DataFrame) -> DataFrame:
     )
 
 
+CELL = 50_000  # rows that a window of running sums sees
+
+
 def curve(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Cumulative true and false positives at each distinct score, descending. ``scored``: truth, score.
 
-    Rows are summed by score first; the running sums go over distinct scores only.
+    Rows are summed by score first. The span of scores is cut into cells of about ``CELL`` distinct ones; running sums go
+    over a cell, after the sums of the cells above it.
     """
-    per = scored.groupBy(*by, "score").agg(F.sum("truth").alias("pos"), F.count("*").alias("all"))
-    down = Window.partitionBy(*by).orderBy(F.col("score").desc())
+    per = scored.groupBy(*by, F.col("score").cast("double").alias("score")).agg(F.sum("truth").alias("pos"), F.count("*").alias("all"))
+    per = per.withColumn("neg", F.col("all") - F.col("pos"))
+    span = per.agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.count("*").alias("n")).first()
+    cells = max(1, (span.n or 0) // CELL)
+    width = ((span.hi or 0.0) - (span.lo or 0.0)) / cells or 1.0
+    cell = F.least(F.floor((F.lit(span.hi or 0.0) - F.col("score")) / width), F.lit(cells - 1)).cast("int") if cells > 1 else F.lit(0)
+    per = per.withColumn("cell", cell)
+    inside = Window.partitionBy(*by, "cell").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    above = Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
-    so_far = down.rowsBetween(Window.unboundedPreceding, 0)
-    got = per.select(
-        *by, "score",
-        F.sum("pos").over(so_far).alias("tp"),
-        F.sum(F.col("all") - F.col("pos")).over(so_far).alias("fp"),
-        F.sum("pos").over(whole).alias("p"),
-        F.sum(F.col("all") - F.col("pos")).over(whole).alias("n"),
+    sums = per.groupBy(*by, "cell").agg(F.sum("pos").alias("cell_pos"), F.sum("neg").alias("cell_neg"))
+    sums = sums.select(
+        *by, "cell",
+        F.coalesce(F.sum("cell_pos").over(above), F.lit(0)).alias("tp_above"),
+        F.coalesce(F.sum("cell_neg").over(above), F.lit(0)).alias("fp_above"),
+        F.sum("cell_pos").over(whole).alias("p"),
+        F.sum("cell_neg").over(whole).alias("n"),
     )
+    got = per.withColumns({"tp": F.sum("pos").over(inside), "fp": F.sum("neg").over(inside)}).join(sums, [*by, "cell"])
+    tp, fp = F.col("tp") + F.col("tp_above"), F.col("fp") + F.col("fp_above")
+    got = got.select(*by, "score", "pos", "p", "n", tp.alias("tp"), fp.alias("fp"))
     return got.select(
         *by, "score", "tp", "fp",
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
         F.when(F.col("p") == 0, 0.0).otherwise(F.col("tp") / F.col("p")).alias("recall"),
         F.when(F.col("n") == 0, 0.0).otherwise(F.col("fp") / F.col("n")).alias("fpr"),
+        F.when(F.col("p") == 0, 0.0).otherwise(F.col("pos") / F.col("p")).alias("gain"),
     )
 
 
 def average_precision(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    down = Window.partitionBy(*by).orderBy(F.col("score").desc())
-    step = curve(scored, by).withColumn("gain", F.col("recall") - F.lag("recall", 1, 0.0).over(down))
-    return step.groupBy(*by).agg(F.sum(F.col("gain") * F.col("precision")).alias("average_precision"))
+    """The sum of precision times the recall gained, over distinct scores."""
+    return curve(scored, by).groupBy(*by).agg(F.sum(F.col("gain") * F.col("precision")).alias("average_precision"))
 
 
 def pair_completeness(gold_pairs: DataFrame, records: DataFrame, scheme: Scheme) -> DataFrame:
@@ -102,13 +116,23 @@ def complexity(records: DataFrame, results: DataFrame, gold: DataFrame) -> DataF
     per = met.groupBy("q_id").agg(F.count("*").alias("candidates"), F.count("hit").alias("matches"))
     partners = gold.groupBy("q_id").agg(F.count("*").alias("partners"))
     got = queries.join(per, "q_id", "left").join(partners, "q_id", "left").na.fill(0, ["candidates", "matches", "partners"])
-    order = Window.orderBy("seq")
     got = got.withColumn("others", F.when(F.col("matches") > 0, F.col("candidates") - F.col("matches")).otherwise(0))
-    got = got.withColumn("rest", F.lit(base) + F.row_number().over(order) - 1 - F.col("partners"))
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    done = F.sum(F.col("matches") + F.col("others")).over(so_far)
-    whole = F.sum(F.col("partners") + F.col("rest")).over(so_far)
-    return got.withColumn("rr", F.when(whole > 0, 1.0 - done / whole).otherwise(1.0))
+    got = got.withColumn("spent", F.col("matches") + F.col("others"))
+    # running sums over a cell of the order, after the sums of the cells before it
+    span = queries.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count("*").alias("n")).first()
+    width = max(1, ((span.hi or 0) - (span.lo or 0)) // max(1, (span.n or 0) // CELL) + 1)
+    got = got.withColumn("cell", F.floor((F.col("seq") - (span.lo or 0)) / width).cast("long"))
+    inside = Window.partitionBy("cell").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = got.groupBy("cell").agg(F.sum("spent").alias("s"), F.count("*").alias("c"))
+    sums = sums.select("cell", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c"))
+    got = got.withColumns({"done": F.sum("spent").over(inside), "place": F.row_number().over(Window.partitionBy("cell").orderBy("seq"))})
+    got = got.join(sums, "cell")
+    done, k = F.col("done") + F.col("s"), F.col("place") + F.col("c")
+    # the k-th query could have met base + k - 1 records, in all k base + k (k - 1) / 2
+    whole = k * base + (k * (k - 1) / 2)
+    got = got.withColumns({"rest": F.lit(base) + k - 1 - F.col("partners"), "rr": F.when(whole > 0, 1.0 - done / whole).otherwise(1.0)})
+    return got.select("seq", "q_id", "candidates", "matches", "partners", "others", "rest", "rr")
 
 
 def complexity_metrics(per_query: DataFrame) -> DataFrame:
@@ -132,3 +156,19 @@ def merge_sums(*maps: DataFrame) -> DataFrame:
     for m in maps[1:]:
         out = out.unionByName(m.select("key", "n"))
     return out.groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def timings(durations: DataFrame, by: tuple[str, ...] = (), seconds: str = "seconds") -> DataFrame:
+    """``n, total, mean, rate, spread`` of durations; the rate is 1 / mean, the spread the population deviation."""
+    x = F.col(seconds)
+    got = durations.groupBy(*by).agg(F.count(x).alias("n"), F.sum(x).alias("total"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("spread"))
+    return got.select(*by, "n", "total", "mean", F.when(F.col("mean") > 0, 1 / F.col("mean")).alias("rate"), "spread")
+
+
+def candidate_counts(scored_: DataFrame) -> DataFrame:
+    """``q_id, candidates, equal, similar``: how many records, equal values and similar values a query met."""
+    return scored_.groupBy("q_id").agg(
+        F.count_distinct("c_id").alias("candidates"),
+        F.count_if(F.col("qv") == F.col("cv")).alias("equal"),
+        F.count_if((F.col("qv") != F.col("cv")) & (F.col("sim") > 0)).alias("similar"),
+    )

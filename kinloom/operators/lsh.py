@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from functools import cache
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -12,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinloom.operators.evaluate import recall_of
 from kinloom.sources.readers import attributes
 
 
@@ -34,12 +36,21 @@ def banding(threshold: float, permutations: int, false_positive: float = 0.4, fa
     return best[1], best[2]
 
 
+#: Hashes are numbers modulo this prime; 2^31 - 1, so that products fit 64 bits in any engine.
+PRIME = 2147483647
+
+
+def multipliers(permutations: int) -> list[tuple[int, int]]:
+    """The (a, b) of x -> a x + b modulo ``PRIME`` for each permutation."""
+    return [((i + 1) * 2654435761 % PRIME, (i + 1) * 40503 * 65537 % PRIME) for i in range(permutations)]
+
+
 def minhash(values: Column, permutations: int) -> Column:
-    """Smallest hash of the values for each permutation; hashes are digits of MD5, which any engine can make."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(permutations - 1)),
-        lambda i: F.array_min(F.transform(values, lambda v: F.substring(F.md5(F.concat(i.cast("string"), F.lit("|"), v)), 1, 16))),
-    )
+    """Smallest hash of the values for each permutation. A value is hashed once (digits of MD5, which any engine can make)."""
+    hashed = F.transform(values, lambda v: F.conv(F.substring(F.md5(v), 1, 15), 16, 10).cast("long") % PRIME)
+    turns = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in multipliers(permutations)])
+    least = lambda hs: F.transform(turns, lambda t: F.array_min(F.transform(hs, lambda h: (t.a * h + t.b) % PRIME)))
+    return F.get(F.transform(F.array(hashed), least), F.lit(0))  # hashed before the turns are taken
 
 
 def bands(records: DataFrame, threshold: float = 0.3, permutations: int = 60) -> DataFrame:
@@ -47,7 +58,7 @@ def bands(records: DataFrame, threshold: float = 0.3, permutations: int = 60) ->
     b, r = banding(threshold, permutations)
     own = F.array_distinct(F.array(*attributes(records)))
     h = minhash(own, b * r)
-    sigs = F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda j: F.array_join(F.slice("h", j * r + 1, F.lit(r)), ""))
+    sigs = F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda j: F.array_join(F.slice("h", j * r + 1, F.lit(r)), "."))
     return records.select("rec_id", "seq", h.alias("h")).select("rec_id", "seq", F.posexplode(sigs).alias("band", "sig"))
 
 
@@ -75,13 +86,30 @@ def _texts(records: DataFrame) -> DataFrame:
     return records.withColumn("text", F.array_join(F.array(*attributes(records)), " "))
 
 
+MOST_CLUSTERS = 10_000
+
+
 def fit_clusters(records: DataFrame, k: int = -1, seed: int = 1, **options) -> PipelineModel:
-    """Vectors and k-means in one model; -1 clusters means 0.35 of the records."""
-    k = max(2, int(0.35 * records.count())) if k == -1 else k
+    """Vectors and k-means in one model; -1 clusters means 0.35 of the records.
+
+    Centres are driver-side and every record meets every centre, so that default is refused beyond ``MOST_CLUSTERS``: name k.
+    """
+    if k == -1:
+        k = max(2, int(0.35 * records.count()))
+        if k > MOST_CLUSTERS:
+            raise ValueError(f"0.35 of the records are {k} clusters; name a number of clusters")
     steps = [vectorizer(**options), KMeans(k=k, maxIter=100, seed=seed, predictionCol="cluster")]
     return Pipeline(stages=steps).fit(_texts(records))
 
 
+def nearest(points: DataFrame, centres: list[list[float]], vector: str = "x") -> DataFrame:
+    """``points`` with ``cluster`` and ``dist``: the nearest of the given centres, ties to the first."""
+    known = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres])
+    square = lambda c: F.aggregate(F.zip_with(F.col(vector), c, lambda a, b: (a - b) * (a - b)), F.lit(0.0).cast("double"), lambda s, v: s + v)
+    best = F.array_min(F.transform(known, lambda c, i: F.struct(square(c).alias("d"), i.alias("cluster"))))
+    return points.withColumn("_best", best).select(*points.columns, F.col("_best.cluster").alias("cluster"), F.sqrt("_best.d").alias("dist"))
+
+
 def clusters(model: PipelineModel, records: DataFrame) -> DataFrame:
     """``rec_id, seq, cluster, dist``: the nearest cluster and the distance to its centre."""
     centres = records.sparkSession.createDataFrame(
@@ -99,22 +127,25 @@ def cluster_candidates(placed: DataFrame) -> DataFrame:
     return q.join(c, "cluster").where(F.col("q_id") != F.col("c_id")).select("q_id", "c_id")
 
 
-def sweep(records: DataFrame, ks: list[int], gold: DataFrame | None = None, seed: int = 1) -> list[dict]:
-    """Fit time, silhouette and, with gold pairs, recall of pairs in one cluster, for each number of clusters."""
-    import time
-
+def sweep(records: DataFrame, ks: list[int], gold: DataFrame | None = None, seed: int = 1) -> DataFrame:
+    """``k, fit_s, silhouette, recall``: fit time, silhouette and, with gold pairs, recall of pairs in one cluster."""
     out = []
     for k in ks:
         began = time.perf_counter()
         model = fit_clusters(records, k, seed)
-        row = {"k": k, "fit_s": time.perf_counter() - began}
+        took = time.perf_counter() - began
         placed = model.transform(_texts(records))
-        row["silhouette"] = ClusteringEvaluator(metricName="silhouette", predictionCol="cluster").evaluate(placed)
-        if gold is not None:
-            where = placed.select("rec_id", "cluster")
-            x = where.select(F.col("rec_id").alias("id_1"), F.col("cluster").alias("c1"))
-            y = where.select(F.col("rec_id").alias("id_2"), F.col("cluster").alias("c2"))
-            got = gold.join(x, "id_1").join(y, "id_2").agg(F.avg((F.col("c1") == F.col("c2")).cast("double"))).first()[0]
-            row["recall"] = got
-        out.append(row)
-    return out
+        silhouette = ClusteringEvaluator(metricName="silhouette", predictionCol="cluster").evaluate(placed)
+        recall = recall_of(placed.select("rec_id", "cluster"), gold, ["cluster"]).first().recall if gold is not None else None
+        out.append((k, took, silhouette, recall))
+    return records.sparkSession.createDataFrame(out, "k int, fit_s double, silhouette double, recall double")
+
+
+def band_sweep(records: DataFrame, gold: DataFrame, settings: list[tuple[float, int]]) -> DataFrame:
+    """``threshold, permutations, bands, rows, recall``: recall of gold pairs for each setting of the banding."""
+    out = []
+    for threshold, permutations in settings:
+        b, r = banding(threshold, permutations)
+        recall = recall_of(bands(records, threshold, permutations), gold, ["band", "sig"]).first().recall
+        out.append((float(threshold), permutations, b, r, recall))
+    return records.sparkSession.createDataFrame(out, "threshold double, permutations int, bands int, rows int, recall double")

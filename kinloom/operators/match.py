@@ -6,10 +6,15 @@ queries before it.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinloom.config import Scheme
 from kinloom.functions.measures import NATIVE, measure
+from kinloom.operators.blocking import term_table, without
 from kinloom.sources.readers import attributes
 
 MODES = ("block", "parfull", "full")
@@ -102,6 +107,57 @@ def vectors(scored_: DataFrame, n_fields: int) -> DataFrame:
     return got.select("q_id", "c_id", F.array(*[F.coalesce(f"s{i}", F.lit(0.0)) for i in range(n_fields)]).alias("simvec"))
 
 
+def dnf_vectors(records: DataFrame, scheme: Scheme, measures: list[str], mode: str = "block", banned: DataFrame | None = None) -> DataFrame:
+    """``q_id, c_id, simvec`` of records that share a key of the scheme: ``candidates``, ``vectors`` and ``completed`` in one.
+
+    Keys are joined without values, pairs are made distinct as ids with a bit for each term that they share, and values are
+    attached to pairs, once. A slot counts if a shared term covers its field (block), if any term does (parfull), or always (full).
+    """
+    if mode not in MODES:
+        raise ValueError(f"vector mode is one of {MODES}")
+    if len(scheme.terms) > 62:
+        raise ValueError("at most 62 terms")
+    keys = term_table(records, scheme).select("rec_id", "seq", "term", "bkv")
+    keys = without(keys, banned) if banned is not None else keys
+    q = keys.where(F.col("seq") > 0).select("term", "bkv", F.col("rec_id").alias("q_id"), F.col("seq").alias("q_seq"))
+    c = keys.select("term", "bkv", F.col("rec_id").alias("c_id"), F.col("seq").alias("c_seq"))
+    met = q.join(c, ["term", "bkv"]).where((F.col("c_seq") < F.col("q_seq")) & (F.col("q_id") != F.col("c_id")))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("term"))
+    pairs = met.groupBy("q_id", "c_id").agg(F.bit_or(bit).alias("terms"))
+    names = attributes(records)
+    x = records.where(F.col("seq") > 0).select(F.col("rec_id").alias("q_id"), *[F.col(v).alias(f"q{i}") for i, v in enumerate(names)])
+    y = records.select(F.col("rec_id").alias("c_id"), *[F.col(v).alias(f"c{i}") for i, v in enumerate(names)])
+    both = pairs.join(x, "q_id").join(y, "c_id")
+    there = lambda i: (F.col(f"q{i}") != "") & (F.col(f"c{i}") != "")
+    covering = [sum(1 << t for t, term in enumerate(scheme.terms) if any(k.field == i for k in term.keys)) for i in range(len(measures))]
+    shared = [there(i) & (F.col("terms").bitwiseAND(F.lit(m).cast("long")) != 0) for i, m in enumerate(covering)]
+    both = both.where(reduce(or_, shared))  # keys of different fields may be equal
+    counts = [s if mode == "block" or (mode == "parfull" and not covering[i]) else there(i) for i, s in enumerate(shared)]
+    slots = []
+    for i, name in enumerate(measures):
+        a, b = F.col(f"q{i}"), F.col(f"c{i}")
+        if name in NATIVE:
+            sim = measure(name)(a, b)
+        else:  # once for each distinct pair of values
+            values = both.where(counts[i] & (a != b)).select(f"q{i}", f"c{i}").distinct()
+            both = both.join(values.withColumn(f"sim{i}", measure(name)(a, b)), [f"q{i}", f"c{i}"], "left")
+            sim = F.col(f"sim{i}")
+        slots.append(F.when(counts[i], F.when(a == b, 1.0).otherwise(sim)).otherwise(0.0))
+    return both.select("q_id", "c_id", F.array(*slots).alias("simvec"))
+
+
+def block_vectors(pairs: DataFrame, keys: DataFrame, measures: list[str]) -> DataFrame:
+    """``q_id, c_id, simvec`` of given pairs (from bands, clusters, labels): a similarity for each field whose block both share.
+
+    Pairs that share no block are left out.
+    """
+    ids = pairs.select("q_id", "c_id").distinct()
+    own = keys.select("rec_id", "term", "field", "bkv", "value")
+    q = ids.join(own.withColumnsRenamed({"rec_id": "q_id", "value": "qv"}), "q_id")
+    met = q.join(own.withColumnsRenamed({"rec_id": "c_id", "value": "cv"}), ["c_id", "term", "field", "bkv"])
+    return vectors(scored(met.select("q_id", "c_id", "field", "qv", "cv").distinct(), measures), len(measures))
+
+
 def completed(vecs: DataFrame, records: DataFrame, measures: list[str], mode: str, covered: set[int]) -> DataFrame:
     """Fill slots that are 0 though both values are there: of all fields (full), of the scheme's (parfull) or none (block)."""
     if mode not in MODES:

@@ -45,8 +45,28 @@ def min_max(measured_: DataFrame) -> DataFrame:
     return loss.groupBy("field").agg(best.alias("b")).select("field", "b.*")
 
 
-def choose(labels: DataFrame, records: DataFrame, by_ap: bool = True, pool: tuple[str, ...] = POOL) -> list[str]:
-    got = measured(pair_values(labels, records), pool)
+def in_shared_blocks(values: DataFrame, keys: DataFrame) -> DataFrame:
+    """``values`` (of ``pair_values``) with ``shared``: whether the two records have a common key that covers the field."""
+    own = keys.select("rec_id", "term", "field", "bkv")
+    x = values.select("t1", "t2", "field").join(own.withColumnRenamed("rec_id", "t1"), ["t1", "field"])
+    met = x.join(own.withColumnRenamed("rec_id", "t2"), ["t2", "term", "field", "bkv"]).select("t1", "t2", "field").distinct()
+    got = values.join(met.withColumn("shared", F.lit(True)), ["t1", "t2", "field"], "left")
+    return got.withColumn("shared", F.coalesce("shared", F.lit(False)))
+
+
+def choose(
+    labels: DataFrame, records: DataFrame, by_ap: bool = True, pool: tuple[str, ...] = POOL,
+    mode: str = "full", keys: DataFrame | None = None, covered: set[int] | None = None,
+) -> list[str]:
+    """The best measure of each field. In the vector mode ``block`` a similarity counts only where ``keys`` bring the two
+    together (elsewhere 0); in ``parfull`` that holds for fields which the scheme does not cover; ``full`` counts all."""
+    values = pair_values(labels, records)
+    if mode != "full":
+        values = in_shared_blocks(values, keys)
+        counts = F.col("shared") | (F.col("field").isin(sorted(covered or ())) if mode == "parfull" else F.lit(False))
+        # a value that does not count is empty, and pairs with an empty value score 0
+        values = values.withColumn("a", F.when(counts, F.col("a")).otherwise(""))
+    got = measured(values, pool)
     best = by_average_precision(got) if by_ap else min_max(got)
     found = {r.field: r.measure for r in best.collect()}
     return [found.get(i, pool[0]) for i in range(len(attributes(records)))]

@@ -51,8 +51,11 @@ def _best(df: DataFrame, n: int | None) -> DataFrame:
 
 
 def weak_labels(records: DataFrame, lower=0.1, upper=0.6, window=2, max_positive=None, max_negative=None) -> tuple[DataFrame, DataFrame]:
-    """Positive pairs (sim >= upper, most similar first) and negative ones (sim < lower, hardest first)."""
-    pairs = cosine(neighbours(records, window), token_weights(records))
+    """Positive pairs (sim >= upper, most similar first) and negative ones (sim < lower, hardest first).
+
+    Similarities are rounded to 9 digits, so that ties don't hang on the order of sums.
+    """
+    pairs = cosine(neighbours(records, window), token_weights(records)).withColumn("sim", F.round("sim", 9))
     return _best(pairs.where(F.col("sim") >= upper), max_positive), _best(pairs.where(F.col("sim") < lower), max_negative)
 
 
@@ -76,12 +79,12 @@ def gold_labels(records: DataFrame, gold: DataFrame, window: int = 2, max_negati
     most = int(max_negative if max_negative is not None else 3 * pos.count())
     other = neighbours(records, window).join(pos.select("t1", "t2"), ["t1", "t2"], "left_anti")
     other = cosine(other, token_weights(records)).withColumn("bin", bin_of())
-    h = F.xxhash64("t1", "t2", F.lit(seed))
-    share = F.ceil(F.lit(most) * F.count("*").over(Window.partitionBy("bin")) / F.count("*").over(Window.partitionBy()))
-    ranked = other.withColumns({"h": h, "quota": share})
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("bin").orderBy("h", "t1", "t2")))
-    neg = ranked.where(F.col("rank") <= F.col("quota")).orderBy("h", "t1", "t2").limit(most).select("t1", "t2", "sim")
-    return pos, neg
+    other = other.withColumn("h", F.xxhash64("t1", "t2", F.lit(seed)))
+    sizes = other.groupBy("bin").agg(F.count("*").alias("n"))  # a row for each bin
+    quota = sizes.select("bin", F.ceil(F.lit(most) * F.col("n") / F.sum("n").over(Window.partitionBy())).alias("quota"))
+    ranked = other.withColumn("rank", F.row_number().over(Window.partitionBy("bin").orderBy("h", "t1", "t2"))).where(F.col("rank") <= most)
+    neg = ranked.join(F.broadcast(quota), "bin").where(F.col("rank") <= F.col("quota"))
+    return pos, neg.orderBy("h", "t1", "t2").limit(most).select("t1", "t2", "sim")
 
 
 def in_blocks(pos: DataFrame, neg: DataFrame, pool: DataFrame, records: DataFrame, scheme: Scheme, most: int) -> tuple[DataFrame, DataFrame]:

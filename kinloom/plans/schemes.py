@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,49 +61,59 @@ def coverage(keys: DataFrame, labels: DataFrame, most_block: int = 100) -> DataF
     return x.join(own.withColumnRenamed("rec_id", "t2"), ["term", "field", "bkv", "t2"]).select("term", "t1", "t2", "label").distinct()
 
 
-def best_scheme(scores: list[tuple[int, float]], covered: dict[int, tuple[int, int]], positives: int, most: int) -> list[int]:
+def patterns(covers: DataFrame) -> DataFrame:
+    """``terms, label, n``: how many labelled pairs exactly these terms bring together."""
+    each = covers.groupBy("t1", "t2", "label").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+    return each.groupBy("terms", "label").agg(F.count("*").alias("n"))
+
+
+def best_scheme(scores: list[tuple[int, float]], counted: list[tuple[list[int], int, int]], positives: int, most: int) -> list[int]:
     """Terms of the disjunction with the best F1: by size, then rank; the first strict maximum stays.
 
-    ``covered``: for each term its covered positive and negative pairs as bit sets.
+    ``counted``: the rows of ``patterns``.
     """
-    ranked = [t for t, s in sorted(scores, key=lambda x: (-x[1], x[0])) if s > 0][:MOST_FEATURES]
+    ranked = top_terms(scores)
+    hit = np.zeros((len(ranked), len(counted)), bool)
+    place = {t: i for i, t in enumerate(ranked)}
+    for j, (terms, _, _) in enumerate(counted):
+        hit[[place[t] for t in terms if t in place], j] = True
+    weight = np.array([[n if label else 0, 0 if label else n] for _, label, n in counted], "f8").reshape(-1, 2)
     best, found = 0.0, []
     for size in range(1, most + 1):
-        for some in combinations(ranked, size):
-            p = n = 0
-            for t in some:
-                a, b = covered.get(t, (0, 0))
-                p, n = p | a, n | b
-            tp, fp = p.bit_count(), n.bit_count()
-            f1 = 2 * tp / (2 * tp + fp + positives - tp) if tp else 0.0
-            if f1 > best:
-                best, found = f1, list(some)
+        for some in combinations(range(len(ranked)), size - 1):
+            first = some[-1] + 1 if some else 0
+            any_ = hit[first:] | hit[list(some)].any(axis=0)
+            tp, fp = (any_ @ weight).T
+            f1 = np.where(tp > 0, 2 * tp / np.maximum(tp + fp + positives, 1), 0.0)
+            if len(f1) and f1.max() > best:
+                best, found = float(f1.max()), [ranked[i] for i in (*some, first + int(f1.argmax()))]
     return found
 
 
+def top_terms(scores: list[tuple[int, float]]) -> list[int]:
+    return [t for t, s in sorted(scores, key=lambda x: (-x[1], x[0])) if s > 0][:MOST_FEATURES]
+
+
 def learn_scheme(records: DataFrame, pos: DataFrame, neg: DataFrame, fields: int, encoders=("term_id", "tokens"), conjunction=2, disjunction=2, most_block=100, min_good=0.9) -> Scheme | None:
-    """The scheme, with its terms' scores and banned keys; None if no term scores.
+    """The scheme, with its terms' scores; None if no term scores. ``bans`` makes the keys that it bans.
 
-    To the driver come one score per term and the labelled pairs that positive terms cover: label budgets bound them.
+    To the driver come one score per term, and counts of labelled pairs by the set of terms that bring them together.
     """
     terms = candidate_terms(fields, tuple(encoders), conjunction)
     keys = key_table(records, Scheme(tuple(terms))).persist()
     scores = [(r.term, r.fsc) for r in feature_scores(keys, pos, most_block, min_good).select("term", "fsc").collect()]
-    good = [t for t, s in sorted(scores, key=lambda x: (-x[1], x[0])) if s > 0][:MOST_FEATURES]
+    good = top_terms(scores)
     labels = pos.select("t1", "t2").withColumn("label", F.lit(1)).union(neg.select("t1", "t2").withColumn("label", F.lit(0)))
-    place: dict = {}
-    covered: dict[int, tuple[int, int]] = {}
-    for r in coverage(keys.where(F.col("term").isin(good)), labels, most_block).collect() if good else []:
-        bit = 1 << place.setdefault((r.t1, r.t2, r.label), len(place))
-        p, n = covered.get(r.term, (0, 0))
-        covered[r.term] = (p | bit, n) if r.label else (p, n | bit)
-    chosen = best_scheme(scores, covered, pos.select("t1", "t2").distinct().count(), disjunction)
-    bans: dict[int, set[str]] = {}
-    for r in oversized(block_sizes(keys.where(F.col("term").isin(chosen))), most_block).collect() if chosen else []:
-        bans.setdefault(r.term, set()).add(r.bkv)
+    counted = patterns(coverage(keys.where(F.col("term").isin(good)), labels, most_block)).collect() if good else []
+    chosen = best_scheme(scores, [(r.terms, r.label, r.n) for r in counted], pos.select("t1", "t2").distinct().count(), disjunction)
     keys.unpersist()
     score = dict(scores)
-    return Scheme(tuple(Term(terms[t].keys, score[t], frozenset(bans.get(t, ()))) for t in chosen)) if chosen else None
+    return Scheme(tuple(Term(terms[t].keys, score[t]) for t in chosen)) if chosen else None
+
+
+def bans(records: DataFrame, scheme: Scheme, most_block: int = 100) -> DataFrame:
+    """``term, bkv``: keys of oversized blocks, a table for ``blocking.without``."""
+    return oversized(block_sizes(key_table(records, scheme)), most_block)
 
 
 def scheme_f1(covers: DataFrame, positives: int, terms: list[int]) -> DataFrame:
@@ -129,5 +140,7 @@ def fisher(values: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def ranked(scores: DataFrame, most: int = MOST_FEATURES) -> DataFrame:
+    """The ``most`` best terms with a score, ties by number, with their ``rank``; what is not among them is not sorted."""
     order = Window.orderBy(F.col("fsc").desc(), "term")
-    return scores.where(F.col("fsc") > 0).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    best = scores.where(F.col("fsc") > 0).orderBy(F.col("fsc").desc(), "term").limit(most)
+    return best.withColumn("rank", F.row_number().over(order))

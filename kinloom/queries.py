@@ -19,7 +19,7 @@ from kinloom.functions.text import normalise
 from kinloom.operators import blocking, evaluate, lsh, match
 from kinloom.plans import choice, labels, schemes
 from kinloom.shipping import ship
-from kinloom.sources.readers import both_ways, long_form, records
+from kinloom.sources.readers import arrival, both_ways, by_ids, first_of_each, grouped, long_form, records, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -263,9 +263,7 @@ def query_topn(spark, d):
 
 
 def _vector(spark, d, mode: str):
-    r = _parts(spark, d)
-    got = match.vectors(match.scored(match.candidates(blocking.key_table(r, SCHEME)), LEV3), 3)
-    got = match.completed(got, r, LEV3, mode, SCHEME.fields())
+    got = match.dnf_vectors(_parts(spark, d), SCHEME, LEV3, mode)
     return got.select("q_id", "c_id", *[F.round(F.col("simvec")[i], 6).alias(f"s{i}") for i in range(3)])
 
 
@@ -287,9 +285,7 @@ w as (select v.*, x.a2 xa, y.a2 ya, x.a0 xb, y.a0 yb from v join r x on x.rec_id
 select q_id, c_id, round(case when s0 = 0 then {_LEV.format(a='xb', b='yb')} else s0 end, 6) s0, round(s1, 6) s1,
 round(case when s2 = 0 then {_LEV.format(a='xa', b='ya')} else s2 end, 6) s2 from w""")
 def query_parfull(spark, d):
-    r, scheme = _parts(spark, d), Scheme(SCHEME.terms[1:])
-    got = match.vectors(match.scored(match.candidates(blocking.key_table(r, scheme)), LEV3), 3)
-    got = match.completed(got, r, LEV3, "parfull", scheme.fields())
+    got = match.dnf_vectors(_parts(spark, d), Scheme(SCHEME.terms[1:]), LEV3, "parfull")
     return got.select("q_id", "c_id", *[F.round(F.col("simvec")[i], 6).alias(f"s{i}") for i in range(3)])
 
 
@@ -307,10 +303,7 @@ def query_value_index(spark, d):
 @query("""with e as (select event_id, user_id, event_type, row_number() over (order by ts, event_id) seq from events)
 select q.event_id q_id, count(*)::bigint n, min(c.event_id) first_id from e q join e c on q.user_id = c.user_id and q.event_type = c.event_type and c.seq < q.seq group by all""")
 def dynamic_visibility(spark, d):
-    e = _table(spark, d, "events")
-    micros = F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.pmod("event_id", F.lit(1000))
-    first = e.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0] or 0
-    e = e.withColumn("seq", micros - first * 1000 + 1)
+    e = arrival(_table(spark, d, "events"), "ts", "event_id")
     keys = blocking.key_table(records(e, "event_id", ["user_id", "event_type"], "seq"), Scheme.of([(0, "term_id"), (1, "term_id")]))
     met = match.candidates(keys.where("field = 0")).select("q_id", "c_id")
     return met.groupBy("q_id").agg(F.count("*").alias("n"), F.min("c_id").alias("first_id"))
@@ -318,9 +311,20 @@ def dynamic_visibility(spark, d):
 
 # --- MinHash bands and clusters
 
+_TRUTH_SQL = "tr as (select x.rec_id t1, y.rec_id t2 from r x join r y on x.a0 = y.a0 and x.a2 = y.a2 and x.rec_id < y.rec_id)"
+
+
+def _same_name_and_type(r):
+    own = r.select("rec_id", F.struct("a_0", "a_2").alias("v"))
+    x, y = own.select(F.col("rec_id").alias("t1"), "v"), own.select(F.col("rec_id").alias("t2"), "v")
+    return x.join(y, "v").where("t1 < t2").select("t1", "t2")
+
+
 _B, _R = lsh.banding(0.8, 60)
-_BANDS = f"""h as (select rec_id, seq, i, min(substr(md5(i::varchar || '|' || val), 1, 16)) h from l, range({_B * _R}) x(i) group by all),
-z as (select rec_id, seq, i // {_R} band, string_agg(h, '' order by i) sig from h group by all)"""
+_BANDS = f"""mv as (select rec_id, seq, ('0x' || substr(md5(val), 1, 15))::bigint % {lsh.PRIME} x from l),
+h as (select rec_id, seq, i, min((((i + 1) * 2654435761 % {lsh.PRIME}) * x + (i + 1) * 40503 * 65537 % {lsh.PRIME}) % {lsh.PRIME}) h
+      from mv, range({_B * _R}) y(i) group by all),
+z as (select rec_id, seq, i // {_R} band, string_agg(h::varchar, '.' order by i) sig from h group by all)"""
 
 
 @query(f"with {_PARTS}, {_BANDS} select rec_id, band::bigint band, sig from z")
@@ -345,11 +349,85 @@ def lsh_scores(spark, d):
     return match.totals(match.rescored(met, r, LEV3), 3, 1.5, strict=True).select("q_id", "c_id", *_r6("score"))
 
 
-@query()
+@query(f"with {_PARTS}, {_BANDS}, s as (select band, sig, count(*) n from z group by all) select n::bigint n, count(*)::bigint blocks from s group by all")
+def band_size_histogram(spark, d):
+    """Sizes of the buckets of the bands."""
+    sizes = lsh.bands(_parts(spark, d), 0.8, 60).groupBy("band", "sig").agg(F.count("*").alias("n"))
+    return blocking.size_histogram(sizes, ()).select(*_long("n", "blocks"))
+
+
+@query(f"""with {_PARTS}, {_BANDS}, {_MEET}, cand as (select distinct m.q_id, m.c_id, q.field, q.val qv, c.val cv from m join k q on q.rec_id = m.q_id
+join k c on c.rec_id = m.c_id and c.term = q.term and c.field = q.field and c.bkv = q.bkv), {_SIM}, {_VEC}
+select q_id, c_id, round(s0, 6) s0, round(s1, 6) s1, round(s2, 6) s2 from v""")
+def lsh_vectors(spark, d):
+    """Vectors of the pairs that bands bring together; pairs that share no block of the scheme are left out."""
+    r = _parts(spark, d)
+    got = match.block_vectors(lsh.meeting(lsh.bands(r, 0.8, 60), ["band", "sig"]), blocking.key_table(r, SCHEME), LEV3)
+    return got.select("q_id", "c_id", *[F.round(F.col("simvec")[i], 6).alias(f"s{i}") for i in range(3)])
+
+
+_SAMPLED = [0.1, 0.3, 0.5, 0.8]
+
+
+@query(f"""with {_PARTS}, {_TRUTH_SQL}, s as (select * from (values {", ".join(f"({t}, {lsh.banding(t, 20)[0]}, {lsh.banding(t, 20)[1]})" for t in _SAMPLED)}) s(threshold, bands, rows)),
+mv as (select rec_id, ('0x' || substr(md5(val), 1, 15))::bigint % {lsh.PRIME} x from (select distinct rec_id, val from l)),
+h as (select rec_id, i, min((((i + 1) * 2654435761 % {lsh.PRIME}) * x + (i + 1) * 40503 * 65537 % {lsh.PRIME}) % {lsh.PRIME}) h from mv, range(20) y(i) group by all),
+z as (select threshold, rec_id, i // rows band, string_agg(h::varchar, '.' order by i) sig from h, s where i < bands * rows group by all),
+hit as (select distinct x.threshold, g.t1, g.t2 from tr g join z x on x.rec_id = g.t1 join z y on y.rec_id = g.t2 and y.threshold = x.threshold and y.band = x.band and y.sig = x.sig)
+select threshold::double threshold, bands::bigint bands, rows::bigint as "rows", round((select count(*) from hit where hit.threshold = s.threshold) / (select count(*) from tr), 6) recall from s""")
+def lsh_sweep(spark, d):
+    """Recall of parts of one name and type for several settings of the banding."""
+    r = _parts(spark, d)
+    gold = _same_name_and_type(r).toDF("id_1", "id_2")
+    got = lsh.band_sweep(r, gold, [(t, 20) for t in _SAMPLED])
+    return got.select("threshold", *_long("bands", "rows"), *_r6("recall"))
+
+
+_CENTRES = 12
+
+
+def _embedded(spark, d):
+    """Embeddings in the cluster of the nearest of the first vectors; every fifth one is a query."""
+    e = _table(spark, d, "embeddings").select(F.col("vec_id").alias("rec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    centres = [r.x for r in e.where(F.col("rec_id") < _CENTRES).orderBy("rec_id").collect()]
+    return lsh.nearest(e, centres).withColumn("seq", F.when(F.col("rec_id") % 5 == 0, F.col("rec_id") + 1).otherwise(0))
+
+
+_EMBEDDED = f"""e as (select vec_id rec_id, embedding::double[] x from embeddings),
+dd as (select e.rec_id, c.rec_id cluster, list_sum(list_transform(range(1, len(e.x) + 1), lambda i: (e.x[i] - c.x[i]) * (e.x[i] - c.x[i]))) d2 from e, e c where c.rec_id < {_CENTRES}),
+nd as (select rec_id, arg_min(cluster, (round(d2, 9), cluster)) cluster, sqrt(min(d2)) dist from dd group by all)"""
+
+
+@query(f"with {_EMBEDDED} select rec_id, cluster::bigint as cluster, round(dist, 6) dist from nd")
+def cluster_members(spark, d):
+    return _embedded(spark, d).select("rec_id", *_long("cluster"), *_r6("dist"))
+
+
+@query(f"with {_EMBEDDED} select q.rec_id q_id, c.rec_id c_id from nd q join nd c on q.cluster = c.cluster and q.rec_id % 5 = 0 and c.rec_id % 5 <> 0")
 def cluster_candidates(spark, d):
-    s = _table(spark, d, "part").select(F.col("p_partkey").alias("rec_id"), F.lit(0).cast("long").alias("seq"), normalise("p_name").alias("a_0"), normalise("p_type").alias("a_1"))
-    placed = lsh.clusters(lsh.fit_clusters(s, 16), s)
-    return placed.groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.avg("dist"), 6).alias("dist"))
+    """Indexed vectors in the query's cluster."""
+    return lsh.cluster_candidates(_embedded(spark, d))
+
+
+@query(f"with {_EMBEDDED}, s as (select cluster, count(*) n from nd group by all) select n::bigint n, count(*)::bigint blocks from s group by all")
+def cluster_size_histogram(spark, d):
+    sizes = _embedded(spark, d).groupBy("cluster").agg(F.count("*").alias("n"))
+    return blocking.size_histogram(sizes, ()).select(*_long("n", "blocks"))
+
+
+@query()
+def kmeans_sweep(spark, d):
+    """Silhouette and recall of k-means on TF-IDF vectors of parts for several k."""
+    r = _parts(spark, d).withColumn("seq", F.lit(0).cast("long"))
+    got = lsh.sweep(r, [4, 16], _same_name_and_type(r).toDF("id_1", "id_2"))
+    return got.select(*_long("k"), F.round("silhouette", 3).alias("silhouette"), F.round("recall", 3).alias("recall"))
+
+
+@query()
+def kmeans_members(spark, d):
+    """Parts in the clusters of k-means on hashed vectors."""
+    r = _parts(spark, d).withColumn("seq", F.lit(0).cast("long"))
+    return lsh.clusters(lsh.fit_clusters(r, 8, hashing=True), r).select("rec_id", *_long("cluster"), *_r6("dist"))
 
 
 # --- labels and learning
@@ -382,12 +460,12 @@ def tfidf_pairs(spark, d):
 
 @query(f"with {_NEAR}, {_COS} select t1, t2, round(sim, 6) sim from cs where round(sim, 9) >= 0.6 order by round(sim, 9) desc, t1, t2 limit 100")
 def weak_positive(spark, d):
-    return _pairs(spark, d).where("sim >= 0.6").orderBy(F.col("sim").desc(), "t1", "t2").limit(100).select("t1", "t2", *_r6("sim"))
+    return labels.weak_labels(_parts(spark, d), 0.45, 0.6, 2, 100, 100)[0].select("t1", "t2", *_r6("sim"))
 
 
 @query(f"with {_NEAR}, {_COS} select t1, t2, round(sim, 6) sim from cs where round(sim, 9) < 0.45 order by round(sim, 9) desc, t1, t2 limit 100")
 def weak_negative(spark, d):
-    return _pairs(spark, d).where("sim < 0.45").orderBy(F.col("sim").desc(), "t1", "t2").limit(100).select("t1", "t2", *_r6("sim"))
+    return labels.weak_labels(_parts(spark, d), 0.45, 0.6, 2, 100, 100)[1].select("t1", "t2", *_r6("sim"))
 
 
 @query(f"""with {_NEAR}, {_COS}, z as (select least(floor(round(sim, 9) * 20), 19)::bigint bin, count(*)::bigint n from cs group by all)
@@ -558,23 +636,48 @@ def pairs_quality(spark, d):
     return evaluate.complexity_metrics(got).select(*_r6("pairs_completeness", "pairs_quality", "pairs_quality_all", "reduction_ratio"))
 
 
-@query(f"with {_GOLD} select count(*) filter (x.lang = y.lang)::bigint hit, count(*)::bigint pairs, round(count(*) filter (x.lang = y.lang) / count(*), 6) recall from g join documents x on x.doc_id = id_1 join documents y on y.doc_id = id_2")
+@query(f"""with {_PARTS}, {_TRUTH_SQL}, hit as (select distinct t1, t2 from tr join k x on x.rec_id = t1 join k y on y.rec_id = t2 and x.term = y.term and x.field = y.field and x.bkv = y.bkv)
+select (select count(*) from hit)::bigint hit, count(*)::bigint pairs, round((select count(*) from hit) / count(*), 6) recall from tr""")
 def blocking_recall(spark, d):
-    places = _table(spark, d, "documents").select(F.col("doc_id").alias("rec_id"), "lang")
-    return evaluate.recall_of(places, _gold(spark, d), ["lang"]).select(*_long("hit", "pairs"), *_r6("recall"))
+    """Share of the pairs of parts of one name and type that the scheme's blocks bring together."""
+    r = _parts(spark, d)
+    gold = _same_name_and_type(r).toDF("id_1", "id_2")
+    return evaluate.recall_of(blocking.key_table(r, SCHEME), gold, ["term", "field", "bkv"]).select(*_long("hit", "pairs"), *_r6("recall"))
 
 
-@query()
-def classifier_filter(spark, d):
-    """Pairs of parts that a tree trained on weak labels accepts."""
+@query(f"""with {_PARTS}, {_BANDS}, {_TRUTH_SQL}, hit as (select distinct t1, t2 from tr join z x on x.rec_id = t1 join z y on y.rec_id = t2 and x.band = y.band and x.sig = y.sig)
+select (select count(*) from hit)::bigint hit, count(*)::bigint pairs, round((select count(*) from hit) / count(*), 6) recall from tr""")
+def band_recall(spark, d):
+    r = _parts(spark, d)
+    gold = _same_name_and_type(r).toDF("id_1", "id_2")
+    return evaluate.recall_of(lsh.bands(r, 0.8, 60), gold, ["band", "sig"]).select(*_long("hit", "pairs"), *_r6("recall"))
+
+
+def _trained(spark, d, families):
+    """Vectors of the blocked pairs of parts, and a classifier trained on vectors of weakly labelled pairs."""
     from kinloom.plans import fusion
 
     r = _parts(spark, d)
+    pos, neg = labels.weak_labels(r, 0.45, 0.9)
+    some = labels.sample(pos, neg, 1000, 1500)
+    ids = some.select(F.col("t1").alias("q_id"), F.col("t2").alias("c_id"), "label")
+    train = match.vectors(match.rescored(ids, r, LEV3), 3).join(ids, ["q_id", "c_id"])
+    name, model = fusion.best_model(train, 3, families, costs=(0.1, 10.0))
     vec = match.vectors(match.scored(match.candidates(blocking.key_table(r, SCHEME)), LEV3), 3)
-    truth = ((F.col("simvec")[0] == 1) & (F.col("simvec")[1] == 1)).cast("int")
-    train = vec.withColumn("label", truth).orderBy(F.xxhash64("q_id", "c_id"), "q_id", "c_id").limit(5000)
-    _, model = fusion.best_model(train, 3, ("tree",))
-    return fusion.classify(model, vec).where("match = 1").select("q_id", "c_id")
+    return name, fusion.classify(model, vec)
+
+
+@query()
+def classifier_filter(spark, d):
+    """Pairs of parts that a tree trained on weak labels accepts."""
+    return _trained(spark, d, ("tree",))[1].where("match = 1").select("q_id", "c_id")
+
+
+@query()
+def classifier_choice(spark, d):
+    """The family that cross-validation on weak labels prefers, and how many pairs it accepts."""
+    name, got = _trained(spark, d, ("linear", "tree"))
+    return got.agg(F.count_if(F.col("match") == 1).alias("matches"), F.count("*").alias("pairs")).withColumn("family", F.lit(name))
 
 
 @query("""select key, sum(n)::bigint n from (select p_brand as key, count(*) n from part group by all union all
@@ -583,3 +686,132 @@ def merged_sums(spark, d):
     p = _table(spark, d, "part")
     count = lambda c: p.groupBy(F.col(c).alias("key")).agg(F.count("*").alias("n"))
     return evaluate.merge_sums(count("p_brand"), count("p_type"))
+
+
+# --- sources, orders and small operators
+
+
+@query(f"with {_PARTS}, s as (select field, val, count(*) n from l group by all) select field::bigint field, n::bigint n, count(*)::bigint blocks from s group by all")
+def record_list_histogram(spark, d):
+    """How many values have record lists of each length."""
+    lists = blocking.record_index(long_form(_parts(spark, d))).select("field", F.size("ids").alias("n"))
+    return blocking.size_histogram(lists, ("field",)).select(*_long("field", "n", "blocks"))
+
+
+@query(f"""with {_SUPP}, {_CAND}, {_SIM} select q_id, count(distinct c_id)::bigint candidates, (count(*) filter (qv = cv))::bigint as equal,
+(count(*) filter (qv <> cv and sim > 0))::bigint as similar from s group by all""")
+def candidate_counts(spark, d):
+    met = match.scored(match.candidates(blocking.key_table(_suppliers(spark, d), SUPPLIERS)), ["levenshtein"] * 2)
+    return evaluate.candidate_counts(met).select("q_id", *_long("candidates", "equal", "similar"))
+
+
+@query("""select event_type, count(*)::bigint n, round(sum(value), 4) total, round(avg(value), 6) mean, round(1 / avg(value), 6) rate, round(stddev_pop(value), 6) spread
+from events group by all""")
+def timing_aggregates(spark, d):
+    got = evaluate.timings(_table(spark, d, "events").where("value is not null"), ("event_type",), "value")
+    return got.select("event_type", *_long("n"), F.round("total", 4).alias("total"), *_r6("mean", "rate", "spread"))
+
+
+@query("select event_id, row_number() over (order by ts, event_id)::bigint seq, ((row_number() over (order by ts, event_id) - 1) // 64)::bigint part from events")
+def arrival_order(spark, d):
+    """Events numbered as they arrive, in groups of 64."""
+    return grouped(arrival(_table(spark, d, "events"), "ts", "event_id", rows=500), 64).select("event_id", *_long("seq", "part"))
+
+
+@query(f"""with e as (select event_id rec_id, user_id, row_number() over (order by ts, event_id) seq, event_type a0 from events), f as (select *, row_number() over (partition by user_id order by seq) k from e)
+select user_id rec_id, seq::bigint seq, {_norm('a0')} a_0 from f where k = 1""")
+def first_insert(spark, d):
+    """Of several records of one id (user) the first that arrives."""
+    e = arrival(_table(spark, d, "events"), "ts", "event_id")
+    return first_of_each(records(e, "user_id", ["event_type"], "seq"))
+
+
+@query("select p_partkey, p_name, p_size::bigint p_size from part where p_size > 25 and p_brand = (select min(p_brand) from part)")
+def predicate_scan(spark, d):
+    brand = scan(spark, f"{d}/part.parquet", columns=["p_brand"]).agg(F.min("p_brand")).first()[0]
+    got = scan(spark, f"{d}/part.parquet", f"p_size > 25 and p_brand = '{brand}'", ["p_partkey", "p_name", "p_size"])
+    return got.select("p_partkey", "p_name", *_long("p_size"))
+
+
+@query(f"with {_PARTS} select rec_id, seq, a0 a_0, a1 a_1, a2 a_2 from r where rec_id in (select distinct l_partkey from lineitem where l_quantity > 49)")
+def id_lookup(spark, d):
+    wanted = _table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("rec_id"))
+    return by_ids(_parts(spark, d), wanted)
+
+
+@query("select 'part' relation, count(*)::bigint n from part union all select 'documents', count(*) from documents")
+def row_counts(spark, d):
+    count = lambda t: _table(spark, d, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("relation"), "n")
+    return count("part").unionByName(count("documents"))
+
+
+@query(f"with {_NEAR}, p as (select near.t1, near.t2, x.a0 a, y.a0 b from near join r x on x.rec_id = t1 join r y on y.rec_id = t2) select t1, t2, (len(list_intersect(string_split(a, ' '), string_split(b, ' '))) > 0)::int::double common, (a = b)::int::double same from p")
+def token_predicates(spark, d):
+    """Whether names of neighbours share a token, and whether they are equal."""
+    r = _parts(spark, d)
+    v = choice.pair_values(labels.neighbours(r).withColumn("label", F.lit(0)), r).where("field = 0")
+    test = lambda name: measure(name)(F.col("a"), F.col("b"))
+    return v.select("t1", "t2", test("has_common_token").alias("common"), test("exact").alias("same"))
+
+
+@query(f"""with {_PARTS}, {_TRUTH}, {_FKEYS}, sc as (select fg.term, case when coalesce(tp, 0) = 0 then 0 else 2 * tp / (2 * tp + fp + coalesce(fn, 0)) end fsc from fg left join fc on fg.term = fc.term left join fn on fg.term = fn.term)
+select term::bigint term, round(fsc, 6) fsc, row_number() over (order by fsc desc, term)::bigint as "rank" from sc where fsc > 0 qualify row_number() over (order by fsc desc, term) <= 2""")
+def ranked_terms(spark, d):
+    """The two terms with the best scores."""
+    r = _parts(spark, d)
+    got = schemes.ranked(schemes.feature_scores(blocking.key_table(r, TERMS), _truth(r)), 2)
+    return got.select(*_long("term", "rank"), *_r6("fsc"))
+
+
+@query(f"""with {_NEAR}, {_TRUTH}, la as (select t1, t2, 1 label from tr union all select t1, t2, 0 from near where (t1, t2) not in (select (t1, t2) from tr)),
+{_FKEYS.split('fg as')[0]} fo as (select fk.* from fk join fz on fk.term = fz.term and fk.field = fz.field and fk.bkv = fz.bkv and n > 1 and n <= 100),
+cv as (select distinct la.t1, la.t2, label, x.term from la join fo x on x.rec_id = t1 join fo y on y.rec_id = t2 and x.term = y.term and x.field = y.field and x.bkv = y.bkv),
+pt as (select t1, t2, label, string_agg(term::varchar, ',' order by term) terms from cv group by all)
+select terms, label::bigint label, count(*)::bigint n from pt group by all""")
+def coverage_patterns(spark, d):
+    """Labelled pairs by the set of terms that bring them together: what the scheme learner sees."""
+    r = _parts(spark, d)
+    pos = _truth(r)
+    neg = labels.neighbours(r).join(pos, ["t1", "t2"], "left_anti")
+    both = pos.withColumn("label", F.lit(1)).union(neg.withColumn("label", F.lit(0)))
+    got = schemes.patterns(schemes.coverage(blocking.key_table(r, TERMS), both))
+    return got.select(F.array_join(F.transform("terms", lambda t: t.cast("string")), ",").alias("terms"), *_long("label", "n"))
+
+
+@query()
+def learned_scheme(spark, d):
+    """The scheme that is learned from gold pairs (parts of one name and type) and drawn negatives."""
+    r = _parts(spark, d)
+    gold = _same_name_and_type(r).toDF("id_1", "id_2").where("id_1 % 7 = 0")
+    pos, neg = labels.gold_labels(r, gold, 2, 500)
+    scheme = schemes.learn_scheme(r, pos, neg, 3, ("term_id", "tokens"), min_good=0.5, most_block=1000)
+    return spark.createDataFrame(scheme.rows(), "term int, field int, encoder string, score double").withColumn("score", F.round("score", 6))
+
+
+@query()
+def gold_negatives(spark, d):
+    """Negative pairs, drawn in proportion to the bins of their similarity."""
+    r = _parts(spark, d)
+    _, neg = labels.gold_labels(r, _same_name_and_type(r).toDF("id_1", "id_2"), 2, 300)
+    return neg.select("t1", "t2", *_r6("sim"))
+
+
+@query(f"""with {_NEAR}, {_SHARED}, {_COS}, kept as (select cs.t1, cs.t2, sim from cs join sh on cs.t1 = sh.t1 and cs.t2 = sh.t2),
+neg as (select * from kept where round(sim, 9) < 0.3), pool as (select * from kept where round(sim, 9) >= 0.3 and round(sim, 9) < 0.6 order by round(sim, 9) desc, t1, t2 limit 40)
+select 1::bigint label, t1, t2, round(sim, 6) sim from kept where round(sim, 9) >= 0.6 union all select 0, t1, t2, round(sim, 6) from neg union all select 0, t1, t2, round(sim, 6) from pool""")
+def labels_in_blocks(spark, d):
+    """Weak labels that the scheme brings together, negatives made up by 40 from the pool of pairs in between."""
+    r = _parts(spark, d)
+    sims = _pairs(spark, d)
+    pos, neg, pool = sims.where("sim >= 0.6"), sims.where("sim < 0.3"), sims.where("sim >= 0.3 and sim < 0.6")
+    lack = blocking.has_common_block(neg, r, SCHEME).where("shared").count() + 40
+    good, bad = labels.in_blocks(pos, neg, pool, r, SCHEME, lack)
+    return good.withColumn("label", F.lit(1)).unionByName(bad.withColumn("label", F.lit(0))).select(*_long("label"), "t1", "t2", *_r6("sim"))
+
+
+@query()
+def measure_weighted_damerau(spark, d):
+    """Weighted Damerau similarity of neighbouring names."""
+    r = _parts(spark, d)
+    v = choice.pair_values(labels.neighbours(r).withColumn("label", F.lit(0)), r).where("field = 0").select("a", "b").distinct()
+    return v.select(F.col("a").alias("v1"), F.col("b").alias("v2"), F.round(measure("weighted_damerau")(F.col("a"), F.col("b")), 6).alias("sim"))

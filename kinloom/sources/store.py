@@ -19,8 +19,9 @@ class Store:
         system, path = self._file(name)
         return system.exists(path)
 
-    def put(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+    def put(self, name: str, df: DataFrame, mode: str = "overwrite") -> DataFrame:
+        """Store a table, or append to it."""
+        df.write.mode(mode).parquet(f"{self.folder}/{name}")
         return self.get(name)
 
     def get(self, name: str) -> DataFrame:

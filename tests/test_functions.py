@@ -42,7 +42,12 @@ def test_encoders(spark, name, value, keys):
 def test_metaphone():
     assert _metaphone("smith") == _metaphone("smyth")
     assert _metaphone("knight") == _metaphone("night")
-    assert _metaphone("phone") == "FN"
+    known = {
+        "metaphone": "MTFN", "school": "SKL", "science": "SNS", "watch": "WX", "sign": "SN", "signal": "SKNL", "judge": "JJ", "bridge": "BRJ", "wright": "RT",
+        "thumb": "0M", "physics": "FSKS", "queen": "KN", "xylophone": "SLFN", "which": "WX", "action": "AKXN", "nation": "NXN", "vision": "FXN", "check": "XK",
+        "phone": "FN", "aggressive": "AKRSF", "ghost": "KST", "": "",
+    }
+    assert {w: _metaphone(w) for w in known} == known
 
 
 def test_pinned_ratios():

@@ -161,3 +161,17 @@ def test_outcomes_count_missing_partners(spark):
     gold = spark.createDataFrame([("q", "a"), ("q", "b")], "q_id string, c_id string")
     m = evaluate.micro_metrics(evaluate.outcomes(res, gold)).first()
     assert (m.tp, m.fp, m.fn, m.precision, m.recall) == (1, 1, 1, 0.5, 0.5)
+
+
+def test_vectors_in_one_step_equal_the_parts(spark):
+    rows = [(i, int(i), a, b) for i, a, b in RESTAURANTS] + [("90", 17, "", "thai"), ("91", 18, "thai", ""), ("92", 19, "", "")]
+    r = rel(spark, rows)
+    scheme = Scheme.of([(0, "tokens"), (1, "term_id")], [(0, "first3")], [(1, "tokens")])
+    banned = spark.createDataFrame([(2, "american")], "term int, bkv string")
+    for measures in (["levenshtein", "jaccard"], ["ratio", "levenshtein"], ["jaro", "damerau"]):
+        for mode in match.MODES:
+            keys = blocking.without(blocking.key_table(r, scheme), banned)
+            want = match.completed(match.vectors(match.scored(match.candidates(keys), measures), 2), r, measures, mode, scheme.fields())
+            got = match.dnf_vectors(r, scheme, measures, mode, banned)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert match.dnf_vectors(r.limit(0), scheme, ["levenshtein"] * 2).count() == 0
