@@ -12,7 +12,9 @@ CAPACITY = 1024
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    written = cut(warc.write(table(spark, sf_dir, "pages"), new_path(spark, "warc")), "archives")
+    folder = new_path(spark, "warc")
+    written = cut(warc.write(table(spark, sf_dir, "pages"), folder), "archives")
+    warc.drop_orphans(written, folder)
     return warc.read(written, parts(spark), payloads=False).drop("url")
 
 

@@ -210,11 +210,25 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
 
 
 def write(pages: DataFrame, folder: str, least: int = 0, level: int = 6, most: int = ARCHIVE_BYTES) -> DataFrame:
-    """Archive ``pages`` in ``folder``; a lazy frame ``path, records, bytes`` that must be run exactly once."""
+    """Archive ``pages`` in ``folder``; a lazy frame ``path, records, bytes``. Store it (``cut``) and read from what is stored: each
+    run writes archives of its own. ``drop_orphans`` removes those of attempts that were lost."""
     ship(pages.sparkSession)
     return with_revisits(pages, least).mapInPandas(_store(folder, level, most), "path string, records long, bytes long")
 
 
+def drop_orphans(written: DataFrame, folder: str) -> int:
+    """Remove archives in ``folder`` that ``written`` (stored) does not name: of tasks that failed or ran twice. How many."""
+    spark = written.sparkSession
+    known = {r.path.rsplit("/", 1)[1] for r in written.select("path").toLocalIterator()}  # a name for each archive
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(folder)
+    system = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = [f.getPath() for f in system.listStatus(top) if f.getPath().getName() not in known] if system.exists(top) else []
+    for path in gone:
+        system.delete(path, False)
+    return len(gone)
+
+
 def read(paths: DataFrame, tasks: int, payloads: bool = True) -> DataFrame:
     """The records of the archives named in ``paths.path``."""
 
