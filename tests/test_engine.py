@@ -19,7 +19,7 @@ from tests.test_match import DNF, RESTAURANTS, rel
 def test_fit_build_query_and_reload(spark, tmp_path):
     r = rel(spark, [(i, 0, a, b) for i, a, b in RESTAURANTS])
     pairs = spark.createDataFrame([("0", "1"), ("2", "3"), ("4", "5"), ("6", "7")], "id_1 string, id_2 string")
-    settings = Settings(min_good=0.5, window=5, families=("linear", "tree"))
+    settings = Settings(min_good=0.5, window=5, families=("linear", "tree"), grid=(1.0,))
     engine = LinkageEngine(spark, f"file://{tmp_path}", settings).fit(r, pairs)
     engine.build(r.where("rec_id % 2 = 0"))
     asked = r.where("rec_id % 2 = 1").withColumn("seq", F.col("rec_id").cast("long"))
