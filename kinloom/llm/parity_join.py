@@ -174,7 +174,7 @@ def signatures(s: np.ndarray, begin: np.ndarray, hot: np.ndarray, cells: np.ndar
                 yield i, np.concatenate([np.sort(soon), np.sort(rest)]), len(rest), b - a < k
 
 
-PROFILE = "id long, n long, h1 long, h2 long, bits binary"
+PROFILE = "id long, n long, h1 long, h2 long, bits binary, few_bits binary"
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +188,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, c = h[c >= HOT_IN_BATCH], c[c >= HOT_IN_BATCH]
         if len(h):
             none = pa.nulls(len(h), pa.binary())
-            yield batch(id=pa.nulls(len(h), pa.int64()), n=-c, h1=h.view("i8"), h2=np.zeros(len(h), "i8"), bits=none)
+            yield batch(id=pa.nulls(len(h), pa.int64()), n=-c, h1=h.view("i8"), h2=np.zeros(len(h), "i8"), bits=none, few_bits=none)
 
     for b in batches:
         for i, j, s, begin in chunks(b.column(1)):
@@ -197,7 +197,8 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(s):
                 h1[full], h2[full] = np.add.reduceat(s, a[full]), np.add.reduceat(mix64(s ^ FACTORS[2]), a[full])
             bits = [sketch(s[x:y]) if y > x else b"" for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
-            yield batch(id=b.column(0).slice(i, j - i), n=n, h1=h1.view("i8"), h2=h2.view("i8"), bits=pa.array(bits, pa.binary()))
+            few = pa.array([fold(x, len(x) // 4).tobytes() for x in bits], pa.binary())
+            yield batch(id=b.column(0).slice(i, j - i), n=n, h1=h1.view("i8"), h2=h2.view("i8"), bits=pa.array(bits, pa.binary()), few_bits=few)
             _, own = np.unique(np.stack([h1, h2], 1), axis=0, return_index=True)  # equal sets count once
             own = own[n[own] > 0]
             held.append(s if len(own) == len(n) else np.concatenate([np.empty(0, "u8"), *(s[begin[x] : begin[x + 1]] for x in own.tolist())]))
@@ -515,10 +516,16 @@ def _ids(df: DataFrame, name: str) -> DataFrame:
 
 def _check(pairs: DataFrame, profile: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
     """The linked ones of distinct pairs (a < b)."""
-    side = lambda c: profile.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b")
-    sized = sized.where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
-    near = cut(sized.mapInArrow(_near_pairs(num, den), "a long, b long"), "near")
+
+    def nearer(pairs: DataFrame, sketch: str) -> DataFrame:
+        side = lambda c: profile.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col(sketch).alias(f"bits_{c}"))
+        sized = pairs.join(side("a"), "a").join(side("b"), "b")
+        sized = sized.where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
+        return cut(sized.mapInArrow(_near_pairs(num, den), "a long, b long"), "near")
+
+    nearly = nearer(pairs, "few_bits")  # most pairs go by a quarter of the sketch
+    near = nearer(nearly, "bits")
+    drop_cut(nearly)
     used = _ids(near.select("a").union(near.select("b")), "doc_id")
     some = texts.join(used, "doc_id", "left_semi")
     text = lambda c: some.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
@@ -574,8 +581,8 @@ def link(docs: DataFrame, num: int = 75, den: int = 100) -> tuple[DataFrame, Dat
     full = found.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = cut(full.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")), "classes")
     chosen = classes.select(F.col("rep").alias("id")).distinct()
-    one = cut(full.join(chosen, "id", "left_semi").select("id", "n", "bits").dropDuplicates(["id"]), "reps")
-    profile = cut(found.where(F.col("n") >= 0).drop("bits"), "sizes")
+    one = cut(full.join(chosen, "id", "left_semi").select("id", "n", "bits", "few_bits").dropDuplicates(["id"]), "reps")
+    profile = cut(found.where(F.col("n") >= 0).drop("bits", "few_bits"), "sizes")
     drop_cut(found)
     others = _ids(profile.where(F.col("id").isNotNull()).select("id").distinct().join(one, "id", "left_anti").select("id"), "doc_id")
     texts = given.where(F.col("doc_id").isNotNull())
@@ -602,7 +609,8 @@ def link(docs: DataFrame, num: int = 75, den: int = 100) -> tuple[DataFrame, Dat
         rows = rows.join(profile, "id").repartition(parts(spark), "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n", "id")
         return cut(rows.mapInArrow(_across(step, num, den), "a long, b long" if step == "links" else ACROSS), step)
 
-    found = compared("forest", _open_blocks(_named(members, known)), one)
+    whole = one.select("id", "n", "bits")
+    found = compared("forest", _open_blocks(_named(members, known)), whole)
     near = found.where(F.col("a") == F.col("b")).select("sig", "i", "j", "side", F.col("a").alias("id"))
     more = _check(found.where(F.col("a") != F.col("b")).select("a", "b").distinct(), one, texts, num, den)
     if not more.isEmpty():
@@ -614,7 +622,7 @@ def link(docs: DataFrame, num: int = 75, den: int = 100) -> tuple[DataFrame, Dat
         rest = cut(rest.join(blocks.where(F.col("lo") != F.col("hi")).drop("lo", "hi"), ["sig", "i", "j"]), "rest")
         used = _ids(rest.select("id"), "doc_id")
         some = texts.join(used, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text"))
-        more = compared("links", rest, one.join(some, "id"))
+        more = compared("links", rest, whole.join(some, "id"))
         if not more.isEmpty():
             links = links.union(more.distinct())
             known = components(links)
