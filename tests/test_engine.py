@@ -27,7 +27,8 @@ def test_fit_build_query_and_reload(spark, tmp_path):
     assert first["pairs_completeness"] >= 0.75 and 0 <= first["reduction_ratio"] <= 1
     again = LinkageEngine(spark, f"file://{tmp_path}", settings).fit(r, pairs)
     assert again.scheme == engine.scheme and again.measures == engine.measures
-    assert again.evaluate(asked, pairs) == first
+    told = again.evaluate(asked, pairs)
+    assert {k: v for k, v in told.items() if "second" not in k} == {k: v for k, v in first.items() if "second" not in k}
 
 
 def parts(spark):
