@@ -11,7 +11,7 @@ What is gathered grows with the corpus: every word is counted, and the network h
 the fourth root of the number of distinct words, so outputs and embeddings in proportion to its square root (``side_for``).
 
 Training reads all documents in each of ``rounds`` rounds and predicts, in each round, another part of every document's
-words: every fourth word, so that a round costs no more than a scoring pass. Documents are dealt to shards by a hash
+words (of two rounds, every other word), so that after the last round every word was predicted once. Documents are dealt to shards by a hash
 of their words, about ``SHARD`` words each, in an order that only their words decide. Each shard trains from the round's start, and parameters
 are averaged over shards by numbers of words, as sums of whole numbers. So the model doesn't depend on partitions, tasks or
 retries, and one model's size is all that reaches the driver.
@@ -41,7 +41,7 @@ SHARD = 1 << 20  # words
 CHUNK = 2 << 20  # bytes of texts handled at once
 AT_ONCE = 1 << 16  # words whose windows are held at once
 COUNTED = 1 << 20  # distinct words that a task holds before it passes counts on
-MASKS = 4
+MASKS = 4  # parts of a text's words, of which a shard predicts one, if it isn't told
 SCALE = 1 << 24  # parameters are added up in these units
 PIECE = 1 << 12  # parameters in a row on their way to the driver
 
@@ -221,11 +221,16 @@ def train(params: np.ndarray, rows: np.ndarray, words: np.ndarray, shape: Shape,
 class Shard:
     """A model in training on one shard; what it has seen decides when it steps, not how the data came."""
 
-    def __init__(self, start: np.ndarray, shape: Shape, turn: int):
-        self.params, self.state, self.shape, self.turn = start.copy(), np.zeros_like(start), shape, turn
+    def __init__(self, start: np.ndarray, shape: Shape, turn: int, masks: int = MASKS):
+        self.params, self.state, self.shape, self.turn, self.masks = start.copy(), np.zeros_like(start), shape, turn, masks
         self.held: list[np.ndarray] = []
         self.size = self.words = 0
 
+    @classmethod
+    def of_round(cls, start: np.ndarray, shape: Shape, turn: int, rounds: int) -> Shard:
+        """As many parts as rounds, so that together they predict every word once."""
+        return cls(start, shape, turn, rounds)
+
     def add(self, ids: np.ndarray) -> None:
         self.held.append(ids)
         self.size += len(ids)
@@ -236,7 +241,7 @@ class Shard:
         if self.size:
             rows, words = windows(self.held, self.shape)
             at = np.concatenate([np.arange(len(x)) for x in self.held])
-            mine = at % MASKS == self.turn % MASKS
+            mine = at % self.masks == self.turn % self.masks
             train(self.params, rows[mine], words[mine], self.shape, self.state)
             self.words += self.size
         self.held, self.size = [], 0
@@ -348,7 +353,7 @@ def _ids(column: pa.Array, shape: Shape) -> Iterator[np.ndarray]:
 
 
 def fit(docs: DataFrame, shape: Shape, rounds: int = 2) -> np.ndarray:
-    """Parameters after ``rounds`` rounds over all documents (``encoded``, stored)."""
+    """Parameters after ``rounds`` rounds over all documents (``encoded``, stored); each word is predicted in one of them."""
     spark = docs.sparkSession
     params = initial(shape)
     words = docs.agg(F.sum("n_words")).first()[0] or 0
@@ -368,7 +373,7 @@ def fit(docs: DataFrame, shape: Shape, rounds: int = 2) -> np.ndarray:
                         if model:
                             w, x = model.total()
                             weight, total = weight + w, total + x
-                        now, model = shard, Shard(start.value, shape, turn)
+                        now, model = shard, Shard.of_round(start.value, shape, turn, rounds)
                     model.add(ids)
             if model:
                 w, x = model.total()

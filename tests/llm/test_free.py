@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import inspect
 import io
 import random
 import re
@@ -345,6 +346,21 @@ def test_pseudo_likelihood_predicts_every_document():
     assert sum(seen) == sum(-(-i // pseudo_likelihood.MASKS) for i in range(7)) and pseudo_likelihood.side_for(10**9) > pseudo_likelihood.side_for(10**6) > 8
 
 
+def test_pseudo_likelihood_predicts_every_word_once(monkeypatch):
+    """The rounds that a run has by default and others: together they predict each word once."""
+    default = inspect.signature(pseudo_likelihood.score).parameters["rounds"].default
+    shape, seen = pseudo_likelihood.Shape(side=8, hidden=2), []
+    monkeypatch.setattr(pseudo_likelihood, "train", lambda p, rows, words, *rest: seen.extend(words.tolist()))
+    for rounds in (1, default, 3):
+        seen.clear()
+        for turn in range(rounds):
+            shard = pseudo_likelihood.Shard.of_round(pseudo_likelihood.initial(shape), shape, turn, rounds)
+            shard.add(np.arange(1, 12, dtype="u2"))
+            shard.add(np.array([20], "u2"))
+            shard.total()
+        assert sorted(seen) == [*range(1, 12), 20]
+
+
 def test_language(spark):
     r = random.Random(4)
     lex = {"xx": ["kalo", "mira", "tevo", "runa"], "yy": ["strob", "blick", "grund", "tramp"]}
