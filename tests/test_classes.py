@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinloom.config import Scheme
 from kinloom.operators import blocking, evaluate, lsh, match
-from kinloom.plans import labels
+from kinloom.plans import labels, schemes
 from kinloom.queries import QUERIES
 
 SCHEME = Scheme.of([(0, "tokens")], [(1, "term_id"), (0, "first1")])
@@ -81,3 +81,37 @@ def test_cluster_distances_are_those_of_whole_vectors(spark):
     got = lsh.clusters(model, r)
     assert {x.rec_id: round(x.dist, 6) for x in got.collect()} == {k: round(v, 6) for k, v in want.items()}
     assert "vector_to_array" not in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("most", [3, 60, 500])
+def test_scheme_counts_by_classes_are_those_of_pairs(spark, most):
+    r = made(spark, 200)
+    r = r.union(spark.createDataFrame([(900 + i, 0, f"u{i // 2}", "") for i in range(6)], r.schema)).persist()
+    own, scheme = evaluate.counted(r).persist(), Scheme(tuple(schemes.candidate_terms(2, ("term_id", "tokens"), 2)))
+    x = r.select("rec_id", "a_0")
+    pos = x.toDF("t1", "a_0").where("t1 % 3 <> 1 or t1 > 150").join(x.toDF("t2", "a_0"), "a_0").where("t1 < t2").select("t1", "t2")
+    pos = pos.union(spark.createDataFrame([(1, 2), (7, 5)], pos.schema)).distinct().persist()
+    neg = spark.createDataFrame([(i, i + 1) for i in range(3, 40)], pos.schema).join(pos, ["t1", "t2"], "left_anti")
+    keys = blocking.key_table(r, scheme)
+    known = schemes.partners(schemes.with_classes(pos, r))
+    gate, inside = schemes.class_blocks(schemes.class_keys(own, scheme), most, 0.1)
+    counts = lambda pairs, label: schemes.with_classes(pairs, r).groupBy(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).agg(
+        F.lit(label).alias("label"), F.count("*").alias("n")
+    )
+    shared = schemes.shared_terms(inside, counts(pos, 1).union(counts(neg, 0)))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    got = rows(schemes.class_scores(gate, inside, shared, known, own))
+    assert got == rows(schemes.feature_scores(keys, pos, most, 0.1)) and (most == 3 or any(x[3] for x in got))
+    both = pos.withColumn("label", F.lit(1)).union(neg.withColumn("label", F.lit(0)))
+    passing = [x.term for x in gate.where("passes").collect()]
+    covered = schemes.coverage(keys.where(F.col("term").isin(passing)), both, most)
+    assert rows(schemes.class_patterns(shared)) == rows(schemes.patterns(covered))
+
+
+@pytest.mark.parametrize("n", [12_000, 14_000])
+def test_scheme_of_many_copies(spark, tmp_path, n):
+    """Every block has 1,000 records, or more than the query's limit: then no term scores."""
+    names = [f"{a} {b}" for a in ("hot", "old", "red") for b in ("bolt", "ring", "nut", "gear")]
+    folder = parts(spark, tmp_path, n, names)
+    assert (QUERIES["learned_scheme"](spark, folder).count() > 0) == (n == 12_000)
+    assert QUERIES["gold_negatives"](spark, folder).count() == 300
