@@ -92,8 +92,8 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
 
 
 def sketch_bits(n: int) -> int:
-    """Width of the sketch: eight times the octave of the set's size, so that few differences fall on one bit."""
-    return min(max(2048, 8 << (max(n, 1).bit_length() - 1)), WIDEST)
+    """Width of the sketch: four times the octave of the set's size, so that few differences fall on one bit."""
+    return min(max(1024, 4 << (max(n, 1).bit_length() - 1)), WIDEST)
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -197,7 +197,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(s):
                 h1[full], h2[full] = np.add.reduceat(s, a[full]), np.add.reduceat(mix64(s ^ FACTORS[2]), a[full])
             bits = [sketch(s[x:y]) if y > x else b"" for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
-            few = pa.array([fold(x, len(x) // 4).tobytes() for x in bits], pa.binary())
+            few = pa.array([fold(x, len(x) // 2).tobytes() for x in bits], pa.binary())
             yield batch(id=b.column(0).slice(i, j - i), n=n, h1=h1.view("i8"), h2=h2.view("i8"), bits=pa.array(bits, pa.binary()), few_bits=few)
             _, own = np.unique(np.stack([h1, h2], 1), axis=0, return_index=True)  # equal sets count once
             own = own[n[own] > 0]
@@ -211,10 +211,12 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 JOINED = "sig long, id long"
+LATE = 1 << 24
 
 
 def _joined_on(hot, num: int, den: int):
-    """(sig, id) rows; sig 0: to be compared with the whole band. The last bit tells a signature of frequent shingles (1)."""
+    """(sig, id) rows; sig 0: to be compared with the whole band. Bit ``LATE`` tells a signature of frequent shingles, the bits
+    below are 0: bytes that shuffles needn't carry. Signatures that are equal in the other 39 bits by chance only make more pairs to verify."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = hot.value
@@ -225,8 +227,8 @@ def _joined_on(hot, num: int, den: int):
             for i, _, s, begin in chunks(b.column(1)):
                 sigs, row, size = [np.empty(0, "u8")], [], []
                 for k, x, late, few in signatures(s, begin, often, cells, num, den):
-                    x &= ~np.uint64(1)
-                    x[len(x) - late :] |= np.uint64(1)
+                    x &= ~np.uint64(2 * LATE - 1)
+                    x[len(x) - late :] |= np.uint64(LATE)
                     sigs.append(np.r_[np.uint64(0), x] if few else x)
                     row.append(i + k)
                     size.append(len(sigs[-1]))
@@ -237,7 +239,7 @@ def _joined_on(hot, num: int, den: int):
 
 def _salt(sig, id_):
     """0, or 1 to ``SALTS`` for signatures of frequent shingles."""
-    return F.when(sig.bitwiseAND(F.lit(1).cast("long")) == 1, F.pmod(F.xxhash64(id_), F.lit(SALTS)) + 1).otherwise(0).cast("int")
+    return F.when(sig.bitwiseAND(F.lit(LATE).cast("long")) != 0, F.pmod(F.xxhash64(id_), F.lit(SALTS)) + 1).otherwise(0).cast("int")
 
 
 MEMBERS = "sig long, salt int, hub long, id long"
@@ -523,7 +525,7 @@ def _check(pairs: DataFrame, profile: DataFrame, texts: DataFrame, num: int, den
         sized = sized.where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
         return cut(sized.mapInArrow(_near_pairs(num, den), "a long, b long"), "near")
 
-    nearly = nearer(pairs, "few_bits")  # most pairs go by a quarter of the sketch
+    nearly = nearer(pairs, "few_bits")  # most pairs go by half of the sketch
     near = nearer(nearly, "bits")
     drop_cut(nearly)
     used = _ids(near.select("a").union(near.select("b")), "doc_id")

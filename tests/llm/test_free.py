@@ -12,6 +12,7 @@ from itertools import pairwise, product
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tests.llm.test_native import docs
 
@@ -133,6 +134,18 @@ def test_blocks_return_rows_not_pairs():
     assert len(links["a"]) < n
 
 
+def test_signatures_end_in_zero_bytes():
+    """Shuffles needn't carry the low bits; the flag of frequent shingles stays, and equal texts have equal signatures."""
+    texts = [" ".join(f"w{j}" for j in range(n)) for n in (40, 300)] * 2
+    hot = type("Hot", (), {"value": np.sort(parity_join.shingles(texts[1]))})
+    given = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(texts)], ["doc_id", "text"])
+    got = pa.Table.from_batches(parity_join._joined_on(hot, 75, 100)([given])).to_pandas()
+    assert len(got) and not (got.sig & (parity_join.LATE - 1)).any()
+    assert ((got.sig & parity_join.LATE) != 0).any()
+    own = got.groupby("id").sig.apply(sorted)
+    assert own[0] == own[2] and own[1] == own[3] and (own[0] != own[1])
+
+
 def test_sketch_distance_is_a_lower_bound():
     rng = np.random.default_rng(1)
     for n in (5, 70, 300):
