@@ -40,6 +40,7 @@ EDGE = 0  # the mark before and after a text
 SHARD = 1 << 20  # words
 CHUNK = 2 << 20  # bytes of texts handled at once
 AT_ONCE = 1 << 16  # words whose windows are held at once
+SCORED = 1 << 13  # words that are scored at once: their arrays stay in the processor's cache
 COUNTED = 1 << 20  # distinct words that a task holds before it passes counts on
 MASKS = 4  # parts of a text's words, of which a shard predicts one, if it isn't told
 SCALE = 1 << 24  # parameters are added up in these units
@@ -130,9 +131,9 @@ def windows(ids: list[np.ndarray], shape: Shape) -> tuple[np.ndarray, np.ndarray
 
 
 def _hidden(tables: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    h = tables[rows[:, 0]]
+    h = tables.take(rows[:, 0], axis=0)
     for j in range(1, rows.shape[1]):
-        h += tables[rows[:, j]]
+        h += tables.take(rows[:, j], axis=0)
     h += bias
     return np.tanh(h, out=h)
 
@@ -156,8 +157,8 @@ def _log_sums(z: np.ndarray) -> np.ndarray:
 def log_probabilities(params: np.ndarray, rows: np.ndarray, words: np.ndarray, shape: Shape) -> np.ndarray:
     tables, bias, out, e, deep, f = views(params, shape)
     got = np.empty(len(words))
-    for i in range(0, len(words), AT_ONCE):
-        r, w = rows[i : i + AT_ONCE], words[i : i + AT_ONCE]
+    for i in range(0, len(words), SCORED):
+        r, w = rows[i : i + SCORED], words[i : i + SCORED]
         order, c, m, spans = _by_cluster(w, shape)
         h = _hidden(tables, bias, r[order])
         z = h @ out + e
@@ -172,7 +173,7 @@ def log_probabilities(params: np.ndarray, rows: np.ndarray, words: np.ndarray, s
 def _softmax(z: np.ndarray, n: int) -> np.ndarray:
     """Row by row, divided by ``n``."""
     z -= z.max()
-    np.clip(z, -80, None, out=z)
+    np.maximum(z, -80, out=z)
     np.exp(z, out=z)
     z *= (1 / (z @ np.ones(z.shape[1], z.dtype) * n))[:, None]
     return z
@@ -212,8 +213,8 @@ def train(params: np.ndarray, rows: np.ndarray, words: np.ndarray, shape: Shape,
         place = np.argsort(flat, kind="stable")
         flat = flat[place]
         first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-        g, used = np.add.reduceat(g_h[place // sides], first, axis=0), flat[first]
-        s = s_tables[used] + g * g
+        g, used = np.add.reduceat(g_h.take(place // sides, axis=0), first, axis=0), flat[first].astype("int64")
+        s = s_tables.take(used, axis=0) + g * g
         s_tables[used] = s
         tables[used] -= rate * g / np.sqrt(s + 1e-8)
 

@@ -455,3 +455,12 @@ def test_unigram_counts_equal_the_tokenizer(spark):
     c = unigram_count.Counter(small)
     for t in ("ab", "abab b", "zz a", "azzb", "z"):
         assert c.of_text(t)[0] == len(tok.encode(t).ids), t
+
+
+def test_scores_do_not_hang_on_the_batch(monkeypatch):
+    shape = pseudo_likelihood.Shape(8)
+    ids = [np.random.default_rng(7).integers(1, shape.vocabulary, 3000)]
+    params, (rows, words) = pseudo_likelihood.initial(shape), pseudo_likelihood.windows(ids, shape)
+    whole = pseudo_likelihood.log_probabilities(params, rows, words, shape)
+    monkeypatch.setattr(pseudo_likelihood, "SCORED", 257)
+    assert np.allclose(whole, pseudo_likelihood.log_probabilities(params, rows, words, shape), atol=1e-4)
