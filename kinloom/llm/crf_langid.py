@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinloom.shipping import ship
+from kinloom.shipping import lean, ship
 
 UND = "und"
 _letters = re.compile(r"[^\W\d_]+")
@@ -336,7 +336,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for b in run(batches):
             yield b.astype({"doc_id": "Int64"})
 
-    return given.mapInPandas(typed, "doc_id long, held_out boolean, lang_pred string, score double")
+    return given.mapInPandas(lean(typed), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:
@@ -369,7 +369,7 @@ def keep_identified(docs: DataFrame, sure: float = 0.9, **options) -> DataFrame:
         for b in keep(b.astype(numbers) for b in batches):
             yield b[columns]
 
-    return docs.mapInPandas(typed, whole)
+    return docs.mapInPandas(lean(typed), whole)
 
 
 def crc_mod(doc_id: int) -> int:

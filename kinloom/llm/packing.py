@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.llm.common import Shared
-from kinloom.shipping import ship
+from kinloom.shipping import lean, ship
 
 END_ID = 2
 _encoders: dict = {}
@@ -71,7 +71,7 @@ def pieces(docs: DataFrame, capacity: int, ranks_path: str, pattern: str, specia
             yield out.astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long"
+        lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 
 

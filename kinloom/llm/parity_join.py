@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from kinloom.llm.common import cut, drop_cut, fresh, parts
 from kinloom.llm.components import components
 from kinloom.llm.hashing import FACTORS, batch, mix64, numbers, runs, word_hashes
-from kinloom.shipping import ship
+from kinloom.shipping import lean, ship
 
 WIDTH = 5
 SMALL = 64
@@ -523,7 +523,7 @@ def _check(pairs: DataFrame, profile: DataFrame, texts: DataFrame, num: int, den
         side = lambda c: profile.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col(sketch).alias(f"bits_{c}"))
         sized = pairs.join(side("a"), "a").join(side("b"), "b")
         sized = sized.where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
-        return cut(sized.mapInArrow(_near_pairs(num, den), "a long, b long"), "near")
+        return cut(sized.mapInArrow(lean(_near_pairs(num, den)), "a long, b long"), "near")
 
     nearly = nearer(pairs, "few_bits")  # most pairs go by half of the sketch
     near = nearer(nearly, "bits")
@@ -532,7 +532,7 @@ def _check(pairs: DataFrame, profile: DataFrame, texts: DataFrame, num: int, den
     some = texts.join(used, "doc_id", "left_semi")
     text = lambda c: some.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
     full = near.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b")
-    links = cut(full.mapInArrow(_verified(num, den), "a long, b long").distinct(), "links")
+    links = cut(full.mapInArrow(lean(_verified(num, den)), "a long, b long").distinct(), "links")
     drop_cut(near)
     return links
 
@@ -576,7 +576,7 @@ def link(docs: DataFrame, num: int = 75, den: int = 100) -> tuple[DataFrame, Dat
     spark = docs.sparkSession
     ship(spark)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = cut(given.mapInArrow(_profiles, PROFILE), "profiles")
+    found = cut(given.mapInArrow(lean(_profiles), PROFILE), "profiles")
     hot = found.where(F.col("n") < 0).groupBy("h1").agg((-F.sum("n")).alias("c")).where(F.col("c") >= HOT_LEAST)
     hot = np.sort(np.array([r.h1 for r in hot.orderBy(F.col("c").desc(), "h1").limit(HOT_MOST).collect()], "i8").view("u8"))
     hot = spark.sparkContext.broadcast(hot)
@@ -588,10 +588,10 @@ def link(docs: DataFrame, num: int = 75, den: int = 100) -> tuple[DataFrame, Dat
     drop_cut(found)
     others = _ids(profile.where(F.col("id").isNotNull()).select("id").distinct().join(one, "id", "left_anti").select("id"), "doc_id")
     texts = given.where(F.col("doc_id").isNotNull())
-    rows = texts.join(others, "doc_id", "left_anti").mapInArrow(_joined_on(hot, num, den), JOINED)
+    rows = texts.join(others, "doc_id", "left_anti").mapInArrow(lean(_joined_on(hot, num, den)), JOINED)
     salt = _salt(F.col("sig"), F.col("id"))
     rows = rows.repartition(parts(spark), "sig", salt).sortWithinPartitions("sig", salt, "id").withColumn("salt", salt)
-    stars = cut(rows.mapInArrow(_stars, MEMBERS), "stars")
+    stars = cut(rows.mapInArrow(lean(_stars), MEMBERS), "stars")
     members = stars.where(F.col("sig") != 0).select("sig", "salt", "id")
     pair = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     pairs = pair(stars.where((F.col("sig") != 0) & (F.col("hub") != F.col("id"))), "hub", "id")
@@ -609,7 +609,7 @@ def link(docs: DataFrame, num: int = 75, den: int = 100) -> tuple[DataFrame, Dat
 
     def compared(step: str, rows: DataFrame, profile: DataFrame) -> DataFrame:
         rows = rows.join(profile, "id").repartition(parts(spark), "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n", "id")
-        return cut(rows.mapInArrow(_across(step, num, den), "a long, b long" if step == "links" else ACROSS), step)
+        return cut(rows.mapInArrow(lean(_across(step, num, den)), "a long, b long" if step == "links" else ACROSS), step)
 
     whole = one.select("id", "n", "bits")
     found = compared("forest", _open_blocks(_named(members, known)), whole)
