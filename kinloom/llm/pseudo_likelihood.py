@@ -42,6 +42,7 @@ CHUNK = 2 << 20  # bytes of texts handled at once
 AT_ONCE = 1 << 16  # words whose windows are held at once
 SCORED = 1 << 13  # words that are scored at once: their arrays stay in the processor's cache
 COUNTED = 1 << 20  # distinct words that a task holds before it passes counts on
+TAME = 40  # logits up to which exponentials and their products are far from a float's ends
 MASKS = 4  # parts of a text's words, of which a shard predicts one, if it isn't told
 SCALE = 1 << 24  # parameters are added up in these units
 PIECE = 1 << 12  # parameters in a row on their way to the driver
@@ -104,19 +105,29 @@ def class_of(h: np.ndarray, shape: Shape) -> np.ndarray:
 
 def sizes(shape: Shape) -> list[tuple[int, ...]]:
     v, d, k, s = shape.vocabulary, shape.hidden, 2 * shape.window, shape.side
-    return [(k * v, d), (d,), (d, s), (s,), (s, d, s), (s, s)]
+    return [(k * v, d), (d,), (d + 1, s), (s, d + 1, s)]
 
 
-def views(params: np.ndarray, shape: Shape) -> list[np.ndarray]:
-    """Window tables, hidden bias, cluster matrix and bias, member matrices and biases."""
+def layers(params: np.ndarray, shape: Shape) -> list[np.ndarray]:
+    """Window tables, hidden bias, and the matrices of clusters and of members, the last row of each being its bias."""
     ends = np.cumsum([int(np.prod(x)) for x in sizes(shape)])
     return [p.reshape(x) for p, x in zip(np.split(params, ends[:-1]), sizes(shape), strict=True)]
 
 
+def views(params: np.ndarray, shape: Shape) -> list[np.ndarray]:
+    """Window tables, hidden bias, cluster matrix and bias, member matrices and biases."""
+    tables, bias, top, deep = layers(params, shape)
+    return [tables, bias, top[:-1], top[-1], deep[:, :-1], deep[:, -1]]
+
+
 def initial(shape: Shape, seed: int = 5) -> np.ndarray:
     """All parameters in one vector."""
     rng = np.random.default_rng(seed)
-    return np.concatenate([(rng.normal(0, 0.1, x) if len(x) > 1 and i != 5 else np.zeros(x)).ravel() for i, x in enumerate(sizes(shape))]).astype("f4")
+    params = np.zeros(sum(int(np.prod(x)) for x in sizes(shape)), "f4")
+    for i in (0, 2, 4):
+        weights = views(params, shape)[i]
+        weights[...] = rng.normal(0, 0.1, weights.shape)
+    return params
 
 
 def windows(ids: list[np.ndarray], shape: Shape) -> tuple[np.ndarray, np.ndarray]:
@@ -131,11 +142,14 @@ def windows(ids: list[np.ndarray], shape: Shape) -> tuple[np.ndarray, np.ndarray
 
 
 def _hidden(tables: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The hidden layer, and a column of ones for the biases."""
     h = tables.take(rows[:, 0], axis=0)
     for j in range(1, rows.shape[1]):
         h += tables.take(rows[:, j], axis=0)
     h += bias
-    return np.tanh(h, out=h)
+    out = np.ones((len(h), h.shape[1] + 1), h.dtype)
+    np.tanh(h, out=out[:, :-1])
+    return out
 
 
 def _by_cluster(words: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
@@ -147,73 +161,93 @@ def _by_cluster(words: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray
     return order, c, m, list(zip(c[first].tolist(), first.tolist(), np.r_[first[1:], len(c)].tolist(), strict=True))
 
 
-def _log_sums(z: np.ndarray) -> np.ndarray:
-    top = z.max(1)
-    z -= top[:, None]
+def _tame(weights: np.ndarray) -> bool:
+    """Whether the hidden layer, within -1 and 1, can't give logits beyond ``TAME``: their exponentials need no shift."""
+    return bool(np.abs(weights).sum(-2).max() <= TAME)
+
+
+def _exp(z: np.ndarray, tame: bool) -> np.ndarray | float:
+    """Takes exponentials in place; returns by how much each row was lowered for that."""
+    top = 0.0
+    if not tame:
+        top = z.max(1)
+        z -= top[:, None]
+        np.maximum(z, -80, out=z)
     np.exp(z, out=z)
-    return np.log(z @ np.ones(z.shape[1], z.dtype)) + top
+    return top
 
 
 def log_probabilities(params: np.ndarray, rows: np.ndarray, words: np.ndarray, shape: Shape) -> np.ndarray:
-    tables, bias, out, e, deep, f = views(params, shape)
-    got = np.empty(len(words))
+    tables, bias, first, deep = layers(params, shape)
+    tame, tame_deep = _tame(first), _tame(deep)
+    got, ones = np.empty(len(words)), np.ones(shape.side, params.dtype)
     for i in range(0, len(words), SCORED):
         r, w = rows[i : i + SCORED], words[i : i + SCORED]
         order, c, m, spans = _by_cluster(w, shape)
-        h = _hidden(tables, bias, r[order])
-        z = h @ out + e
-        own = z[np.arange(len(w)), c].astype("f8") - _log_sums(z)
+        h, at = _hidden(tables, bias, r[order]), np.arange(len(w))
+        z = h @ first
+        own = z[at, c].astype("f8")
+        top = _exp(z, tame)
+        own -= np.log(z @ ones) + top
         for k, x, y in spans:
-            z = h[x:y] @ deep[k] + f[k]
-            own[x:y] += z[np.arange(y - x), m[x:y]].astype("f8") - _log_sums(z)
+            z = h[x:y] @ deep[k]
+            mine = z[at[: y - x], m[x:y]].astype("f8")
+            top = _exp(z, tame_deep)
+            own[x:y] += mine - (np.log(z @ ones) + top)
         got[i + order] = own
     return got
 
 
-def _softmax(z: np.ndarray, n: int) -> np.ndarray:
-    """Row by row, divided by ``n``."""
-    z -= z.max()
-    np.maximum(z, -80, out=z)
-    np.exp(z, out=z)
-    z *= (1 / (z @ np.ones(z.shape[1], z.dtype) * n))[:, None]
-    return z
-
-
 def _adagrad(x: np.ndarray, state: np.ndarray, grad: np.ndarray, rate: float) -> None:
-    state += grad * grad
-    x -= rate * grad / np.sqrt(state + 1e-8)
+    """Uses up ``grad``."""
+    square = grad * grad
+    state += square
+    np.add(state, 1e-8, out=square)
+    np.sqrt(square, out=square)
+    grad *= rate
+    grad /= square
+    x -= grad
+
+
+def _errors(h: np.ndarray, weights: np.ndarray, own: np.ndarray, at: np.ndarray, ones: np.ndarray, tame: bool, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a softmax layer returns to the hidden layer, and the gradient of its weights. Rows are weighted on the narrow side."""
+    z = h @ weights
+    _exp(z, tame)
+    total = z @ ones
+    z[at, own] -= total
+    total *= n
+    back = z @ weights[:-1].T
+    back /= total[:, None]
+    return back, (h / total[:, None]).T @ z
 
 
 def train(params: np.ndarray, rows: np.ndarray, words: np.ndarray, shape: Shape, state: np.ndarray, rate: float = 0.1, step: int = 4096) -> None:
     """One pass of Adagrad over the words; changes ``params`` and ``state``."""
-    tables, bias, out, e, deep, f = views(params, shape)
-    s_tables, s_bias, s_out, s_e, s_deep, s_f = views(state, shape)
-    sides = rows.shape[1]
+    tables, bias, first, deep = layers(params, shape)
+    s_tables, s_bias, s_first, s_deep = layers(state, shape)
+    sides, ones, grads = rows.shape[1], np.ones(shape.side, params.dtype), np.empty_like(deep)
     for i in range(0, len(words), step):
         w = words[i : i + step]
         n = len(w)
         order, c, m, spans = _by_cluster(w, shape)
-        r = rows[i : i + step][order]
+        r, at = rows[i : i + step][order], np.arange(n)
         h = _hidden(tables, bias, r)
-        p = _softmax(h @ out + e, n)
-        p[np.arange(n), c] -= 1 / n
-        g_h = p @ out.T
-        _adagrad(out, s_out, h.T @ p, rate)
-        _adagrad(e, s_e, p.sum(0), rate)
+        g_h, g = _errors(h, first, c, at, ones, _tame(first), n)
+        _adagrad(first, s_first, g, rate)
+        tame = _tame(deep)
+        grads[...] = 0
         for k, x, y in spans:
-            own = h[x:y]
-            q = _softmax(own @ deep[k] + f[k], n)
-            q[np.arange(y - x), m[x:y]] -= 1 / n
-            g_h[x:y] += q @ deep[k].T
-            _adagrad(deep[k], s_deep[k], own.T @ q, rate)
-            _adagrad(f[k], s_f[k], q.sum(0), rate)
+            back, grads[k] = _errors(h[x:y], deep[k], m[x:y], at[: y - x], ones, tame, n)
+            g_h[x:y] += back
+        _adagrad(deep, s_deep, grads, rate)
+        h = h[:, :-1]
         g_h *= 1 - h * h
         _adagrad(bias, s_bias, g_h.sum(0), rate)
         flat = r.ravel()
         place = np.argsort(flat, kind="stable")
         flat = flat[place]
-        first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-        g, used = np.add.reduceat(g_h.take(place // sides, axis=0), first, axis=0), flat[first].astype("int64")
+        new = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+        g, used = np.add.reduceat(g_h.take(place // sides, axis=0), new, axis=0), flat[new].astype("int64")
         s = s_tables.take(used, axis=0) + g * g
         s_tables[used] = s
         tables[used] -= rate * g / np.sqrt(s + 1e-8)

@@ -337,6 +337,37 @@ def test_pseudo_likelihood_training_equals_a_plain_version():
     assert np.abs(got - params).max() < 2e-2
 
 
+def test_pseudo_likelihood_learns_from_logits_far_apart():
+    """A row whose logits all lie far below another row's has its own softmax, not equal shares."""
+    shape, rng = pseudo_likelihood.Shape(side=3, hidden=4), np.random.default_rng(4)
+    rows, words = pseudo_likelihood.windows([rng.integers(1, shape.vocabulary, 60)], shape)
+    got = pseudo_likelihood.initial(shape)
+    tables, _, out, *_ = pseudo_likelihood.views(got, shape)
+    tables[:, 0] = rng.choice([-2, 2], len(tables))
+    out[0], out[1:] = 100, rng.normal(0, 20, out[1:].shape)
+    tables, bias, out, e, *_ = (x.astype("f8") for x in pseudo_likelihood.views(got, shape))
+    pseudo_likelihood.train(got, rows, words, shape, np.ones_like(got), step=len(words))
+    h = np.tanh(tables[rows].sum(1) + bias)
+    z = h @ out + e
+    assert np.ptp(z.max(1)) > 160
+    p = np.exp(z - z.max(1, keepdims=True))
+    p = p / p.sum(1, keepdims=True) - np.eye(3)[(words - 1) // shape.side]
+    for now, was, grad in zip(pseudo_likelihood.views(got, shape)[2:4], (out, e), (h.T @ p / len(words), p.mean(0)), strict=True):
+        assert np.abs(now - (was - 0.1 * grad / np.sqrt(1 + grad * grad))).max() < 1e-4
+
+
+def test_pseudo_likelihood_of_unshifted_exponentials(monkeypatch):
+    shape, rng = pseudo_likelihood.Shape(side=8), np.random.default_rng(3)
+    rows, words = pseudo_likelihood.windows([rng.integers(1, shape.vocabulary, 9000)], shape)
+    got = []
+    for most in (pseudo_likelihood.TAME, -1):
+        monkeypatch.setattr(pseudo_likelihood, "TAME", most)
+        params = pseudo_likelihood.initial(shape)
+        pseudo_likelihood.train(params, rows, words, shape, np.zeros_like(params))
+        got.append((params, pseudo_likelihood.log_probabilities(params, rows, words, shape)))
+    assert np.allclose(got[0][0], got[1][0], atol=1e-3) and np.allclose(got[0][1], got[1][1], atol=1e-3)
+
+
 def test_pseudo_likelihood_does_not_depend_on_partitions(spark, monkeypatch):
     monkeypatch.setattr(pseudo_likelihood, "SHARD", 3000)
     r = random.Random(6)
