@@ -115,3 +115,10 @@ def test_scheme_of_many_copies(spark, tmp_path, n):
     folder = parts(spark, tmp_path, n, names)
     assert (QUERIES["learned_scheme"](spark, folder).count() > 0) == (n == 12_000)
     assert QUERIES["gold_negatives"](spark, folder).count() == 300
+
+
+def test_parfull_fills_slots_of_pairs_of_the_first_term(spark, tmp_path):
+    rows = [(0, "hot bolt", "Brand#1", "SMALL"), (1, "hot ring", "Brand#1", "SMALLER"), (2, "old nut", "Brand#2", "SMALL")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {name: [(x.q_id, x.c_id, x.s1, x.s2) for x in QUERIES[name](spark, str(tmp_path)).collect()] for name in ("query_parfull", "query_dnf_vector")}
+    assert got == {"query_parfull": [(1, 0, 1.0, 0.714286)], "query_dnf_vector": [(1, 0, 1.0, 0.0)]}
