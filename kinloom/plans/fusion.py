@@ -7,19 +7,24 @@ so that every family gives probabilities.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
+
 import numpy as np
-from pyspark import keyword_only
+from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 COSTS = (0.1, 1.0, 10.0, 100.0, 1000.0)
+ROWS = 20_000  # training pairs of a partition
+FITS = 8  # at a time
 
 
 class RandomFourier(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -85,15 +90,19 @@ def balanced(df: DataFrame) -> DataFrame:
 
 def best_model(train: DataFrame, fields: int, families=("linear", "rbf", "tree"), scoring="f1", folds=3, seed=17, costs=COSTS) -> tuple[str, PipelineModel]:
     """The first family with the highest cross-validated score, trained on all of ``train`` (simvec, label)."""
-    df = balanced(train.select("simvec", F.col("label").cast("double").alias("label")))
+    made = train.select("simvec", F.col("label").cast("double").alias("label")).persist()
+    df = balanced(made)
     least = df.groupBy("label").count().agg(F.min("count"), F.count("*")).first()
     if least[1] < 2:
         raise ValueError("training pairs of both classes are needed")
     folds = max(2, min(folds, least[0]))  # every fold has both classes
     deal = Window.partitionBy("label").orderBy(F.xxhash64("simvec", F.lit(seed)), "simvec")
-    df = df.withColumn("fold", F.pmod(F.row_number().over(deal), F.lit(folds)).cast("int")).cache()
-    n = max(1, df.count())
-    best = None
+    df = df.withColumn("fold", F.pmod(F.row_number().over(deal), F.lit(folds)).cast("int"))
+    n = max(1, made.count())
+    df = df.coalesce(-(-n // ROWS)).cache()  # each step of an optimiser is a job with a task a partition
+    df.count()
+    made.unpersist()
+    ready, tried = {}, []
     for family in families:
         if family == "tree":
             model = DecisionTreeClassifier(weightCol="weight", seed=seed)
@@ -103,20 +112,32 @@ def best_model(train: DataFrame, fields: int, families=("linear", "rbf", "tree")
             model = LinearSVC(weightCol="weight", maxIter=50)
             grid = ParamGridBuilder().addGrid(model.regParam, [1 / (c * n) for c in costs]).build()
             steps = [RandomFourier(inputs=fields), ToVector(inputCol="fourier")] if family == "rbf" else [ToVector()]
-        ready = Pipeline(stages=steps).fit(df)
-        made = ready.transform(df)
-        cv = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=_evaluator(scoring), numFolds=folds, foldCol="fold")
-        found = cv.fit(made)
-        score = max(found.avgMetrics)
-        if best is None or score > best[0]:
-            parts = [*ready.stages, found.bestModel]
-            if family != "tree":
-                margins = Margin().transform(found.bestModel.transform(made)).select("margin", "label", "weight")
-                platt = LogisticRegression(featuresCol="margin", weightCol="weight", rawPredictionCol="logit", predictionCol="platt").fit(margins)
-                parts += [Margin(), platt]
-            best = score, family, PipelineModel(stages=parts)
+        ready[family] = Pipeline(stages=steps).fit(df)
+        tried += [(family, model.copy(params)) for params in grid]
+    scores = cross_validated([(model, ready[family].transform(df)) for family, model in tried], folds, _evaluator(scoring))
+    family, model = tried[int(np.argmax(scores))]
+    made = ready[family].transform(df)
+    found = model.fit(made)
+    parts = [*ready[family].stages, found]
+    if family != "tree":
+        margins = Margin().transform(found.transform(made)).select("margin", "label", "weight")
+        platt = LogisticRegression(featuresCol="margin", weightCol="weight", rawPredictionCol="logit", predictionCol="platt").fit(margins)
+        parts += [Margin(), platt]
     df.unpersist()
-    return best[1], best[2]
+    return family, PipelineModel(stages=parts)
+
+
+def cross_validated(models: list, folds: int, evaluator: MulticlassClassificationEvaluator) -> list[float]:
+    """The mean score over folds (column ``fold``) of each estimator with its table. Fits are small jobs that wait on the driver, so that
+    several run at a time, of all estimators and folds together."""
+
+    def score(model, df, i):
+        return evaluator.evaluate(model.fit(df.where(F.col("fold") != i)).transform(df.where(F.col("fold") == i)))
+
+    each = [inheritable_thread_target(df.sparkSession)(partial(score, model, df, i)) for model, df in models for i in range(folds)]
+    with ThreadPoolExecutor(FITS) as pool:
+        got = list(pool.map(lambda run: run(), each))
+    return [float(np.mean(got[k : k + folds])) for k in range(0, len(got), folds)]
 
 
 def classify(model: PipelineModel, vectors: DataFrame) -> DataFrame:

@@ -122,3 +122,25 @@ def test_parfull_fills_slots_of_pairs_of_the_first_term(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
     got = {name: [(x.q_id, x.c_id, x.s1, x.s2) for x in QUERIES[name](spark, str(tmp_path)).collect()] for name in ("query_parfull", "query_dnf_vector")}
     assert got == {"query_parfull": [(1, 0, 1.0, 0.714286)], "query_dnf_vector": [(1, 0, 1.0, 0.0)]}
+
+
+@pytest.mark.parametrize("less_than", [30, None])
+def test_cosines_of_classes_are_those_of_records(spark, less_than):
+    r = made(spark, 200)
+    want = labels.cosine(labels.neighbours(r, 3, less_than), labels.token_weights(r))
+    rows = lambda df: sorted((x.t1, x.t2, round(x.sim, 9)) for x in df.collect())
+    got = rows(labels.near(r, 3, less_than))
+    assert got == rows(want) and (len(got) > 0) == (less_than is None)
+
+
+def test_training_takes_few_tasks(spark):
+    """Steps of an optimiser are jobs with a task a partition."""
+    from kinloom.plans import fusion
+
+    train = spark.range(60).select(F.array(F.rand(1), (F.col("id") % 3 == 0).cast("double")).alias("simvec"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    seen, plain = [], fusion.cross_validated
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(fusion, "cross_validated", lambda models, *a: seen.extend(df.rdd.getNumPartitions() for _, df in models) or plain(models, *a))
+        name, model = fusion.best_model(train.repartition(50), 2, ("tree", "linear"), costs=(1.0, 10.0))
+    assert name == "tree" and set(seen) == {1} and len(seen) == 5
+    assert fusion.classify(model, train).where("match <> label").isEmpty()
