@@ -144,3 +144,15 @@ def test_training_takes_few_tasks(spark):
         name, model = fusion.best_model(train.repartition(50), 2, ("tree", "linear"), costs=(1.0, 10.0))
     assert name == "tree" and set(seen) == {1} and len(seen) == 5
     assert fusion.classify(model, train).where("match <> label").isEmpty()
+
+
+def test_undistributed_joins_broadcast_nothing(spark):
+    from kinloom.shipping import undistributed
+
+    x = spark.range(50)
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(n, None) for n in names]
+    with undistributed(spark):
+        got = x.join(x.withColumn("y", F.lit(1)), "id")
+        assert got.count() == 50 and "BroadcastHashJoin" not in got._jdf.queryExecution().toString()
+    assert [spark.conf.get(n, None) for n in names] == before
